@@ -83,16 +83,16 @@ class ChunkTable:
 
         return self.frame().mapInArrow(run, schema)
 
-    def map_with(self, answers: DataFrame, f: Callable[[Chunk, np.ndarray], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    def map_with(self, answers: DataFrame, f: Callable[[Chunk, np.ndarray], Iterator[pa.RecordBatch]], schema: str, kind: type = np.uint8) -> DataFrame:
         """f of each chunk and the totals of the keys that it sent, in the keys' order."""
-        joined = self.frame().join(answers.hint("shuffle_hash"), "chunk", "left").select("chunk", "ids", "lens", "flags", "text", "answers")
+        joined = self.frame().join(by_chunk(answers).hint("shuffle_hash"), "chunk", "left").select("chunk", "ids", "lens", "flags", "text", "answers")
 
         def run(batches):
             for batch in batches:
                 for i in range(batch.num_rows):
                     row = batch.slice(i, 1).to_pylist()[0]
                     parts = sorted((a["bucket"], a["totals"]) for a in row["answers"] or ())
-                    totals = np.concatenate([np.frombuffer(b, np.uint32) for _, b in parts]) if parts else np.zeros(0, np.uint32)
+                    totals = np.concatenate([np.frombuffer(b, kind) for _, b in parts]) if parts else np.zeros(0, kind)
                     yield from f(Chunk(row), totals)
 
         return joined.mapInArrow(run, schema)
@@ -110,7 +110,7 @@ _ANSWER = pa.schema([("chunk", pa.int64()), ("bucket", pa.int32()), ("totals", p
 def distinct_keys(keys: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Sorted distinct keys, each one's count (summed if counts are given), and where each input key went."""
     if not len(keys):
-        return keys, np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        return keys, np.zeros(0, np.int64), np.zeros(0, np.int64)
     order = np.argsort(keys, kind="stable")
     s = keys[order]
     new = np.concatenate([[True], s[1:] != s[:-1]])
@@ -121,33 +121,28 @@ def distinct_keys(keys: np.ndarray, counts: np.ndarray | None = None) -> tuple[n
         total = np.diff(np.concatenate([at, [len(s)]]))
     else:
         total = np.add.reduceat(np.asarray(counts, np.int64)[order], at)
-    return s[at], total.astype(np.uint32), place
+    return s[at], total.astype(np.int64), place
 
 
-def message_batches(chunk: int, keys: np.ndarray, counts: np.ndarray, ranges: int, width: int) -> Iterator[pa.RecordBatch]:
+def clipped(counts: np.ndarray, kind: type) -> np.ndarray:
+    return np.minimum(counts, np.iinfo(kind).max).astype(kind)
+
+
+def message_batches(chunk: int, keys: np.ndarray, counts: np.ndarray, ranges: int, width: int, kind: type) -> Iterator[pa.RecordBatch]:
     """A chunk's sorted distinct keys as messages. width: the leading bytes of a key that are sent (8: all of it)."""
     if not len(keys):
         return
     bounds = np.searchsorted(keys, (np.arange(1, ranges, dtype=np.float64) * 2.0**64 / ranges).astype(np.uint64)) if ranges > 1 else np.zeros(0, np.int64)
     bounds = np.concatenate([[0], bounds, [len(keys)]])
     packed = np.ascontiguousarray(keys.view(np.uint8).reshape(-1, 8)[:, 8 - width :])
-    rows = [{"bucket": b, "chunk": chunk, "keys": packed[i:j].tobytes(), "counts": counts[i:j].astype(np.uint32).tobytes()} for b, (i, j) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)) if j > i]
+    rows = [{"bucket": b, "chunk": chunk, "keys": packed[i:j].tobytes(), "counts": clipped(counts[i:j], kind).tobytes()} for b, (i, j) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)) if j > i]
     yield pa.RecordBatch.from_pylist(rows, schema=_MESSAGE)
 
 
-def totals(table: ChunkTable, send: Callable[[Chunk], tuple[np.ndarray, np.ndarray]], width: int = 8, ranges: int | None = None) -> DataFrame:
-    """(chunk, answers): the corpus-wide total of every key that each chunk sent.
-
-    send gives sorted distinct uint64 keys, well spread over 64 bits, and their counts. A total
-    stops at 2**32 - 1. With a width below 8, keys that agree in their leading bytes count together.
-    """
-    ranges = ranges or 2 * table.parts
+def count_messages(sent: DataFrame, width: int, kind: type) -> DataFrame:
+    """Answers to messages: (chunk, bucket, totals, stats)."""
 
-    def out(c: Chunk):
-        keys, counts = send(c)
-        yield from message_batches(c.chunk, keys, counts, ranges, width)
-
-    def add(key, part: pa.Table) -> pa.Table:
+    def add(key, part):
         sizes, raw = binary_views(part.column("keys"))
         _, counts = binary_views(part.column("counts"))
         n = np.diff(sizes) // width
@@ -155,17 +150,32 @@ def totals(table: ChunkTable, send: Callable[[Chunk], tuple[np.ndarray, np.ndarr
         full[:, 8 - width :] = raw.reshape(-1, width)
         keys = full.view(np.uint64).ravel()
         del full
-        unique, total, place = distinct_keys(keys, np.frombuffer(counts.tobytes(), np.uint32))
-        back = total[place]
+        unique, total, place = distinct_keys(keys, np.frombuffer(counts.tobytes(), kind))
+        back = clipped(total, kind)[place]
         ends = np.concatenate([[0], np.cumsum(n)])
         stats = np.array([np.count_nonzero(total), int(total.sum(dtype=np.int64))], np.int64).tobytes()
         bucket = part.column("bucket")[0].as_py()
         rows = [{"chunk": c, "bucket": bucket, "totals": back[i:j].tobytes(), "stats": stats if k == 0 else None} for k, (c, i, j) in enumerate(zip(part.column("chunk").to_pylist(), ends[:-1], ends[1:], strict=True))]
         return pa.Table.from_pylist(rows, schema=_ANSWER)
 
-    sent = table.map(out, "bucket int, chunk long, keys binary, counts binary")
     return sent.groupBy("bucket").applyInArrow(add, "chunk long, bucket int, totals binary, stats binary")
 
 
+def totals(table: ChunkTable, send: Callable[[Chunk], tuple[np.ndarray, np.ndarray]], width: int = 8, kind: type = np.uint8, ranges: int | None = None) -> DataFrame:
+    """(chunk, bucket, totals, stats): the corpus-wide total of every key that each chunk sent.
+
+    send gives sorted distinct uint64 keys, well spread over 64 bits, and their counts. Totals are of
+    the integer type `kind` and stop at its end. With a width below 8, keys that agree in their
+    leading bytes count together. stats, one for each range: its keys with a count, and their sum.
+    """
+    ranges = ranges or 2 * table.parts
+
+    def out(c: Chunk):
+        keys, counts = send(c)
+        yield from message_batches(c.chunk, keys, counts, ranges, width, kind)
+
+    return count_messages(table.map(out, "bucket int, chunk long, keys binary, counts binary"), width, kind)
+
+
 def by_chunk(answers: DataFrame) -> DataFrame:
     return answers.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "totals")).alias("answers"))

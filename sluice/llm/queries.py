@@ -44,6 +44,12 @@ def op3_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sluice.llm import substring
+
+    return substring.digests(_table(spark, sf_dir, "documents"))
+
+
 def op5_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sluice.llm import tiff
 
@@ -69,7 +75,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_quality, op3_exact_topk, op5_tiff, op6_best_fit_packing, op8_url_rules, op10_mixing)}
+    return {f.__name__: f for f in (op1_language_id, op2_quality, op3_exact_topk, op4_substring_dedup, op5_tiff, op6_best_fit_packing, op8_url_rules, op10_mixing)}
 
 
 TOPK_SQL = """
@@ -88,6 +94,25 @@ WITH v AS (
 SELECT query_id, CAST(r AS INTEGER) AS rank, vec_id, score FROM ranked WHERE r <= 10
 """
 
+SUBSTRING_SQL = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), win AS (
+  SELECT doc_id, i, md5(array_to_string(ws[i:i + 34], ' ')) AS k FROM d, unnest(range(1, len(ws) - 33)) AS t(i)
+), twice AS (
+  SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY k) AS n FROM win) WHERE n >= 2
+), gone AS (
+  SELECT DISTINCT doc_id, i + o AS p FROM twice, range(0, 35) AS r(o)
+), word AS (
+  SELECT doc_id, p, ws[p] AS w FROM d, unnest(range(1, len(ws) + 1)) AS t(p)
+), kept AS (
+  SELECT doc_id, count(*) AS n, string_agg(w, ' ' ORDER BY p) AS text FROM word ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id
+)
+SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(n, 0) AS BIGINT) AS n_removed,
+  sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_exact_topk": TOPK_SQL}
+    return {"op3_exact_topk": TOPK_SQL, "op4_substring_dedup": SUBSTRING_SQL}
