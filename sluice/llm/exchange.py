@@ -22,7 +22,7 @@ from sluice.llm.shared import binary_views, new_path, remove, slices
 
 #: Bytes of text in a chunk (a longer document is a chunk of its own).
 CHUNK_BYTES = 3 << 20
-CHUNK_SCHEMA = "chunk long, ids binary, lens binary, flags binary, text binary"
+CHUNK_SCHEMA = "chunk long, ids binary, lens binary, flags binary, rest binary, text binary"
 
 
 class Chunk:
@@ -33,21 +33,26 @@ class Chunk:
         self.ids = np.frombuffer(row["ids"], np.int64)
         self.lens = np.frombuffer(row["lens"], np.int64)
         self.flags = np.frombuffer(row["flags"], np.int8)
+        self.packed_rest = row["rest"]
         self.raw = np.frombuffer(row["text"], np.uint8)
         self.offsets = np.concatenate([[0], np.cumsum(self.lens)])
 
+    def rest(self) -> pa.Table:
+        """The columns that were kept beside id, flag and text."""
+        return pa.ipc.open_stream(self.packed_rest).read_all()
+
 
 class ChunkTable:
     """A corpus in chunks, written to the shared folder and bucketed by chunk."""
 
-    def __init__(self, docs: DataFrame, flag=None, chunk_bytes: int = CHUNK_BYTES):
-        """docs: doc_id and text are read (null text: empty; null ids are not allowed); flag: a small integer column expression that goes along."""
+    def __init__(self, docs: DataFrame, flag=None, keep: tuple[str, ...] = (), chunk_bytes: int = CHUNK_BYTES):
+        """docs: doc_id and text are read (null text: empty; null ids are not allowed); flag: a small integer column expression, and keep: columns, that go along."""
         self.spark: SparkSession = docs.sparkSession
         self.parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         self.path = new_path(self.spark, "chunks")
         self.name = "sluice_chunks_" + uuid.uuid4().hex
         flag = F.lit(0) if flag is None else flag
-        frame = docs.select(F.col("doc_id").cast("long").alias("doc_id"), flag.cast("tinyint").alias("flag"), F.col("text").cast("binary").alias("text"))
+        frame = docs.select(F.col("doc_id").cast("long").alias("doc_id"), flag.cast("tinyint").alias("flag"), *(F.col(f"`{c}`").alias(f"rest_{i}") for i, c in enumerate(keep)), F.col("text").cast("binary").alias("text"))
 
         def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             base, seq = TaskContext.get().partitionId() << 24, 0
@@ -55,14 +60,21 @@ class ChunkTable:
             size = 0
 
             def row() -> pa.RecordBatch:
-                ids, lens, flags, raw = (np.concatenate(x) for x in zip(*held, strict=True))
-                return pa.RecordBatch.from_pylist([{"chunk": base + seq, "ids": ids.tobytes(), "lens": lens.tobytes(), "flags": flags.tobytes(), "text": raw.tobytes()}], schema=_CHUNK_ARROW)
+                ids, lens, flags, raw = (np.concatenate([h[k] for h in held]) for k in range(4))
+                rest = b""
+                if keep:
+                    sink = pa.BufferOutputStream()
+                    with pa.ipc.new_stream(sink, held[0][4].schema) as out:
+                        for h in held:
+                            out.write_batch(h[4])
+                    rest = sink.getvalue().to_pybytes()
+                return pa.RecordBatch.from_pylist([{"chunk": base + seq, "ids": ids.tobytes(), "lens": lens.tobytes(), "flags": flags.tobytes(), "rest": rest, "text": raw.tobytes()}], schema=_CHUNK_ARROW)
 
             for batch, offsets, raw in slices(batches, chunk_bytes):
                 if held and size + len(raw) > chunk_bytes:
                     yield row()
                     held, size, seq = [], 0, seq + 1
-                held.append((np.asarray(batch.column(0).to_numpy(zero_copy_only=False), np.int64), np.diff(offsets), np.asarray(batch.column(1).to_numpy(zero_copy_only=False), np.int8), raw.copy()))
+                held.append((np.asarray(batch.column(0).to_numpy(zero_copy_only=False), np.int64), np.diff(offsets), np.asarray(batch.column(1).to_numpy(zero_copy_only=False), np.int8), raw.copy(), batch.select(range(2, 2 + len(keep)))))
                 size += len(raw)
             if held:
                 yield row()
@@ -85,7 +97,7 @@ class ChunkTable:
 
     def map_with(self, answers: DataFrame, f: Callable[[Chunk, np.ndarray], Iterator[pa.RecordBatch]], schema: str, kind: type = np.uint8) -> DataFrame:
         """f of each chunk and the totals of the keys that it sent, in the keys' order."""
-        joined = self.frame().join(by_chunk(answers).hint("shuffle_hash"), "chunk", "left").select("chunk", "ids", "lens", "flags", "text", "answers")
+        joined = self.frame().join(by_chunk(answers).hint("shuffle_hash"), "chunk", "left").select("chunk", "ids", "lens", "flags", "rest", "text", "answers")
 
         def run(batches):
             for batch in batches:
@@ -102,7 +114,7 @@ class ChunkTable:
         remove(self.spark, self.path)
 
 
-_CHUNK_ARROW = pa.schema([("chunk", pa.int64()), ("ids", pa.binary()), ("lens", pa.binary()), ("flags", pa.binary()), ("text", pa.binary())])
+_CHUNK_ARROW = pa.schema([("chunk", pa.int64()), ("ids", pa.binary()), ("lens", pa.binary()), ("flags", pa.binary()), ("rest", pa.binary()), ("text", pa.binary())])
 _MESSAGE = pa.schema([("bucket", pa.int32()), ("chunk", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary())])
 _ANSWER = pa.schema([("chunk", pa.int64()), ("bucket", pa.int32()), ("totals", pa.binary()), ("stats", pa.binary())])
 
@@ -139,8 +151,12 @@ def message_batches(chunk: int, keys: np.ndarray, counts: np.ndarray, ranges: in
     yield pa.RecordBatch.from_pylist(rows, schema=_MESSAGE)
 
 
-def count_messages(sent: DataFrame, width: int, kind: type) -> DataFrame:
-    """Answers to messages: (chunk, bucket, totals, stats)."""
+def count_messages(sent: DataFrame, width: int, kind: type, top: int = 0, low_bits: int = 0) -> DataFrame:
+    """Answers to messages: (chunk, bucket, totals, stats).
+
+    stats, once for each range, int64: keys with a count, their sum; then, if asked for, such keys and
+    sums for each value of a key's low bits, and the `top` most frequent keys with their counts.
+    """
 
     def add(key, part):
         sizes, raw = binary_views(part.column("keys"))
@@ -153,7 +169,14 @@ def count_messages(sent: DataFrame, width: int, kind: type) -> DataFrame:
         unique, total, place = distinct_keys(keys, np.frombuffer(counts.tobytes(), kind))
         back = clipped(total, kind)[place]
         ends = np.concatenate([[0], np.cumsum(n)])
-        stats = np.array([np.count_nonzero(total), int(total.sum(dtype=np.int64))], np.int64).tobytes()
+        parts = [np.array([np.count_nonzero(total), total.sum()], np.int64)]
+        if low_bits:
+            low = (unique & np.uint64((1 << low_bits) - 1)).astype(np.int64)
+            parts += [np.bincount(low[total > 0], minlength=1 << low_bits), np.bincount(low, total, minlength=1 << low_bits).astype(np.int64)]
+        if top:
+            most = np.lexsort((unique, -total))[:top]
+            parts += [unique[most].view(np.int64), total[most]]
+        stats = np.concatenate(parts).astype(np.int64).tobytes()
         bucket = part.column("bucket")[0].as_py()
         rows = [{"chunk": c, "bucket": bucket, "totals": back[i:j].tobytes(), "stats": stats if k == 0 else None} for k, (c, i, j) in enumerate(zip(part.column("chunk").to_pylist(), ends[:-1], ends[1:], strict=True))]
         return pa.Table.from_pylist(rows, schema=_ANSWER)
@@ -161,12 +184,12 @@ def count_messages(sent: DataFrame, width: int, kind: type) -> DataFrame:
     return sent.groupBy("bucket").applyInArrow(add, "chunk long, bucket int, totals binary, stats binary")
 
 
-def totals(table: ChunkTable, send: Callable[[Chunk], tuple[np.ndarray, np.ndarray]], width: int = 8, kind: type = np.uint8, ranges: int | None = None) -> DataFrame:
+def totals(table: ChunkTable, send: Callable[[Chunk], tuple[np.ndarray, np.ndarray]], width: int = 8, kind: type = np.uint8, ranges: int | None = None, top: int = 0, low_bits: int = 0) -> DataFrame:
     """(chunk, bucket, totals, stats): the corpus-wide total of every key that each chunk sent.
 
     send gives sorted distinct uint64 keys, well spread over 64 bits, and their counts. Totals are of
     the integer type `kind` and stop at its end. With a width below 8, keys that agree in their
-    leading bytes count together. stats, one for each range: its keys with a count, and their sum.
+    leading bytes count together. stats, top and low_bits: see count_messages.
     """
     ranges = ranges or 2 * table.parts
 
@@ -174,7 +197,7 @@ def totals(table: ChunkTable, send: Callable[[Chunk], tuple[np.ndarray, np.ndarr
         keys, counts = send(c)
         yield from message_batches(c.chunk, keys, counts, ranges, width, kind)
 
-    return count_messages(table.map(out, "bucket int, chunk long, keys binary, counts binary"), width, kind)
+    return count_messages(table.map(out, "bucket int, chunk long, keys binary, counts binary"), width, kind, top, low_bits)
 
 
 def by_chunk(answers: DataFrame) -> DataFrame:

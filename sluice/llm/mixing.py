@@ -7,8 +7,9 @@ which they stop, so sources are never collected.
 
 A source's target is met by whole repetitions of all its documents and a seeded sample for the
 fraction: documents in the order of a seeded hash, taken up to the place where the running size is
-nearest to what is left. Running sizes are two-level sums (hash ranges of a source, then documents
-within a range), so that a source with most of the rows is no single task.
+nearest to what is left. That place is found by two-level sums (4096 hash ranges of a source, then the
+documents of the one range in which the sample ends), so that a source with most of the rows is no
+single task, and is applied to documents as one comparison with their source's row of the plan.
 
 Results in special cases: a null text has size 0, a null source is a source of its own, after the
 others; sources without any word have target 0; repeated rows count as often as they occur.
@@ -27,8 +28,6 @@ WEIGHTS = (5, 2, 1)
 #: The budget as a share of all words.
 BUDGET = 1.5
 MAX_EPOCHS = 2
-#: Hash ranges of a source.
-RANGES = 4096
 
 
 def word_count(text: Column) -> Column:
@@ -64,26 +63,45 @@ def seeded_order(seed: int) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, budget: float = BUDGET, max_epochs: float = MAX_EPOCHS, seed: int = 7) -> DataFrame:
-    """Per row of docs: doc_id, source, size, source_size, target, times (how often it is taken), taken (times * size)."""
-    sized = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", word_count(F.col("text")).alias("size"), seeded_order(seed).alias("place")), "sizes")
-    plan = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, budget, max_epochs)
-    plan = plan.withColumn("whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long"))
-    plan = written(plan.withColumn("part", F.col("target") - F.col("whole") * F.col("source_size")), "targets")
-    keyed = sized.withColumn("range", F.conv(F.substring("place", 1, 3), 16, 10).cast("int"))
-    sums = keyed.groupBy("source", "range").agg(F.sum("size").alias("range_size"))
+def plan(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, budget: float = BUDGET, max_epochs: float = MAX_EPOCHS) -> DataFrame:
+    """sized: source, size, place of each document. Per source: source_size, target, whole (repetitions of all) and cut (places up to it are taken once more; null: none)."""
+    known = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, budget, max_epochs)
+    known = known.withColumn("whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long"))
+    known = written(known.select(F.col("source").alias("s"), "source_size", "target", "whole", (F.col("target") - F.col("whole") * F.col("source_size")).alias("part")), "targets")
+    prefix = F.substring("place", 1, 3)
+    sums = sized.groupBy("source", prefix.alias("range")).agg(F.sum("size").alias("range_size"))
     before = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.withColumn("before", F.coalesce(F.sum("range_size").over(before), F.lit(0)))
     same = lambda a, b: F.col(a).eqNullSafe(F.col(b))
-    sums = sums.join(plan.withColumnRenamed("source", "s"), same("source", "s")).drop("s")
-    # Only the one range in which the sample ends needs an order; before it all is taken, after it nothing.
-    sums = sums.select(F.col("source").alias("s"), F.col("range").alias("r"), "before", "range_size", "source_size", "target", "whole", "part")
-    joined = keyed.join(sums, same("source", "s") & (F.col("range") == F.col("r")))
-    edge = (F.col("before") <= F.col("part")) & (F.col("before") + F.col("range_size") > F.col("part"))
-    inside = Window.partitionBy("source", "range").orderBy("place", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    plain = joined.filter(~edge).withColumn("once", (F.col("before") + F.col("range_size") <= F.col("part")).cast("long"))
-    cut = joined.filter(edge).withColumn("upto", F.col("before") + F.coalesce(F.sum("size").over(inside), F.lit(0)))
-    cut = cut.withColumn("once", (F.col("upto") + F.col("size") / 2 <= F.col("part")).cast("long")).drop("upto")
-    times = (F.col("whole") + F.when(F.col("part") > 0, F.col("once")).otherwise(F.lit(0))).alias("times")
-    out = plain.unionByName(cut).select("doc_id", "source", "size", "source_size", "target", times)
-    return out.withColumn("taken", F.col("times") * F.col("size"))
+    # The one range of a source in which its sample ends; only that range's documents need an order.
+    edge = sums.join(known, same("source", "s")).filter((F.col("part") > 0) & (F.col("before") <= F.col("part")) & (F.col("before") + F.col("range_size") > F.col("part")))
+    edge = edge.select("s", F.col("range").alias("r"), "before", "part")
+    inside = Window.partitionBy("s", "r").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
+    ends = sized.select("source", "size", "place", prefix.alias("range")).join(edge, same("source", "s") & (F.col("range") == F.col("r")))
+    upto = F.col("before") + F.coalesce(F.sum("size").over(inside), F.lit(0))
+    ends = ends.withColumn("taken", upto + F.col("size") / 2 <= F.col("part"))
+    cuts = ends.groupBy("s", "r").agg(F.max(F.when(F.col("taken"), F.col("place"))).alias("last")).select(F.col("s").alias("c"), F.coalesce("last", "r").alias("cut"))
+    return written(known.join(cuts, same("s", "c"), "left").select("s", "source_size", "target", "whole", "cut"), "plan")
+
+
+def sized(docs: DataFrame, seed: int = 7) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", word_count(F.col("text")).alias("size"), seeded_order(seed).alias("place"))
+
+
+def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, budget: float = BUDGET, max_epochs: float = MAX_EPOCHS, seed: int = 7) -> DataFrame:
+    """Per row of docs: doc_id, source, size, source_size, target (of its source), times (how often it is taken), taken (times * size)."""
+    rows = written(sized(docs, seed), "sizes")
+    known = plan(rows, weights, budget, max_epochs)
+    often = F.col("whole") + F.coalesce((F.col("place") <= F.col("cut")).cast("long"), F.lit(0))
+    out = rows.join(known, F.col("source").eqNullSafe(F.col("s"))).withColumn("times", often)
+    return out.select("doc_id", "source", "size", "source_size", "target", "times", (F.col("times") * F.col("size")).alias("taken"))
+
+
+def mixed(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, budget: float = BUDGET, max_epochs: float = MAX_EPOCHS, seed: int = 7) -> DataFrame:
+    """The rows of docs, with all their columns, each as often as the mix takes it."""
+    known = plan(written(sized(docs, seed), "sizes"), weights, budget, max_epochs)
+    names = {c: f"plan_{c}" for c in known.columns}
+    known = known.withColumnsRenamed(names)
+    often = F.col("plan_whole") + F.coalesce((seeded_order(seed) <= F.col("plan_cut")).cast("long"), F.lit(0))
+    joined = docs.join(known, F.col("source").eqNullSafe(F.col("plan_s"))).withColumn("plan_times", often).filter("plan_times > 0")
+    return joined.withColumn("plan_copy", F.explode(F.sequence(F.lit(1), F.col("plan_times")))).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -27,9 +27,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from sluice.llm.exchange import Chunk, ChunkTable, by_chunk, count_messages, distinct_keys, message_batches, totals
-from sluice.llm.shared import remove, new_path
+from sluice.llm.shared import new_path, remove, written
 from sluice.llm.words import Words, mixed, window_hashes, words_of
 
 #: Words of a window.
@@ -147,8 +148,8 @@ class Plan:
         self.keys, self.counts, self.place = distinct_keys(self.level.name[self.at])
 
 
-def removed_words(table: ChunkTable, window: int = WINDOW, rounds: int = ROUNDS, with_text: bool = False) -> tuple[DataFrame, list[str]]:
-    """doc_id, n_words, n_removed, kept_sha256, kept (binary, null unless with_text) per text of the table; and paths to remove afterwards."""
+def removed_words(table: ChunkTable, window: int, rounds: int, with_text: StructType | None) -> tuple[DataFrame, list[str]]:
+    """doc_id, n_words, n_removed, kept_sha256 per text of the table, or with_text: those columns it keeps, and kept (binary); and what to remove afterwards."""
     spark = table.spark
 
     def symbols(c: Chunk) -> tuple[np.ndarray, np.ndarray]:
@@ -186,8 +187,10 @@ def removed_words(table: ChunkTable, window: int = WINDOW, rounds: int = ROUNDS,
                     yield from message_batches(c.chunk, keys, counts, ranges, 8, np.uint8)
 
     answers = count_messages(both.mapInArrow(send, "bucket int, chunk long, keys binary, counts binary"), 8, np.uint8)
-    out_schema = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept binary"
-    arrow = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.binary())])
+    out_schema = "doc_id long, n_words long, n_removed long, kept_sha256 string"
+    if with_text is not None:
+        out_schema = "doc_id long, kept binary" + "".join(f", rest_{i} {f.dataType.simpleString()}" for i, f in enumerate(with_text.fields))
+    texts_too = with_text is not None
 
     def cover(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -203,13 +206,13 @@ def removed_words(table: ChunkTable, window: int = WINDOW, rounds: int = ROUNDS,
                     np.add.at(mark, twice, 1)
                     np.add.at(mark, twice + window, -1)
                 gone = np.cumsum(mark[:-1]) > 0
-                yield kept_rows(c, words, gone, with_text, arrow)
+                yield kept_rows(c, words, gone, texts_too)
 
     joined = both.join(by_chunk(answers).hint("shuffle_hash"), "chunk", "left")
     return joined.mapInArrow(cover, out_schema), [starts_path, name]
 
 
-def kept_rows(c: Chunk, words: Words, gone: np.ndarray, with_text: bool, schema: pa.Schema) -> pa.RecordBatch:
+def kept_rows(c: Chunk, words: Words, gone: np.ndarray, texts_too: bool) -> pa.RecordBatch:
     """A row per text of the chunk: the words that stay are joined by one space."""
     keep = ~gone
     start, end = words.start[keep], words.end[keep]
@@ -231,32 +234,34 @@ def kept_rows(c: Chunk, words: Words, gone: np.ndarray, with_text: bool, schema:
     kept_before = words.first - lost[words.first]
     place = at[kept_before]
     texts = [data[i : max(i, j - 1)] for i, j in zip(place[:-1].tolist(), place[1:].tolist(), strict=True)]
-    return pa.RecordBatch.from_arrays(
-        [pa.array(c.ids), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array([hashlib.sha256(t).hexdigest() for t in texts]), pa.array(texts if with_text else [None] * len(texts), pa.binary())], schema=schema
-    )
+    if texts_too:
+        rest = c.rest() if c.packed_rest else pa.table({})
+        arrays = [pa.array(c.ids), pa.array(texts, pa.binary()), *(col.combine_chunks() for col in rest.columns)]
+        return pa.RecordBatch.from_arrays([a.chunk(0) if isinstance(a, pa.ChunkedArray) else a for a in arrays], names=["doc_id", "kept", *rest.column_names])
+    digest = [hashlib.sha256(t).hexdigest() for t in texts]
+    return pa.RecordBatch.from_arrays([pa.array(c.ids), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(digest)], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
 
 
-def _finished(df: DataFrame) -> DataFrame:
-    return df.withColumn("doc_id", F.nullif(F.col("doc_id"), F.lit(NO_ID)))
-
-
-def _run(docs: DataFrame, what: str, with_text: bool, window: int, rounds: int) -> DataFrame:
+def _run(docs: DataFrame, window: int, rounds: int, keep: tuple[str, ...] | None) -> DataFrame:
+    """The written result; keep: None for digests, else the columns to return beside doc_id and the kept text."""
     spark = docs.sparkSession
-    table = ChunkTable(docs.withColumn("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))))
-    found, rest = removed_words(table, window, rounds, with_text)
-    path = new_path(spark, what)
-    _finished(found if with_text else found.drop("kept")).write.parquet(path)
-    spark.sql(f"DROP TABLE IF EXISTS {rest[1]}")
-    remove(spark, rest[0])
+    table = ChunkTable(docs.withColumn("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))), keep=keep or ())
+    found, (starts, name) = removed_words(table, window, rounds, None if keep is None else docs.select(*[f"`{c}`" for c in keep]).schema)
+    out = written(found.withColumn("doc_id", F.nullif(F.col("doc_id"), F.lit(NO_ID))), "kept")
+    spark.sql(f"DROP TABLE IF EXISTS {name}")
+    remove(spark, starts)
     table.drop()
-    return spark.read.parquet(path)
+    return out
 
 
 def digests(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 of each row of docs."""
-    return _run(docs, "kept", False, window, rounds)
+    return _run(docs, window, rounds, None)
 
 
 def without_repeats(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS) -> DataFrame:
-    """doc_id and text (the words that stay) of each row of docs."""
-    return _run(docs, "kept", True, window, rounds).select("doc_id", F.col("kept").cast("string").alias("text"), "n_words", "n_removed")
+    """The rows of docs with their columns, text being the words that stay, joined by one space."""
+    keep = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
+    out = _run(docs, window, rounds, keep)
+    back = {"doc_id": F.col("doc_id").cast(docs.schema["doc_id"].dataType), "text": F.col("kept").cast("string")} | {c: F.col(f"rest_{i}") for i, c in enumerate(keep)}
+    return out.select(*[back[c].alias(c) for c in docs.columns])
