@@ -62,6 +62,13 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
 
 
+def op7_hmm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sluice.llm import hmm
+
+    scored = hmm.score(_table(spark, sf_dir, "documents"), remainder(5) != 1)
+    return scored.select("doc_id", (F.col("learnt") == 0).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op8_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sluice.llm import urlrules
 
@@ -81,7 +88,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_quality, op3_exact_topk, op4_substring_dedup, op5_tiff, op6_best_fit_packing, op8_url_rules, op9_jaccard_join, op10_mixing)}
+    return {f.__name__: f for f in (op1_language_id, op2_quality, op3_exact_topk, op4_substring_dedup, op5_tiff, op6_best_fit_packing, op7_hmm_scores, op8_url_rules, op9_jaccard_join, op10_mixing)}
 
 
 TOPK_SQL = """
