@@ -12,6 +12,8 @@ packed as often as they occur.
 
 from __future__ import annotations
 
+import json
+import re
 import zlib
 from collections.abc import Iterator
 from functools import cache
@@ -26,8 +28,6 @@ from pyspark.sql import functions as F
 SEQUENCE = 1024
 #: Sequences that a task holds open.
 OPEN = 2048
-#: Words whose ids a Python worker keeps.
-WORDS_KEPT = 250_000
 
 
 def tokenizer_path() -> str:
@@ -36,70 +36,56 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+#: Texts in which both engines' classes of letters, numbers and white space are beyond doubt the same.
+_COMMON = re.compile("[^\t\n\r -~\u00a1-\u024f]")
+
+
+def _byte_letters() -> dict[str, int]:
+    """The letter that a byte-level vocabulary writes for each byte: itself if visible, else the next from U+0100 on."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
+
+
 class Encoder:
-    """Ids of texts as little-endian uint32 bytes.
+    """Ids of texts as little-endian uint32 bytes, as the library `tokenizers` gives them for the file.
 
-    The pre-tokenizer of a byte-level vocabulary never joins what lies before a single space between
-    two characters that are no white space with what follows, so a text's ids are those of the
-    parts it has between such spaces, in order; the ids of frequent parts are kept.
+    Where the file is a byte-level BPE whose ids follow the order of its merges, texts of common
+    letters go through a faster engine with that same vocabulary; all others through `tokenizers`.
     """
 
-    def __init__(self, path: str, kept: int = WORDS_KEPT):
+    def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.kept, self.words = kept, {}
-
-    def whole(self, text: str) -> bytes:
+        self.fast = self._same_vocabulary(path)
+
+    @staticmethod
+    def _same_vocabulary(path: str):
+        import tiktoken
+        from public_tokenizers import PATTERN
+
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        vocab, pre = spec["model"].get("vocab"), spec.get("pre_tokenizer") or {}
+        if spec["model"].get("type") != "BPE" or pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or spec.get("normalizer"):
+            return None
+        merges = ["".join(m.split(" ") if isinstance(m, str) else m) for m in spec["model"]["merges"]]
+        if any(vocab.get(m) != 256 + i for i, m in enumerate(merges)):
+            return None
+        letters = _byte_letters()
+        special = {t["content"] for t in spec.get("added_tokens", [])}
+        ranks = {bytes(letters[c] for c in token): i for token, i in vocab.items() if token not in special}
+        return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+    def plain(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32).tobytes()
 
     def __call__(self, text: str) -> bytes:
-        parts = text.split(" ")
-        if len(parts) == 1:
-            return self.whole(text)
-        out, words, fine = [], self.words, True
-        get = words.get
-        for i, part in enumerate(parts):
-            ids = get(part)
-            if ids is None or i == 0:
-                if not part or part[0].isspace() or part[-1].isspace():
-                    fine = False
-                    break
-                if i == 0:
-                    ids = self.whole(part)
-                else:
-                    ids = self.whole(" " + part)
-                    if len(words) >= self.kept:
-                        words.clear()
-                    if len(part) <= 64:
-                        words[part] = ids
-            out.append(ids)
-        return b"".join(out) if fine else self._runs(text)
-
-    def _runs(self, text: str) -> bytes:
-        """As above, for texts with other white space beside some of their spaces."""
-        out, words = [], self.words
-        at, held = 0, text.split(" ")
-        # Parts that touch other white space stay in one run with their neighbours.
-        while at < len(held):
-            to = at + 1
-            while to < len(held) and (not held[to - 1] or held[to - 1][-1].isspace() or not held[to] or held[to][0].isspace()):
-                to += 1
-            if to == at + 1 and at:
-                part = held[at]
-                ids = words.get(part)
-                if ids is None:
-                    ids = self.whole(" " + part)
-                    if len(words) >= self.kept:
-                        words.clear()
-                    if len(part) <= 64:
-                        words[part] = ids
-                out.append(ids)
-            else:
-                out.append(self.whole((" " if at else "") + " ".join(held[at:to])))
-            at = to
-        return b"".join(out)
+        if self.fast is None or _COMMON.search(text):
+            return self.plain(text)
+        return np.asarray(self.fast.encode_ordinary(text), np.uint32).tobytes()
 
 
 @cache
