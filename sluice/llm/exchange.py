@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from sluice.llm.shared import binary_views, new_path, remove, slices
 
 #: Bytes of text in a chunk (a longer document is a chunk of its own).
-CHUNK_BYTES = 3 << 20
+CHUNK_BYTES = 1 << 20
 CHUNK_SCHEMA = "chunk long, ids binary, lens binary, flags binary, rest binary, text binary"
 
 

@@ -10,15 +10,15 @@ documents have them, rarest first, two points that link must share one of the fi
 a point has to appear in. A shingle of one document has no region, so that a document whose rarest
 shingles are all its own, as most are, is alone without being compared with anything.
 
-Recursion. Each point goes, with its set, to its home region only, the most frequent of its regions;
-large regions are dealt into blocks. In a block documents are the pivots: a pivot's distances to all
-of the block link its ball, and a member of the ball is compared further only if the triangle
-inequality leaves a point outside the ball's component that it could reach (d to the pivot at most
-2 * EPSILON, and within EPSILON of the member's own). The centres of the blocks' components meet in
-blocks of the next level, until a level joins nothing more. Then the boundary: wherever a region
-holds points of more than one component, its pairs from different components and blocks that pass the
-size and position bounds are verified on their sets. Components of the verified links come from
-alternating star contractions, each round written to the shared folder.
+Recursion. In each of a few rounds a point goes, with its set, to one home region: of the pivots made
+of its shared shingles the first in the round's order. Large regions are dealt into blocks, in every
+round anew. In a block documents are the pivots: a pivot's distances to all of the block link its
+ball, and a member of the ball is compared further only if the triangle inequality leaves a point
+outside the ball's component that it could reach (d to the pivot at most 2 * EPSILON, and within
+EPSILON of the member's own). Then the boundary: wherever a region holds points of more than one
+component, its pairs from different components that pass the size and position bounds are verified on
+their sets. Components of the verified links come from alternating star contractions, each round
+written to the shared folder.
 
 Results in special cases: null texts and texts without a word have an empty set and link with
 nothing; with one to four words the whole sequence is the one shingle; a null doc_id stays null and
@@ -43,8 +43,9 @@ SHINGLE = 5
 #: Two documents link when 100 * intersection >= PERCENT * union.
 PERCENT = 75
 EPSILON = 1 - PERCENT / 100
-#: Points of a block.
+#: Points of a block, and rounds of home regions.
 BLOCK = 400
+ROUNDS = 3
 NO_ID = -(1 << 63)
 
 
@@ -77,12 +78,12 @@ def shingle_sets(c: Chunk, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     return out[new], kept[ends]
 
 
-_POINT = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("node", pa.int64()), ("home", pa.int64()), ("own", pa.int32()), ("prefix", pa.binary()), ("shingles", pa.binary())])
-POINT = "doc_id long, n long, node long, home long, own int, prefix binary, shingles binary"
+_POINT = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("node", pa.int64()), ("homes", pa.list_(pa.int64())), ("own", pa.int32()), ("prefix", pa.binary()), ("shingles", pa.binary())])
+POINT = "doc_id long, n long, node long, homes array<long>, own int, prefix binary, shingles binary"
 
 
 def points(c: Chunk, total: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """A row per text. Of texts that share a shingle of their prefix with another: node (names the set), home, own (shingles before the prefix part that is shared), prefix, shingles."""
+    """A row per text. Of texts that share a shingle of their prefix with another: node (names the set), homes (its region of each round), own (shingles before the prefix part that is shared), prefix, shingles."""
     flat, ends = shingle_sets(c)
     _, _, place = distinct_keys(flat)
     count = total[place].astype(np.int64)
@@ -90,17 +91,21 @@ def points(c: Chunk, total: np.ndarray) -> Iterator[pa.RecordBatch]:
     single = np.concatenate([[0], np.cumsum(count == 1)])
     own = single[ends[1:]] - single[ends[:-1]]
     prefix = n - (PERCENT * n + 99) // 100 + 1
-    rows = {k: [None] * len(n) for k in ("node", "home", "own", "prefix", "shingles")}
+    rows = {k: [None] * len(n) for k in ("node", "homes", "own", "prefix", "shingles")}
     shared = np.flatnonzero((own < prefix) & (n > 0))
     if len(shared):
-        names = span_hashes(flat, ends[shared], ends[shared + 1], salt=7).view(np.int64)
-        for i, name in zip(shared.tolist(), names.tolist(), strict=True):
+        names = span_hashes(flat, ends[shared], ends[shared + 1], salt=7)
+        deal = [mixed(names, 40 + r) for r in range(ROUNDS)]
+        for k, i in enumerate(shared.tolist()):
             s, f = flat[ends[i] : ends[i + 1]], count[ends[i] : ends[i + 1]]
             order = np.argsort(f, kind="stable")[own[i] : prefix[i]]
-            blocks = np.uint64(-(-int(f[order[-1]]) // BLOCK))
-            block = mixed(np.array([name], np.int64).view(np.uint64), 5)[0] % blocks
-            rows["node"][i], rows["own"][i] = name, int(own[i])
-            rows["home"][i] = int(mixed(s[order[-1:]] + block * np.uint64(0x9E3779B97F4A7C15), 6).view(np.int64)[0])
+            known = np.flatnonzero(f > 1)
+            homes = []
+            for r in range(ROUNDS):
+                first = known[mixed(s[known], 20 + r).argmin()]
+                block = deal[r][k : k + 1] % np.uint64(-(-int(f[first]) // BLOCK))
+                homes.append(mixed(s[first : first + 1] + (block * np.uint64(ROUNDS) + np.uint64(r)) * np.uint64(0x9E3779B97F4A7C15), 6).view(np.int64)[0])
+            rows["node"][i], rows["homes"][i], rows["own"][i] = names[k : k + 1].view(np.int64)[0], homes, int(own[i])
             rows["prefix"][i], rows["shingles"][i] = s[order].tobytes(), s.tobytes()
     yield pa.RecordBatch.from_arrays([pa.array(c.ids), pa.array(n, pa.int64()), *(pa.array(v, _POINT.field(k).type) for k, v in rows.items())], schema=_POINT)
 
@@ -163,39 +168,26 @@ class Block:
 
 
 def _block_centres(key, part):
-    """(node, centre, region) for the points of a block."""
+    """(node, centre) for the points of a block that aren't their component's centre."""
     nodes = part.column("node").to_numpy()
     order = np.argsort(nodes, kind="stable")
+    nodes = nodes[order]
+    if len(nodes) == 1:
+        return pa.table({"x": nodes[:0], "y": nodes[:0]})
     sets = part.column("shingles").to_pylist()
     block = Block([np.frombuffer(sets[i], np.uint64) for i in order])
     block.join()
-    nodes = nodes[order]
-    return pa.table({"node": nodes, "centre": nodes[block.centres()], "region": np.full(len(nodes), part.column("region")[0].as_py(), np.int64)})
-
-
-def _home_levels(nodes: DataFrame) -> DataFrame:
-    """node, label (the centre it reaches), block (its block of the first level)."""
-    level = nodes.select("node", F.col("home").alias("region"), "shingles")
-    schema = "node long, centre long, region long"
-    first = written(level.groupBy("region").applyInArrow(_block_centres, schema), "level")
-    labels = first.select("node", F.col("centre").alias("label"), F.col("region").alias("block"))
-    # Centres of the blocks of one home region meet again; the region without its block is kept as `wide`.
-    centres = nodes.join(first.filter("node = centre").select("node"), "node", "left_semi").select("node", F.col("wide"), "shingles")
-    many = written(centres.select("node", "wide"), "centres")
-    count = many.count()
-    while True:
-        sizes = many.groupBy("wide").agg(F.count("*").alias("m")).filter("m > 1")
-        dealt = many.join(sizes, "wide").withColumn("region", F.xxhash64("wide", F.expr(f"pmod(xxhash64(node), cast(ceil(m / {BLOCK}) as bigint))"))).select("node", "region")
-        met = nodes.select("node", "shingles").join(dealt, "node").select("node", "region", "shingles")
-        step = written(met.groupBy("region").applyInArrow(_block_centres, schema).filter("node <> centre").select("node", "centre"), "level")
-        if step.isEmpty():
-            return labels
-        labels = written(labels.join(step.select(F.col("node").alias("label"), F.col("centre").alias("up")), "label", "left").select("node", F.coalesce("up", "label").alias("label"), "block"), "labels")
-        many = written(many.join(step.select("node"), "node", "left_anti"), "centres")
-        left = many.count()
-        if left > 0.9 * count:
-            return labels
-        count = left
+    centre = nodes[block.centres()]
+    away = centre != nodes
+    return pa.table({"x": nodes[away], "y": centre[away]})
+
+
+def _home_labels(nodes: DataFrame) -> DataFrame:
+    """(node, label): components of the links found in the points' home regions of all rounds."""
+    dealt = nodes.select("node", F.explode("homes").alias("region"), "shingles")
+    edges = dealt.groupBy("region").applyInArrow(_block_centres, "x long, y long")
+    roots = components(edges)
+    return written(nodes.select("node").join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("label")), "labels")
 
 
 def _entries(nodes: DataFrame) -> DataFrame:
@@ -216,14 +208,14 @@ def _entries(nodes: DataFrame) -> DataFrame:
 
 def _cell_pairs(key, part):
     """Pairs of a region from different components and blocks that could link, first shared here or not."""
-    t = {c: part.column(c).to_numpy() for c in ("node", "n", "pos", "label", "block", "side")}
+    t = {c: part.column(c).to_numpy() for c in ("node", "n", "pos", "label", "side")}
     a, b = np.flatnonzero(t["side"] <= 1), np.flatnonzero(t["side"] >= 1)
     xs, ys = [], []
     for i in a.tolist():
         n, m = int(t["n"][i]), t["n"][b]
         need = -(-PERCENT * (n + m) // (100 + PERCENT))
         room = 1 + np.minimum(n - 1 - int(t["pos"][i]), m - 1 - t["pos"][b])
-        ok = (t["label"][b] != t["label"][i]) & (t["block"][b] != t["block"][i]) & (100 * np.minimum(n, m) >= PERCENT * np.maximum(n, m)) & (room >= need) & (t["node"][b] != t["node"][i])
+        ok = (t["label"][b] != t["label"][i]) & (100 * np.minimum(n, m) >= PERCENT * np.maximum(n, m)) & (room >= need)
         hit = t["node"][b[ok]]
         xs.append(np.minimum(hit, t["node"][i]))
         ys.append(np.maximum(hit, t["node"][i]))
@@ -241,7 +233,7 @@ def _boundary_links(nodes: DataFrame, labels: DataFrame) -> DataFrame:
     rows = entries.join(open_regions, "s").withColumn("cell", F.expr("cast(pmod(xxhash64(node, 1), cells) as int)"))
     # Cells of a region meet two by two; side 1: both sides, when a cell meets itself.
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)))
-    rows = rows.select("s", "node", "n", "pos", "label", "block", F.least("cell", "other").alias("i"), F.greatest("cell", "other").alias("j"), F.when(F.col("cell") == F.col("other"), 1).when(F.col("cell") < F.col("other"), 0).otherwise(2).alias("side"))
+    rows = rows.select("s", "node", "n", "pos", "label", F.least("cell", "other").alias("i"), F.greatest("cell", "other").alias("j"), F.when(F.col("cell") == F.col("other"), 1).when(F.col("cell") < F.col("other"), 0).otherwise(2).alias("side"))
     pairs = written(rows.groupBy("s", "i", "j").applyInArrow(_cell_pairs, "x long, y long").distinct(), "pairs")
     sets = nodes.select("node", "shingles")
     full = pairs.join(sets.select(F.col("node").alias("x"), F.col("shingles").alias("sx")), "x").join(sets.select(F.col("node").alias("y"), F.col("shingles").alias("sy")), "y").select("x", "y", "sx", "sy")
@@ -266,7 +258,9 @@ def components(edges: DataFrame) -> DataFrame:
     Each round links every node's neighbours to the smallest of them: first those larger than the
     node, then the node and those smaller. Rounds end when nothing changes.
     """
-    now = written(edges.select("x", "y").filter("x <> y").distinct(), "edges")
+    sign = lambda df: tuple(df.agg(F.count("*"), F.bit_xor(F.xxhash64("x", "y")), F.sum(F.xxhash64("y", "x").cast("decimal(38,0)"))).first())
+    now = written(edges.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).filter("x <> y").distinct(), "edges")
+    mark = sign(now)
     while True:
         both = now.select("x", "y").unionAll(now.select(F.col("y").alias("x"), F.col("x").alias("y")))
         least = both.groupBy("x").agg(F.min("y").alias("m")).withColumn("m", F.least("m", "x"))
@@ -275,7 +269,8 @@ def components(edges: DataFrame) -> DataFrame:
         least = down.groupBy("x").agg(F.min("y").alias("m"))
         small = down.join(least, "x").select(F.col("m").alias("a"), F.col("y").alias("b")).unionAll(least.select(F.col("m").alias("a"), F.col("x").alias("b")))
         new = written(small.filter("a <> b").select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).distinct(), "edges")
-        if new.exceptAll(now).isEmpty() and now.exceptAll(new).isEmpty():
+        mark, old = sign(new), mark
+        if mark == old:
             return now.select(F.col("y").alias("node"), F.col("x").alias("root")).unionAll(now.select(F.col("x").alias("node"), F.col("x").alias("root"))).distinct()
         now = new
 
@@ -294,10 +289,9 @@ def classes(docs: DataFrame) -> DataFrame:
     table.map_with(counted, points, POINT, kind=np.uint32).withColumn("doc_id", F.nullif(F.col("doc_id"), F.lit(NO_ID))).write.parquet(path)
     table.drop()
     rows = spark.read.schema(POINT).parquet(path)
-    one = rows.filter(F.col("node").isNotNull()).groupBy("node").agg(*(F.first(c).alias(c) for c in ("n", "home", "own", "prefix", "shingles")))
-    last = F.substring("prefix", -8, 8)
-    nodes = written(one.withColumn("wide", F.xxhash64(last)), "nodes")
-    labels = written(_home_levels(nodes), "labels")
+    one = rows.filter(F.col("node").isNotNull()).groupBy("node").agg(*(F.first(c).alias(c) for c in ("n", "homes", "own", "prefix", "shingles")))
+    nodes = written(one, "nodes")
+    labels = _home_labels(nodes)
     edges = _boundary_links(nodes, labels)
     roots = components(edges)
     final = labels.join(roots.toDF("label", "root"), "label", "left").select("node", F.coalesce("root", "label").alias("root"))
