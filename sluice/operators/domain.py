@@ -18,6 +18,9 @@ from sluice import terms as T
 from sluice.errors import ContentError
 from sluice.functions import gml
 from sluice.functions.scalars import date_of, number, short_name
+from sluice.operators import hierarchy as hierarchies
+from sluice.operators import network as networks
+from sluice.operators import restrictions as ontologies
 from sluice.operators.fixpoint import kept
 from sluice.operators.graph import Graph, text_of
 from sluice.operators.hierarchy import Hierarchy
@@ -312,25 +315,120 @@ class Dataset:
     conduits: DataFrame
     geometry_errors: DataFrame
 
+    ontology: Graph | None = None
+
     @classmethod
     def load(cls, graph: Graph, ontology: Graph | None = None) -> Dataset:
         """Class knowledge comes from the ontology where there is one, else from the graph. Written once; an empty network is an error."""
+        graph = graph.stored()
+        if ontology is not None and ontology.triples.isEmpty():
+            ontology = None
         hierarchy = Hierarchy.of(ontology or graph)
         reader = Reader(graph, hierarchy)
         nodes = kept(reader.nodes())
         conduits = kept(reader.conduits(nodes))
         if nodes.isEmpty() and conduits.isEmpty():
             raise ContentError("the dataset has neither nodes nor conduits")
-        return cls(graph, hierarchy, nodes, conduits, reader.errors("node").unionAll(reader.errors("conduit")))
+        return cls(graph, hierarchy, nodes, conduits, reader.errors("node").unionAll(reader.errors("conduit")), ontology)
 
     def subset(self, uris: DataFrame) -> Dataset:
         """The objects of uris (uri); the graph stays whole."""
         some = lambda df: df.join(uris.select("uri").distinct(), "uri", "left_semi")
-        return Dataset(self.graph, self.hierarchy, some(self.nodes), some(self.conduits), some(self.geometry_errors))
+        return Dataset(self.graph, self.hierarchy, some(self.nodes), some(self.conduits), some(self.geometry_errors), self.ontology)
 
     def with_fillers(self, kinds: list[str], band: float = 0.0) -> Dataset:
         if not kinds:
             return self
-        return Dataset(self.graph, self.hierarchy, mark_fillers(self.nodes, kinds, band), mark_fillers(self.conduits, kinds, band), self.geometry_errors)
+        return Dataset(self.graph, self.hierarchy, mark_fillers(self.nodes, kinds, band), mark_fillers(self.conduits, kinds, band), self.geometry_errors, self.ontology)
+
+    # Questions, all set-wise: each gives a DataFrame, and a filter on it is the question about one object.
+
+    @property
+    def terms(self) -> T.Terms:
+        return self.graph.terms
+
+    def version(self) -> str | None:
+        return hierarchies.version_of_types(self.nodes, self.conduits)
+
+    def closure(self, root: str) -> DataFrame:
+        return self.hierarchy.below(root)
+
+    def types(self) -> DataFrame:
+        """(uri, types) of nodes and conduits."""
+        return hierarchies.types_of(self.nodes, self.conduits)
+
+    def graph_types(self) -> DataFrame:
+        return hierarchies.graph_types_of(self.graph, self.nodes, self.conduits)
+
+    def is_a(self, root: str) -> DataFrame:
+        """The uris of nodes and conduits of a class."""
+        return hierarchies.is_a(self.types(), self.hierarchy, root)
+
+    def graph_is_a(self, root: str) -> DataFrame:
+        """The subjects of a class, whatever they are."""
+        return hierarchies.subjects_of_class(self.graph, self.hierarchy, root).select("s").distinct()
+
+    def of_class(self, root: str) -> DataFrame:
+        return hierarchies.of_class(self.nodes, self.conduits, self.hierarchy, root)
+
+    def subjects_of_class(self, root: str) -> DataFrame:
+        return hierarchies.subjects_of_class(self.graph, self.hierarchy, root)
+
+    def nodes_of(self, *roots: str) -> DataFrame:
+        typed = self.nodes.select("uri", F.array_union("types", "orientation_types").alias("types"), "ord")
+        return hierarchies.first_root(typed, self.hierarchy, list(roots))
+
+    def conduits_of(self, *roots: str) -> DataFrame:
+        return hierarchies.first_root(self.conduits.select("uri", "types", "ord"), self.hierarchy, list(roots))
+
+    def object_types(self) -> DataFrame:
+        own = self.nodes.select("uri", F.explode("types").alias("type")).unionAll(self.conduits.select("uri", F.explode("types")))
+        return hierarchies.object_type(own, self.nodes.select("uri", F.explode("orientation_types").alias("type")), self.hierarchy)
+
+    def falls_under(self, *roots: str) -> DataFrame:
+        return hierarchies.falls_under(self.types().select("uri", F.explode("types").alias("type")), self.hierarchy, list(roots))
+
+    def neighbours(self) -> DataFrame:
+        return self.graph.neighbours()
+
+    def parts(self, root: str | None = None) -> DataFrame:
+        return parts_of(self.graph, self.hierarchy, root)
+
+    def members(self) -> DataFrame:
+        return system_members(self.graph, self.nodes, self.conduits)
+
+    def attribute_values(self, kind: str) -> DataFrame:
+        return attribute_values(self.graph, kind)
+
+    def attribute_instances(self, kind: str) -> DataFrame:
+        return attribute_instances(self.graph, kind)
+
+    def attributes_of_subjects(self) -> DataFrame:
+        """(s, aspects) of every subject, parts without geometry included."""
+        return Reader(self.graph, self.hierarchy).attributes()
+
+    def labels(self) -> DataFrame:
+        return Reader(self.graph, self.hierarchy).labels()
+
+    def climb(self, starts: DataFrame, *roots: str) -> DataFrame:
+        return networks.climb(starts, self.nodes, self.hierarchy, list(roots))
+
+    def conduit_nodes(self, *roots: str) -> DataFrame:
+        return networks.conduit_nodes(self.conduits, self.nodes, self.hierarchy, list(roots))
+
+    def drawing_direction(self, *roots: str) -> DataFrame:
+        return networks.drawing_direction(self.conduits, self.nodes, self.hierarchy, list(roots))
+
+    def structural_differences(self) -> DataFrame:
+        return Reader(self.graph, self.hierarchy).structural_differences()
+
+    def repairs(self) -> DataFrame:
+        return repairs(self.conduits)
+
+    def attribute_properties(self) -> DataFrame:
+        return ontologies.attribute_properties(self.ontology or self.graph, self.hierarchy)
+
+    def class_functions(self) -> DataFrame:
+        return ontologies.class_functions(self.ontology or self.graph, self.hierarchy)
 
 

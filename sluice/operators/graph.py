@@ -35,6 +35,17 @@ class Graph:
         self.terms = terms or Terms()
         self.triples = statements if distinct else deduplicated(statements)
 
+    def stored(self) -> Graph:
+        """The same graph, its triples written once by predicate: whoever asks for one predicate reads its files alone."""
+        import uuid
+
+        from sluice.operators.fixpoint import shared_folder
+
+        spark = self.triples.sparkSession
+        path = f"{shared_folder(spark)}/sluice-triples-{uuid.uuid4().hex}"
+        self.triples.write.partitionBy("p").parquet(path)
+        return Graph(spark.read.schema(self.triples.schema).parquet(path).select(*COLUMNS, "pos"), self.terms, distinct=True)
+
     def count(self) -> DataFrame:
         return self.triples.agg(F.count("*").alias("n_triples"))
 

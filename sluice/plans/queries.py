@@ -43,7 +43,7 @@ def short(column: str):
 
 
 def _reader(spark: SparkSession, sf_dir: str, items: bool = False) -> Reader:
-    return Reader(tables.graph(spark, sf_dir, items), Hierarchy.of(tables.class_graph(spark, sf_dir)))
+    return Reader(tables.graph(spark, sf_dir, items).stored(), Hierarchy.of(tables.class_graph(spark, sf_dir)))
 
 
 def _nodes(r: Reader) -> DataFrame:

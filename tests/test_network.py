@@ -234,3 +234,26 @@ def test_scalars(spark):
     assert [r["n"] for r in got][:7] == [1500.0, None, None, None, 150.0, None, -0.5]
     assert [r["d"] for r in got][7:] == ["1980-01-01"] * 3 + [None] * 3
     assert T.short_name("http://x/a#b") == "b" and T.version_of_base(T.DEFAULT_BASE) == "1.6" and T.base_of_iri("http://x/") is None
+
+
+def test_dataset_questions(spark):
+    ds = Dataset.load(graph(spark, put("A", 0, 0, cls="Inspectieput") + put("B", 10, 0) + line("L", "A_o", "B_o", "0 0 10 0")))
+    names = lambda df, c="uri": sorted(short(r[c]) for r in df.collect())
+    assert names(ds.of_class("Put")) == ["A", "B"] and names(ds.is_a("Inspectieput")) == ["A"] and names(ds.conduits_of("Leiding")) == ["L"]
+    assert {short(r["uri"]): short(r["root"]) for r in ds.nodes_of("Inspectieput", "Put").collect()} == {"A": "Inspectieput", "B": "Put"}
+    assert {short(r["uri"]): r["object_type"] for r in ds.object_types().collect()} == {"A": "Inspectieput", "B": "Put", "L": "Leiding"}
+    assert ds.version() == "1.6" and names(ds.graph_is_a("Put"), "s") == ["A", "B"]
+    with pytest.raises(ValueError, match="connections"):
+        ds.of_class("Leidingorientatie")
+    assert {short(r["uri"]): (short(r["start"]), short(r["end"])) for r in ds.conduit_nodes("Put").collect()} == {"L": ("A", "B")}
+
+
+def test_clip_and_merge_files(spark, tmp_path):
+    (tmp_path / "net.ttl").write_text(HEAD + NETWORK)
+    square = lambda a, b: f"[[[{a},-50],[{b},-50],[{b},50],[{a},50],[{a},-50]]]"
+    (tmp_path / "b.geojson").write_text('{"features":[' + ",".join(f'{{"properties":{{"n":"{n}"}},"geometry":{{"type":"Polygon","coordinates":{square(a, b)}}}}}' for n, a, b in (("West", 0, 20), ("East", 20, 80))) + "]}")
+    files = clip.clip_file(spark, str(tmp_path / "net.ttl"), str(tmp_path / "b.geojson"), str(tmp_path), "n", check_range=True)
+    assert [f.rsplit("/", 1)[-1] for f in files] == ["West.ttl", "East.ttl"]
+    clip.merge_files(spark, files[::-1], str(tmp_path / "back.ttl"))
+    sign = lambda p: sink.isomorphic_fingerprint(turtle.load(spark, str(tmp_path / p)).triples).first()
+    assert sign("back.ttl") == sign("net.ttl")
