@@ -341,6 +341,11 @@ class Dataset:
             return self
         return Dataset(self.graph, self.hierarchy, mark_fillers(self.nodes, kinds, band), mark_fillers(self.conduits, kinds, band), self.geometry_errors, self.ontology)
 
+    def register(self, prefix: str = "") -> None:
+        """Temporary views for SQL: triples, nodes, conduits, geometry_errors and subclass_closure, their names after a prefix."""
+        for name, df in (("triples", self.graph.triples), ("nodes", self.nodes), ("conduits", self.conduits), ("geometry_errors", self.geometry_errors), ("subclass_closure", self.hierarchy.closure)):
+            df.createOrReplaceTempView(prefix + name)
+
     # Questions, all set-wise: each gives a DataFrame, and a filter on it is the question about one object.
 
     @property

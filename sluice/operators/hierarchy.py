@@ -12,12 +12,40 @@ from sluice.operators.graph import Graph
 from sluice.terms import Terms
 
 
+#: Edges up to which a closure is made on the driver: vocabularies have a few thousand.
+SMALL = 20_000
+
+
+def _closed(edges: list[tuple[str, str]]) -> set[tuple[str, str]]:
+    below: dict[str, list[str]] = {}
+    for root, sub in edges:
+        below.setdefault(root, []).append(sub)
+    out = set()
+    for root in below:
+        seen, going = {root}, [root]
+        while going:
+            for sub in below.get(going.pop(), ()):
+                if sub not in seen:
+                    seen.add(sub)
+                    going.append(sub)
+        out |= {(root, c) for c in seen}
+    return out
+
+
 def subclass_closure(graph: Graph) -> DataFrame:
-    """(root, class): each class that has subclasses, with itself and all its descendants. Cycles are followed once."""
+    """(root, class): each class that has subclasses, with itself and all its descendants. Cycles are followed once.
+
+    Hierarchies of a vocabulary's size, which is checked, are closed on the driver; larger ones by a loop.
+    """
     edges = graph.of(T.SUBCLASS).filter("kind = 'I' and not startswith(s, '_:')").select(F.col("o").alias("root"), F.col("s").alias("class")).distinct()
+    few = edges.limit(SMALL + 1).collect()
+    if len(few) <= SMALL:
+        pairs = _closed([tuple(r) for r in few])
+        if len(pairs) <= 10 * SMALL:
+            return edges.sparkSession.createDataFrame(sorted(pairs), "root string, class string")
     edges = kept(edges)
     below = until_stable(edges, lambda new: new.join(edges.select(F.col("root").alias("class"), F.col("class").alias("sub")), "class").select("root", F.col("sub").alias("class")))
-    return below.unionAll(edges.select("root", F.col("root").alias("class"))).distinct()
+    return kept(below.unionAll(edges.select("root", F.col("root").alias("class"))).distinct())
 
 
 class Hierarchy:
@@ -28,7 +56,7 @@ class Hierarchy:
 
     @classmethod
     def of(cls, graph: Graph) -> Hierarchy:
-        return cls(kept(subclass_closure(graph)), graph.terms)
+        return cls(subclass_closure(graph), graph.terms)
 
     def below(self, root: str) -> DataFrame:
         """(class): root and its descendants; root alone if it has none."""

@@ -257,3 +257,10 @@ def test_clip_and_merge_files(spark, tmp_path):
     clip.merge_files(spark, files[::-1], str(tmp_path / "back.ttl"))
     sign = lambda p: sink.isomorphic_fingerprint(turtle.load(spark, str(tmp_path / p)).triples).first()
     assert sign("back.ttl") == sign("net.ttl")
+
+
+def test_both_closures_agree(spark, monkeypatch):
+    g = graph(spark, "g:X s:subClassOf g:Y . g:Y s:subClassOf g:X . g:Z s:subClassOf g:X . g:W s:subClassOf g:Z .".replace("s:", "rdfs:"))
+    small = {tuple(r) for r in hierarchy.subclass_closure(g).collect()}
+    monkeypatch.setattr(hierarchy, "SMALL", 2)
+    assert {tuple(r) for r in hierarchy.subclass_closure(g).collect()} == small and len(small) > 12
