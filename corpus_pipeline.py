@@ -22,14 +22,9 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates the document with the smallest id, once.
 
-    Documents without an id stay; of rows that share the id that stays, one stays.
+    Documents without an id stay unless they are in the group of one that has an id.
     """
-    classes = jaccard.classes(docs).filter(F.col("doc_id") == F.col("component_id"))
-    kept = classes.groupBy(F.col("doc_id").alias("kept_id")).agg(F.count("*").alias("kept_rows"))
-    named = docs.join(kept, docs["doc_id"] == kept["kept_id"])
-    once = named.filter("kept_rows = 1").select(docs.columns)
-    again = named.filter("kept_rows > 1").select(docs.columns).dropDuplicates(["doc_id"])
-    return once.unionAll(again).unionAll(docs.filter(F.col("doc_id").isNull()))
+    return jaccard.one_per_class(docs)
 
 
 def no_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sluice.llm.exchange import Chunk, ChunkTable, distinct_keys, totals
-from sluice.llm.shared import new_path, written
+from sluice.llm.shared import keep_written, release, scratch, written
 from sluice.llm.words import mixed, span_hashes, window_hashes, words_of
 
 SHINGLE = 5
@@ -78,8 +78,8 @@ def shingle_sets(c: Chunk, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     return out[new], kept[ends]
 
 
-_POINT = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("node", pa.int64()), ("homes", pa.list_(pa.int64())), ("own", pa.int32()), ("prefix", pa.binary()), ("shingles", pa.binary())])
-POINT = "doc_id long, n long, node long, homes array<long>, own int, prefix binary, shingles binary"
+_POINT = pa.schema([("chunk", pa.int64()), ("at", pa.int32()), ("doc_id", pa.int64()), ("n", pa.int64()), ("node", pa.int64()), ("homes", pa.list_(pa.int64())), ("own", pa.int32()), ("prefix", pa.binary()), ("shingles", pa.binary())])
+POINT = "chunk long, at int, doc_id long, n long, node long, homes array<long>, own int, prefix binary, shingles binary"
 
 
 def points(c: Chunk, total: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -107,7 +107,7 @@ def points(c: Chunk, total: np.ndarray) -> Iterator[pa.RecordBatch]:
                 homes.append(mixed(s[first : first + 1] + (block * np.uint64(ROUNDS) + np.uint64(r)) * np.uint64(0x9E3779B97F4A7C15), 6).view(np.int64)[0])
             rows["node"][i], rows["homes"][i], rows["own"][i] = names[k : k + 1].view(np.int64)[0], homes, int(own[i])
             rows["prefix"][i], rows["shingles"][i] = s[order].tobytes(), s.tobytes()
-    yield pa.RecordBatch.from_arrays([pa.array(c.ids), pa.array(n, pa.int64()), *(pa.array(v, _POINT.field(k).type) for k, v in rows.items())], schema=_POINT)
+    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), c.chunk)), pa.array(range(len(n)), pa.int32()), pa.array(c.ids), pa.array(n, pa.int64()), *(pa.array(v, _POINT.field(k).type) for k, v in rows.items())], schema=_POINT)
 
 
 class Block:
@@ -275,30 +275,74 @@ def components(edges: DataFrame) -> DataFrame:
         now = new
 
 
-def classes(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id of each row of docs."""
-    spark = docs.sparkSession
-    table = ChunkTable(docs.withColumn("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))))
+def _resolved(table: ChunkTable, drop: bool) -> DataFrame:
+    """(chunk, at, doc_id, n, component): every text of the table, by its chunk and its place there. drop: the table, as soon as its texts aren't needed."""
+    spark = table.spark
 
     def send(c: Chunk) -> tuple[np.ndarray, np.ndarray]:
         keys, counts, _ = distinct_keys(shingle_sets(c)[0])
         return keys, counts
 
     counted = totals(table, send, width=6, kind=np.uint32)
-    path = new_path(spark, "points")
-    table.map_with(counted, points, POINT, kind=np.uint32).withColumn("doc_id", F.nullif(F.col("doc_id"), F.lit(NO_ID))).write.parquet(path)
-    table.drop()
-    rows = spark.read.schema(POINT).parquet(path)
+    rows = written(table.map_with(counted, points, POINT, kind=np.uint32).withColumn("doc_id", F.nullif(F.col("doc_id"), F.lit(NO_ID))), "points")
+    del counted
+    if drop:
+        table.drop()
+    release(spark)
     one = rows.filter(F.col("node").isNotNull()).groupBy("node").agg(*(F.first(c).alias(c) for c in ("n", "homes", "own", "prefix", "shingles")))
     nodes = written(one, "nodes")
+    del one
     labels = _home_labels(nodes)
-    edges = _boundary_links(nodes, labels)
-    roots = components(edges)
+    release(spark)
+    roots = components(_boundary_links(nodes, labels))
     final = labels.join(roots.toDF("label", "root"), "label", "left").select("node", F.coalesce("root", "label").alias("root"))
     least = rows.filter(F.col("node").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("least"))
     named = final.join(least, "node")
     named = named.join(named.groupBy("root").agg(F.min("least").alias("component")), "root").select("node", "component")
-    alone = rows.filter(F.col("node").isNull()).select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    joined = rows.filter(F.col("node").isNotNull()).select("doc_id", "n", "node").join(named, "node").select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
-    return written(alone.unionAll(joined), "classes")
+    columns = ["chunk", "at", "doc_id", "n"]
+    alone = rows.filter(F.col("node").isNull()).select(*columns, F.col("doc_id").alias("component"))
+    return alone.unionAll(rows.filter(F.col("node").isNotNull()).select(*columns, "node").join(named, "node").select(*columns, "component"))
+
+
+def _table(docs: DataFrame, keep: tuple[str, ...] = ()) -> ChunkTable:
+    return ChunkTable(docs.withColumn("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))), keep=keep)
+
 
+def classes(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id of each row of docs."""
+    with scratch(docs.sparkSession):
+        table = _table(docs)
+        return keep_written(_resolved(table, True).select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id")), "classes")
+
+
+def one_per_class(docs: DataFrame) -> DataFrame:
+    """The rows of docs that stand for their class, with all their columns: that of the smallest doc_id, of repeated rows one.
+
+    Rows without a doc_id stay unless a row with one is in their class. Texts don't move: what stays is
+    told to the chunks that hold the texts.
+    """
+    keep = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
+    with scratch(docs.sparkSession):
+        table = _table(docs, keep)
+        rows = written(_resolved(table, False), "resolved")
+        release(docs.sparkSession)
+        first = rows.filter("doc_id = component").groupBy("component").agg(F.min(F.struct("chunk", "at")).alias("w")).select("w.chunk", "w.at")
+        stay = first.unionAll(rows.filter("component is null").select("chunk", "at")).groupBy("chunk").agg(F.collect_list("at").alias("places"))
+        kinds = "".join(f", rest_{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(keep))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for i in range(batch.num_rows):
+                    row = batch.slice(i, 1).to_pylist()[0]
+                    c, at = Chunk(row), pa.array(sorted(row["places"]), pa.int64())
+                    texts = [c.raw[c.offsets[k] : c.offsets[k + 1]].tobytes() for k in at.to_pylist()]
+                    rest = c.rest().take(at) if keep else pa.table({})
+                    arrays = [pa.array(c.ids).take(at), pa.array(texts, pa.binary()), *(x.combine_chunks() for x in rest.columns)]
+                    yield pa.RecordBatch.from_arrays([a.chunk(0) if isinstance(a, pa.ChunkedArray) else a for a in arrays], names=["doc_id", "text", *rest.column_names])
+
+        joined = table.frame().join(stay.hint("shuffle_hash"), "chunk").select("chunk", "ids", "lens", "flags", "rest", "text", "places")
+        out = joined.mapInArrow(run, "doc_id long, text binary" + kinds)
+        back = {"doc_id": F.nullif(F.col("doc_id"), F.lit(NO_ID)).cast(docs.schema["doc_id"].dataType), "text": F.col("text").cast("string")} | {c: F.col(f"rest_{i}") for i, c in enumerate(keep)}
+        kept = keep_written(out.select(*[back[c].alias(c) for c in docs.columns]), "kept")
+        table.drop()
+    return kept

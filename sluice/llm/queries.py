@@ -146,6 +146,32 @@ SELECT a AS doc_id, CAST(coalesce(max(n.n), 0) AS BIGINT) AS n_shingles, min(b)
 FROM reach LEFT JOIN n ON n.doc_id = a GROUP BY a
 """
 
+MIXING_SQL = r"""
+WITH d AS (
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size, md5('7:' || doc_id) AS place FROM documents
+), w AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size, 2.0::DOUBLE * sum(size) AS cap,
+    ([5, 2, 1][CAST((row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3 + 1 AS INT)])::DOUBLE AS weight
+  FROM d GROUP BY source
+), f AS (
+  SELECT *, 1.5::DOUBLE * sum(source_size) OVER () AS total,
+    coalesce(sum(cap) OVER (stop ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0::DOUBLE) AS caps,
+    sum(weight) OVER (stop ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest
+  FROM w WINDOW stop AS (ORDER BY cap / weight, source IS NULL, source)
+), g AS (
+  SELECT *, caps + cap / weight * rest <= total AS stops, max(CASE WHEN caps + cap / weight * rest > total THEN (total - caps) / rest END) OVER () AS level FROM f
+), t AS (
+  SELECT source, source_size, CASE WHEN stops OR level IS NULL THEN cap ELSE least(cap, level * weight) END AS target FROM g
+), r AS (
+  SELECT d.*, t.source_size, t.target, CASE WHEN t.source_size > 0 THEN floor(t.target / t.source_size) ELSE 0 END AS whole,
+    coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS upto
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+)
+SELECT doc_id, size, source_size, target,
+  CAST(size * (whole + CASE WHEN target - whole * source_size > 0 AND upto + size / 2 <= target - whole * source_size THEN 1 ELSE 0 END) AS BIGINT) AS taken
+FROM r
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_exact_topk": TOPK_SQL, "op4_substring_dedup": SUBSTRING_SQL, "op9_jaccard_join": JACCARD_SQL}
+    return {"op3_exact_topk": TOPK_SQL, "op4_substring_dedup": SUBSTRING_SQL, "op9_jaccard_join": JACCARD_SQL, "op10_mixing": MIXING_SQL}

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -44,10 +47,48 @@ def written(df: DataFrame, what: str) -> DataFrame:
     """df as a written table: later reads don't repeat its work, and survive lost executors."""
     spark = df.sparkSession
     path = new_path(spark, what)
+    for paths in _tracked:
+        paths.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+_tracked: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that are written inside go when it ends; a result is written with keep_written."""
+    paths: list[str] = []
+    _tracked.append(paths)
+    try:
+        yield
+    finally:
+        _tracked.remove(paths)
+        for path in paths:
+            remove(spark, path)
+        release(spark)
+
+
+def keep_written(df: DataFrame, what: str) -> DataFrame:
+    """As written, for what outlives a scratch."""
+    path = new_path(df.sparkSession, what)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of frames that nothing refers to any more.
+
+    Spark's cleaner learns of them by garbage collection: the first drops the references that Python
+    held, a later one finds the frames; the files go a moment after.
+    """
+    for _ in range(3):
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.25)
+
+
 def text_frame(docs: DataFrame, *columns: str) -> DataFrame:
     """The named columns and the text as UTF-8 bytes, nothing else of docs."""
     return docs.select(*columns, F.col("text").cast("binary").alias("text"))

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from sluice.llm.exchange import Chunk, ChunkTable, by_chunk, count_messages, distinct_keys, message_batches, totals
-from sluice.llm.shared import new_path, remove, written
+from sluice.llm.shared import keep_written, new_path, release, remove
 from sluice.llm.words import Words, mixed, window_hashes, words_of
 
 #: Words of a window.
@@ -167,6 +167,8 @@ def removed_words(table: ChunkTable, window: int, rounds: int, with_text: Struct
 
     starts_path = new_path(spark, "windows")
     table.map_with(seen, windows, "chunk long, starts binary").write.bucketBy(table.parts, "chunk").option("path", starts_path).format("parquet").saveAsTable(name := f"{table.name}_windows")
+    del seen
+    release(spark)
     both = table.frame().join(spark.table(name).hint("shuffle_hash"), "chunk", "left")
 
     def hashes(row: dict) -> tuple[Chunk, Words, np.ndarray, np.ndarray]:
@@ -247,7 +249,7 @@ def _run(docs: DataFrame, window: int, rounds: int, keep: tuple[str, ...] | None
     spark = docs.sparkSession
     table = ChunkTable(docs.withColumn("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))), keep=keep or ())
     found, (starts, name) = removed_words(table, window, rounds, None if keep is None else docs.select(*[f"`{c}`" for c in keep]).schema)
-    out = written(found.withColumn("doc_id", F.nullif(F.col("doc_id"), F.lit(NO_ID))), "kept")
+    out = keep_written(found.withColumn("doc_id", F.nullif(F.col("doc_id"), F.lit(NO_ID))), "kept")
     spark.sql(f"DROP TABLE IF EXISTS {name}")
     remove(spark, starts)
     table.drop()
