@@ -43,7 +43,7 @@ class Graph:
 
         spark = self.triples.sparkSession
         path = f"{shared_folder(spark)}/sluice-triples-{uuid.uuid4().hex}"
-        self.triples.write.partitionBy("p").parquet(path)
+        self.triples.hint("rebalance", F.col("p")).write.partitionBy("p").parquet(path)
         return Graph(spark.read.schema(self.triples.schema).parquet(path).select(*COLUMNS, "pos"), self.terms, distinct=True)
 
     def count(self) -> DataFrame:
@@ -76,7 +76,8 @@ class Graph:
 
     def of_types(self, *classes: str) -> DataFrame:
         """The distinct subjects that have one of these classes by name or IRI."""
-        return self.types().filter(F.col("type").isin([self.terms.iri(c) for c in classes])).select("s").distinct()
+        hits = self.types().filter(F.col("type").isin([self.terms.iri(c) for c in classes])).select("s")
+        return hits if len(classes) == 1 else hits.distinct()  # of one class triples have a subject once
 
     def _both_ways(self, forward: str, inverse: str) -> DataFrame:
         t = self.triples

@@ -78,7 +78,7 @@ UNION ALL SELECT 'Hulpstuk', count(*) FROM supplier WHERE s_suppkey % 3 = 0 UNIO
 UNION ALL SELECT 'Leiding', count(*) FROM orders UNION ALL SELECT 'Seg_BUILDING', count(*) FROM customer WHERE c_mktsegment = 'BUILDING'""")
 def selected_per_class(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship: objects per class, subclasses included."""
-    g = tables.graph(spark, sf_dir, items=False)
+    g = tables.graph(spark, sf_dir, items=False).stored()
     h = Hierarchy.of(tables.class_graph(spark, sf_dir))
     held = g.aspects().join(g.types().select(F.col("s").alias("member"), F.col("type").alias("class")).join(F.broadcast(h.below(T.NODE_ROLE).unionAll(h.below(T.EDGE_ROLE))), "class", "left_semi"), "member", "left_semi").select(F.col("holder").alias("s")).distinct()
     roots = h.below_all(["Put", "Compartiment", "Hulpstuk", "Bouwwerk", "Leiding", "Seg_BUILDING"])
@@ -268,25 +268,25 @@ _ITEM = """item AS (SELECT DISTINCT l_orderkey, l_linenumber AS ln, l_partkey, l
 UNION ALL SELECT l_orderkey, 'Status_' || l_linestatus, CASE WHEN ln % 5 <> 0 THEN q::VARCHAR END, CASE WHEN ln % 3 = 0 THEN 'Ship_' || l_linestatus END FROM item WHERE ln % 4 = 0)
 SELECT '{net}o' || l_orderkey AS s, kind, value, reference, count(*) AS n FROM a GROUP BY ALL""")
 def attributes_of_object(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = Reader(Graph(tables.item_triples(spark, sf_dir), TERMS))
+    r = Reader(Graph(tables.item_triples(spark, sf_dir), TERMS).stored())
     return r.attributes().select("s", F.explode("aspects").alias("a")).groupBy("s", "a.kind", "a.value", "a.reference").agg(F.count("*").alias("n"))
 
 
 @query("SELECT '{net}c' || k || CASE WHEN k % 3 = 0 THEN '_mh' ELSE '_mp' END AS s, " + _SOURCED.replace("{k}", "k") + " AS method, " + _DATE.replace("{k}", "k") + " AS date FROM (SELECT c_custkey AS k FROM customer) WHERE k % 3 <> 1 AND (k % 4 <> 0 OR k % 5 NOT IN (1, 2))")
 def provenance_first_nonempty(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = Reader(Graph(tables.customer_triples(spark, sf_dir), TERMS))
+    r = Reader(Graph(tables.customer_triples(spark, sf_dir), TERMS).stored())
     return r.provenance().select("s", "provenance.method", F.date_format("provenance.date", "yyyy-MM-dd").alias("date"))
 
 
 @query("SELECT '{net}c' || k || '_o' AS o, (k % 40 // 10) || '.' || (k % 10) AS level, " + _SOURCED.replace("{k}", "k") + " AS method FROM (SELECT c_custkey AS k FROM customer) WHERE k % 4 <> 3")
 def ground_level(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = Reader(Graph(tables.customer_triples(spark, sf_dir), TERMS))
+    r = Reader(Graph(tables.customer_triples(spark, sf_dir), TERMS).stored())
     return r.ground().select("o", F.col("aspect.value").alias("level"), "provenance.method")
 
 
 @query("SELECT '{net}c' || k AS s, (k % 70 // 10) || '.' || (k % 10) AS level FROM (SELECT c_custkey AS k FROM customer) WHERE k % 3 <> 2")
 def cover_level(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = Reader(Graph(tables.customer_triples(spark, sf_dir), TERMS), Hierarchy.of(tables.class_graph(spark, sf_dir)))
+    r = Reader(Graph(tables.customer_triples(spark, sf_dir), TERMS).stored(), Hierarchy.of(tables.class_graph(spark, sf_dir)))
     return r.cover().filter(F.col("s").rlike(f"^{NET}c[0-9]+$")).select("s", F.col("aspect.value").alias("level"))
 
 
@@ -442,7 +442,7 @@ def derived_heights(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT '{net}o' || k AS uri, CASE WHEN k % 6 <> 5 THEN round((k % 90) / 10.0::DOUBLE - (k % 80) / 10.0::DOUBLE, 6) END AS invert_fall, CASE WHEN k % 13 <> 0 THEN (k % 75 + 1)::DOUBLE END AS length_m FROM (SELECT o_orderkey AS k FROM orders)""")
 def derived_conduit_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = Reader(Graph(tables.order_triples(spark, sf_dir, *tables.sizes(spark, sf_dir)), TERMS))
+    r = Reader(Graph(tables.order_triples(spark, sf_dir, *tables.sizes(spark, sf_dir)), TERMS).stored())
     c = r.first_held(r.found("conduit", True)).join(r.endpoints(), "o").join(r.of_class(T.BEGIN_INVERT).toDF("begin", "bob_start_aspect"), "begin", "left").join(r.of_class(T.END_INVERT).toDF("end", "bob_end_aspect"), "end", "left").join(r.attributes(), "s", "left")
     c = c.withColumn("z_values", F.array().cast("array<double>"))
     d = scalars.conduit_columns()
