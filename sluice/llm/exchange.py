@@ -18,13 +18,34 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluice.llm.shared import binary_views, new_path, remove, slices
+from sluice.llm.shared import binary_views, lean, new_path, remove, slices
 
 #: Bytes of text in a chunk (a longer document is a chunk of its own).
 CHUNK_BYTES = 1 << 20
 CHUNK_SCHEMA = "chunk long, ids binary, lens binary, flags binary, rest binary, text binary"
 
 
+#: Buckets that the chunks of one task go to, so that its writer opens few files.
+BUCKETS_PER_TASK = 4
+
+
+def bucket_of(value: int, buckets: int) -> int:
+    """The bucket that Spark puts a non-negative long in: Murmur3 (x86, 32 bits, seed 42) of its two halves, modulo the number."""
+
+    def turned(x: int, r: int) -> int:
+        return (x << r | x >> (32 - r)) & 0xFFFFFFFF
+
+    h = 42
+    for half in (value & 0xFFFFFFFF, value >> 32):
+        k = turned(half * 0xCC9E2D51 & 0xFFFFFFFF, 15) * 0x1B873593 & 0xFFFFFFFF
+        h = (turned(h ^ k, 13) * 5 + 0xE6546B64) & 0xFFFFFFFF
+    h ^= 8
+    for shift, factor in ((16, 0x85EBCA6B), (13, 0xC2B2AE35)):
+        h = (h ^ h >> shift) * factor & 0xFFFFFFFF
+    h ^= h >> 16
+    return (h - (1 << 32) if h >> 31 else h) % buckets
+
+
 class Chunk:
     """One row of a chunk table."""
 
@@ -47,15 +68,25 @@ class ChunkTable:
 
     def __init__(self, docs: DataFrame, flag=None, keep: tuple[str, ...] = (), chunk_bytes: int = CHUNK_BYTES):
         """docs: doc_id and text are read (null text: empty; null ids are not allowed); flag: a small integer column expression, and keep: columns, that go along."""
-        self.spark: SparkSession = docs.sparkSession
+        self.spark: SparkSession = lean(docs.sparkSession)
         self.parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         self.path = new_path(self.spark, "chunks")
         self.name = "sluice_chunks_" + uuid.uuid4().hex
         flag = F.lit(0) if flag is None else flag
         frame = docs.select(F.col("doc_id").cast("long").alias("doc_id"), flag.cast("tinyint").alias("flag"), *(F.col(f"`{c}`").alias(f"rest_{i}") for i, c in enumerate(keep)), F.col("text").cast("binary").alias("text"))
 
+        parts = self.parts
+
         def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            base, seq = TaskContext.get().partitionId() << 24, 0
+            task = TaskContext.get().partitionId()
+            base, seq, made = task << 32, 0, 0
+
+            def next_name(after: int, made: int) -> int:
+                while bucket_of(base + after, parts) != (task * BUCKETS_PER_TASK + made % BUCKETS_PER_TASK) % parts:
+                    after += 1
+                return after
+
+            seq = next_name(0, 0)
             held: list[tuple] = []
             size = 0
 
@@ -73,7 +104,8 @@ class ChunkTable:
             for batch, offsets, raw in slices(batches, chunk_bytes):
                 if held and size + len(raw) > chunk_bytes:
                     yield row()
-                    held, size, seq = [], 0, seq + 1
+                    made += 1
+                    held, size, seq = [], 0, next_name(seq + 1, made)
                 held.append((np.asarray(batch.column(0).to_numpy(zero_copy_only=False), np.int64), np.diff(offsets), np.asarray(batch.column(1).to_numpy(zero_copy_only=False), np.int8), raw.copy(), batch.select(range(2, 2 + len(keep)))))
                 size += len(raw)
             if held:

@@ -21,13 +21,13 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sluice.llm.shared import slices
+from sluice.llm.shared import lean, slices
 
 BUCKETS = 1 << 15
 ORDERS = (2, 3)
 UNDETERMINED = "und"
 #: Code points of a numpy pass.
-PASS = 1 << 20
+PASS = 1 << 18
 _LETTER = regex.compile(r"\p{L}")
 
 
@@ -80,6 +80,7 @@ def decoded(offsets: np.ndarray, raw: np.ndarray) -> list[str]:
 
 def train(docs: DataFrame, buckets: int = BUCKETS, orders: tuple[int, ...] = ORDERS) -> tuple[list[str], np.ndarray]:
     """Languages and the (buckets, languages) matrix of log probabilities, from text and non-null lang of docs."""
+    lean(docs.sparkSession)
     frame = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", F.col("text").cast("binary").alias("text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -107,7 +108,7 @@ def train(docs: DataFrame, buckets: int = BUCKETS, orders: tuple[int, ...] = ORD
 
 def predict(docs: DataFrame, names: list[str], matrix: np.ndarray, orders: tuple[int, ...] = ORDERS, keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, the columns `keep`, lang_pred and score (the posterior of that language, all languages being as likely before)."""
-    spark = docs.sparkSession
+    spark = lean(docs.sparkSession)
     model = spark.sparkContext.broadcast((names, matrix))
     frame = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *keep, F.col("text").cast("binary").alias("text"))
     extra = "".join(f", {c} {frame.schema[c].dataType.simpleString()}" for c in keep)

@@ -24,6 +24,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sluice.llm.shared import lean
+
 #: Tokens of a sequence.
 SEQUENCE = 1024
 #: Sequences that a task holds open.
@@ -147,6 +149,7 @@ _ARROW = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.
 
 def pack(docs: DataFrame, path: str | None = None, end_id: int = 2, size: int = SEQUENCE, bound: int = OPEN, with_ids: bool = False) -> DataFrame:
     """One row per piece. path: the tokenizer file; with_ids: adds the ids as little-endian uint32 bytes."""
+    lean(docs.sparkSession)
     path = path or tokenizer_path()
     end = np.asarray([end_id], np.uint32).tobytes()
 

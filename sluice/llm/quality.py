@@ -22,12 +22,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sluice.llm.langid import decoded, passes
-from sluice.llm.shared import slices
+from sluice.llm.shared import lean, slices
 
 BUCKETS = 1 << 17
-ORDERS = (1, 2, 3)
+ORDERS = (2, 3)
 #: Labelled rows that a fit takes at most.
-SAMPLE = 6000
+SAMPLE = 8000
 ACCEPT = 0.7
 
 
@@ -116,7 +116,7 @@ def fit_features(flat: np.ndarray, lens: np.ndarray, y: np.ndarray, buckets: int
     return Model(weights, offset, slope, shift, orders)
 
 
-def dual_descent(flat: np.ndarray, ends: np.ndarray, y: np.ndarray, ratio: np.ndarray, scale: np.ndarray, cost: float = 1.0, rounds: int = 15) -> tuple[np.ndarray, float]:
+def dual_descent(flat: np.ndarray, ends: np.ndarray, y: np.ndarray, ratio: np.ndarray, scale: np.ndarray, cost: float = 10.0, rounds: int = 20) -> tuple[np.ndarray, float]:
     """Weights and offset of the linear SVM with hinge loss; a row's values are ratio[bucket] * scale."""
     w, offset = np.zeros(len(ratio)), 0.0
     values = ratio[flat] * scale
@@ -143,6 +143,7 @@ def dual_descent(flat: np.ndarray, ends: np.ndarray, y: np.ndarray, ratio: np.nd
 
 def train(docs: DataFrame, labels: DataFrame, learn: Column, sample: int = SAMPLE, buckets: int = BUCKETS, orders: tuple[int, ...] = ORDERS) -> Model:
     """labels: doc_id and quality (rows with another value than 0 or 1 are left out); learn: a condition on doc_id."""
+    lean(docs.sparkSession)
     known = labels.filter(F.col("quality").isin(0, 1)).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).filter(learn)
     known = known.groupBy("doc_id").agg(F.max("quality").alias("quality"))
     chosen = known.withColumn("place", F.md5(F.col("doc_id").cast("string"))).orderBy("place", "doc_id").limit(sample).drop("place")
@@ -166,7 +167,7 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, sample: int = SAMPL
 
 def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, the columns `keep`, score."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = lean(docs.sparkSession).sparkContext.broadcast(model)
     frame = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *keep, F.col("text").cast("binary").alias("text"))
     extra = "".join(f", {c} {frame.schema[c].dataType.simpleString()}" for c in keep)
 
@@ -179,7 +180,7 @@ def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ()) -> DataFram
 
 def accepted(docs: DataFrame, model: Model, threshold: float = ACCEPT) -> DataFrame:
     """The rows of docs whose text scores `threshold` or more, with all their columns."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = lean(docs.sparkSession).sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

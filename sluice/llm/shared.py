@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
 import time
 import uuid
@@ -17,9 +18,20 @@ from pyspark.sql import functions as F
 #: Bytes of text that one numpy pass takes at most (a longer document is a pass of its own).
 SLICE_BYTES = 2 << 20
 
+#: Bytes of an Arrow batch that goes to Python at most, one row at least.
+BATCH_BYTES = 4 << 20
+
 _fallback: dict[str, str] = {}
 
 
+def lean(spark: SparkSession) -> SparkSession:
+    """Lowers the session's Arrow batch size to BATCH_BYTES: texts differ in length a thousandfold, and rows are no measure of them."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(re.sub(r"\D", "", spark.conf.get(key)) or 0) > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+    return spark
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder; a temporary one only in local mode without that setting."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
@@ -91,6 +103,7 @@ def release(spark: SparkSession) -> None:
 
 def text_frame(docs: DataFrame, *columns: str) -> DataFrame:
     """The named columns and the text as UTF-8 bytes, nothing else of docs."""
+    lean(docs.sparkSession)
     return docs.select(*columns, F.col("text").cast("binary").alias("text"))
 
 

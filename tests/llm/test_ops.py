@@ -392,6 +392,11 @@ def test_mined_rules_match_brute_force(spark):
 def test_chunk_rows_keep_other_columns(spark):
     from sluice.llm.exchange import ChunkTable
 
+    from sluice.llm.exchange import bucket_of
+
+    asked = [0, 1, 77, 1 << 31, (1 << 32) + 5, 123456789012345]
+    got = spark.createDataFrame([(x,) for x in asked], "x long").select("x", F.expr("pmod(hash(x), 51)").alias("b")).collect()
+    assert {r["x"]: r["b"] for r in got} == {x: bucket_of(x, 51) for x in asked}
     table = ChunkTable(documents(spark, [(1, "a", "en"), (2, None, None)]), keep=("lang", "n_chars"))
     rows = [Chunk(r.asDict()) for r in table.frame().collect()]
     assert sorted(x for c in rows for x in c.rest().column(0).to_pylist() if x) == ["en"]
