@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluice.llm.shared import binary_views, lean, new_path, remove, slices
+from sluice.llm.shared import binary_views, lean, new_path, remove, slices, trim
 
 #: Bytes of text in a chunk (a longer document is a chunk of its own).
 CHUNK_BYTES = 1 << 20
@@ -124,6 +124,7 @@ class ChunkTable:
             for batch in batches:
                 for i in range(batch.num_rows):
                     yield from f(Chunk(batch.slice(i, 1).to_pylist()[0]))
+            trim()
 
         return self.frame().mapInArrow(run, schema)
 
@@ -138,6 +139,7 @@ class ChunkTable:
                     parts = sorted((a["bucket"], a["totals"]) for a in row["answers"] or ())
                     totals = np.concatenate([np.frombuffer(b, kind) for _, b in parts]) if parts else np.zeros(0, kind)
                     yield from f(Chunk(row), totals)
+            trim()
 
         return joined.mapInArrow(run, schema)
 

@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sluice.llm.shared import lean
+from sluice.llm.shared import lean, trim
 
 #: Tokens of a sequence.
 SEQUENCE = 1024
@@ -168,6 +168,7 @@ def pack(docs: DataFrame, path: str | None = None, end_id: int = 2, size: int =
                     rows.append((name, k, start, length, zlib.crc32(part), base + sequence, offset) + ((part,) if with_ids else ()))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
+        trim()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SCHEMA + ", ids binary" * with_ids)
 

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from sluice.llm.exchange import Chunk, ChunkTable, by_chunk, count_messages, distinct_keys, message_batches, totals
-from sluice.llm.shared import keep_written, new_path, release, remove
+from sluice.llm.shared import keep_written, new_path, release, remove, trim
 from sluice.llm.words import Words, mixed, window_hashes, words_of
 
 #: Words of a window.
@@ -187,6 +187,7 @@ def removed_words(table: ChunkTable, window: int, rounds: int, with_text: Struct
                     c, _, _, h = hashes(row)
                     keys, counts, _ = distinct_keys(h)
                     yield from message_batches(c.chunk, keys, counts, ranges, 8, np.uint8)
+        trim()
 
     answers = count_messages(both.mapInArrow(send, "bucket int, chunk long, keys binary, counts binary"), 8, np.uint8)
     out_schema = "doc_id long, n_words long, n_removed long, kept_sha256 string"
@@ -209,6 +210,7 @@ def removed_words(table: ChunkTable, window: int, rounds: int, with_text: Struct
                     np.add.at(mark, twice + window, -1)
                 gone = np.cumsum(mark[:-1]) > 0
                 yield kept_rows(c, words, gone, texts_too)
+        trim()
 
     joined = both.join(by_chunk(answers).hint("shuffle_hash"), "chunk", "left")
     return joined.mapInArrow(cover, out_schema), [starts_path, name]
