@@ -207,7 +207,7 @@ def item_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def restriction_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A small ontology from `part`: a datatype with facets per part key below 200, a function per fitting class."""
+    """An ontology from `part`: a datatype with facets per part, a function per fitting class."""
     k = F.col("p_partkey")
     c, r, d = name("K_", k), F.concat(F.lit("_:r"), k.cast("string")), name("Dt_", k)
     t = Triples(k * 64 + (1 << 48))
@@ -229,7 +229,7 @@ def restriction_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
     t.add(name("F_", k), T.SUBCLASS, b("f"), when=k % 4 == 0)
     t.add(b("f"), T.OWL + "onProperty", name("functie"), when=k % 4 == 0)
     t.add(b("f"), T.OWL + "hasValue", name("Doen_", k % 7), when=k % 4 == 0)
-    return t.of(read(spark, sf_dir, "part").filter(k < 200))
+    return t.of(read(spark, sf_dir, "part"))
 
 
 def sizes(spark: SparkSession, sf_dir: str) -> tuple[int, int]:
