@@ -6,9 +6,9 @@ own; every other word is in the class of its last three bytes, hashed. Latent st
 and a class emits its words by their smoothed share, an unknown word included, so the model is a
 distribution over all token sequences that end.
 
-States are trained by Baum-Welch: first on a bounded sample of training text to part them, then in
-`rounds` rounds over all training documents, in which every task sums expected counts over its
-chunks and Spark adds the tasks' sums. Training takes texts in segments of SEGMENT tokens; scoring
+States are trained by Baum-Welch from a seeded random model, in `rounds` rounds over all training
+documents: their classes are written once, every task sums expected counts over its chunks, and
+Spark adds the tasks' sums. Training takes texts in segments of SEGMENT tokens; scoring
 doesn't: the scaled forward recursion runs over each whole text.
 
 Results in special cases: null and empty texts are the end token alone; without training documents
@@ -32,12 +32,9 @@ from sluice.llm.words import words_of
 STATES = 6
 #: Words that are classes of their own, and classes of the rest (a power of two).
 FREQUENT, REST_BITS = 4096, 10
-ROUNDS = 2
+ROUNDS = 12
 #: Tokens of a training segment.
 SEGMENT = 96
-#: Training chunks of the first, bounded sample.
-SAMPLE_CHUNKS = 1
-SAMPLE_ROUNDS = 10
 NO_ID = -(1 << 63)
 END = np.uint64(0x8F1BBCDC5A827999)
 _LOW = np.uint64((1 << REST_BITS) - 1)
@@ -189,23 +186,40 @@ def _packed(arrays: tuple[np.ndarray, ...]) -> np.ndarray:
     return np.concatenate([a.ravel() for a in arrays])
 
 
-def _counts_round(table: ChunkTable, model: Hmm, vocabulary: Vocabulary) -> Hmm:
+def _learnt(table: ChunkTable, vocabulary: Vocabulary) -> DataFrame:
+    """(classes, lens): for each chunk the classes of the texts to learn from, end to end, and the texts' sizes."""
+    shared = table.spark.sparkContext.broadcast(vocabulary)
+    kind = _kind(vocabulary.classes)
+
+    def pick(c: Chunk) -> Iterator[pa.RecordBatch]:
+        keys, first = training(*token_keys(c), c.flags == 1)
+        if len(keys):
+            yield pa.RecordBatch.from_arrays([pa.array([shared.value.class_of(keys).astype(kind).tobytes()], pa.binary()), pa.array([np.diff(first).astype(np.int64).tobytes()], pa.binary())], names=["classes", "lens"])
+
+    out = written(table.map(pick, "classes binary, lens binary"), "learnt")
+    shared.unpersist()
+    return out
+
+
+def _kind(classes: int) -> type:
+    return np.uint16 if classes <= 1 << 16 else np.int32
+
+
+def _counts_round(learnt: DataFrame, model: Hmm, vocabulary: Vocabulary) -> Hmm:
     """One Baum-Welch round over the training documents of all chunks."""
-    spark = table.spark
+    spark = learnt.sparkSession
     states, classes = len(model.start), len(model.emit)
-    shared = spark.sparkContext.broadcast((model, vocabulary))
-    width = 1 << 13
+    shared = spark.sparkContext.broadcast(model)
+    width, kind = 1 << 13, _kind(classes)
 
     def expect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, vocabulary = shared.value
+        model = shared.value
         total = None
         for batch in batches:
-            for i in range(batch.num_rows):
-                c = Chunk(batch.slice(i, 1).to_pylist()[0])
-                keys, first = training(*token_keys(c), c.flags == 1)
-                if len(keys):
-                    got = _packed(model.expected(vocabulary.class_of(keys), first))
-                    total = got if total is None else total + got
+            for tokens, lens in zip(*(batch.column(k).to_pylist() for k in range(2)), strict=True):
+                first = np.concatenate([[0], np.cumsum(np.frombuffer(lens, np.int64))])
+                got = _packed(model.expected(np.frombuffer(tokens, kind).astype(np.int32), first))
+                total = got if total is None else total + got
         if total is not None:
             parts = [total[i : i + width].tobytes() for i in range(0, len(total), width)]
             yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array(parts, pa.binary())], names=["part", "sums"])
@@ -215,7 +229,7 @@ def _counts_round(table: ChunkTable, model: Hmm, vocabulary: Vocabulary) -> Hmm:
         return pa.table({"part": group.column("part").slice(0, 1), "sums": pa.array([sums.tobytes()], pa.binary())})
 
     # The model's size is fixed, so is what comes to the driver.
-    rows = table.frame().mapInArrow(expect, "part int, sums binary").groupBy("part").applyInArrow(add, "part int, sums binary").collect()
+    rows = learnt.mapInArrow(expect, "part int, sums binary").groupBy("part").applyInArrow(add, "part int, sums binary").collect()
     shared.unpersist()
     if not rows:
         return model
@@ -254,15 +268,9 @@ def _score(docs: DataFrame, learn: Column, states: int, rounds: int, frequent: i
     vocabulary = _vocabulary(answers, frequent)
     prior = vocabulary.prior()
     model = Hmm.first(states, prior)
-    first = [r["chunk"] for r in table.frame().select("chunk").orderBy("chunk").limit(SAMPLE_CHUNKS).collect()]
-    drawn = table.frame().filter(F.col("chunk").isin(first)).collect()
-    sample = [(vocabulary.class_of(k), f) for k, f in (training(*token_keys(c), c.flags == 1) for c in (Chunk(r.asDict()) for r in drawn)) if len(k)]
-    for _ in range(SAMPLE_ROUNDS if sample else 0):
-        got = sum(_packed(model.expected(t, f)) for t, f in sample)
-        n = len(prior)
-        model = model.updated(got[:states], got[states : states + states**2].reshape(states, states), got[states + states**2 :].reshape(n, states), prior)
-    for _ in range(rounds):
-        model = _counts_round(table, model, vocabulary)
+    learnt = _learnt(table, vocabulary)
+    for _ in range(rounds if vocabulary.tokens else 0):
+        model = _counts_round(learnt, model, vocabulary)
     shared = spark.sparkContext.broadcast((model, vocabulary))
 
     def judge(c: Chunk, total: np.ndarray) -> Iterator[pa.RecordBatch]:
