@@ -6,43 +6,51 @@ own; every other word is in the class of its last three bytes, hashed. Latent st
 and a class emits its words by their smoothed share, an unknown word included, so the model is a
 distribution over all token sequences that end.
 
-States are trained by Baum-Welch from a seeded random model, in `rounds` rounds over all training
-documents: their classes are written once, every task sums expected counts over its chunks, and
-Spark adds the tasks' sums. Training takes texts in segments of SEGMENT tokens; scoring
-doesn't: the scaled forward recursion runs over each whole text.
+States are trained by Baum-Welch from a seeded random model over the corpus's class shares, in `rounds`
+rounds over all training documents: their classes are written once, every task sums expected counts
+over its chunks, and Spark adds the tasks' sums in two levels. Training and scoring take whole texts:
+one start for each, every move counted, scaled recursions from its first token to its last. A text of
+more than SEGMENT tokens is cut for speed alone: the cuts' transfer matrices are made side by side,
+multiplied along the text forwards and backwards, and give every cut the vectors that the recursions
+would have brought there.
 
 Results in special cases: null and empty texts are the end token alone; without training documents
 all classes are as likely, and words' shares are those of an unknown word; repeated rows count as
-often as they occur; a null doc_id stays null.
+often as they occur; a null doc_id stays null. A text is one value of a chunk, so it may have 2 GB at
+most. Words count as equal if 86 bits of their hash and their endings are.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sluice.llm.exchange import Chunk, ChunkTable, distinct_keys, totals
-from sluice.llm.shared import keep_written, release, scratch, written
+from sluice.llm.exchange import Chunk, ChunkTable, Keys, totals
+from sluice.llm.shared import keep_written, scratch, written
 from sluice.llm.words import words_of
 
-STATES = 6
+STATES = 8
 #: Words that are classes of their own, and classes of the rest (a power of two).
 FREQUENT, REST_BITS = 4096, 10
 ROUNDS = 12
-#: Tokens of a training segment.
-SEGMENT = 96
+#: Tokens of a cut of a long text, and tokens that go through a recursion side by side.
+SEGMENT, TOKENS = 2048, 1 << 19
+#: Groups in which tasks' sums are added first.
+GROUPS = 64
 NO_ID = -(1 << 63)
 END = np.uint64(0x8F1BBCDC5A827999)
 _LOW = np.uint64((1 << REST_BITS) - 1)
 
 
-def token_keys(c: Chunk) -> tuple[np.ndarray, np.ndarray]:
-    """A key for each token (low bits: the class of its ending), texts end to end, and the n + 1 places where texts begin."""
-    w = words_of(c.offsets, c.raw, lower=True)
+def token_keys(c: Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each token a hash and more bits of it, the lowest of which are the class of its ending; texts end to end; and the n + 1 places where texts begin."""
+    w = words_of(c.offsets, c.raw, lower=True, lanes=2)
     tail = np.zeros(len(w.start), np.uint64)
     for k in (1, 2, 3):
         at = w.end - k
@@ -50,30 +58,30 @@ def token_keys(c: Chunk) -> tuple[np.ndarray, np.ndarray]:
         byte = np.where((byte >= 65) & (byte <= 90), byte + np.uint64(32), byte)
         tail = tail * np.uint64(257) + np.where(at >= w.start, byte, np.uint64(0))
     tail = (tail * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - REST_BITS)
-    keys = (w.hash & ~_LOW) | tail
+    more = ((w.other >> np.uint64(32 + REST_BITS)) << np.uint64(REST_BITS) | tail).astype(np.uint32)
     first = w.first + np.arange(len(w.first))
-    out = np.full(int(first[-1]), END, np.uint64)
+    out, low = np.full(int(first[-1]), END, np.uint64), np.full(int(first[-1]), END & np.uint64(0xFFFFFFFF), np.uint32)
     spot = np.ones(len(out), bool)
     spot[first[1:] - 1] = False
-    out[spot] = keys
-    return out, first
+    out[spot], low[spot] = w.hash, more
+    return out, low, first
 
 
 class Vocabulary:
     """Sizes of the training text, its frequent keys (sorted), and the number of keys and tokens of each class."""
 
-    def __init__(self, tokens: int, distinct: int, frequent: np.ndarray, frequent_counts: np.ndarray, low_keys: np.ndarray, low_tokens: np.ndarray):
+    def __init__(self, tokens: int, distinct: int, frequent: np.ndarray, frequent_counts: np.ndarray, frequent_low: np.ndarray, low_keys: np.ndarray, low_tokens: np.ndarray):
         self.tokens, self.distinct = tokens, distinct
         order = np.argsort(frequent)
         self.frequent = frequent[order]
         own = frequent_counts[order]
-        low = (self.frequent & _LOW).astype(np.int64)
+        low = frequent_low[order] & int(_LOW)
         self.class_keys = np.concatenate([np.ones(len(own), np.int64), low_keys - np.bincount(low, minlength=len(low_keys))])
         self.class_tokens = np.concatenate([own, low_tokens - np.bincount(low, own, minlength=len(low_tokens)).astype(np.int64)])
         self.classes = len(self.class_tokens)
 
-    def class_of(self, keys: np.ndarray) -> np.ndarray:
-        out = len(self.frequent) + (keys & _LOW).astype(np.int64)
+    def class_of(self, keys: np.ndarray, low: np.ndarray) -> np.ndarray:
+        out = len(self.frequent) + (low & np.uint32(_LOW)).astype(np.int64)
         if len(self.frequent):
             at = np.minimum(np.searchsorted(self.frequent, keys), len(self.frequent) - 1)
             known = self.frequent[at] == keys
@@ -106,52 +114,75 @@ class Hmm:
         return cls(np.full(states, 1 / states), move, emit / emit.sum(axis=0))
 
     def expected(self, tokens: np.ndarray, first: np.ndarray, segment: int = SEGMENT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Expected counts of starts, moves and emissions over texts' segments."""
+        """Expected counts of starts, moves and emissions over whole texts."""
         states = len(self.start)
         start, move, emit = np.zeros(states), np.zeros((states, states)), np.zeros((len(self.emit), states))
-        cuts = [np.arange(a, b, segment) for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
-        if not cuts:
-            return start, move, emit
-        begin = np.concatenate(cuts)
-        stop = np.minimum(begin + segment, np.repeat(first[1:], [len(x) for x in cuts]))
-        order = np.argsort(begin - stop, kind="stable")  # longest first
-        begin, size = begin[order], (stop - begin)[order]
-        for i in range(0, len(begin), 4096):
-            self._add(tokens, begin[i : i + 4096], size[i : i + 4096], start, move, emit)
+        for cuts in self._cuts(tokens, first, segment):
+            run = _Run(self, tokens, cuts)
+            run.forward()
+            back, ahead = run.backward()
+            gamma = run.alpha * back
+            start += gamma[: len(cuts.begin)][cuts.opens].sum(axis=0)
+            later = run.time > 0
+            move += self.move * (run.alpha[run.before[later]].T @ ahead[later])
+            if cuts.inner.any():
+                move += self.move * (cuts.left[cuts.inner].T @ cuts.right[cuts.inner])
+            for s in range(states):
+                emit[:, s] += np.bincount(run.tokens, gamma[:, s], minlength=len(emit))
         return start, move, emit
 
-    def _add(self, tokens, begin, size, start, move, emit) -> None:
-        t_max, n, states = int(size[0]), len(begin), len(self.start)
-        live = np.searchsorted(-size, -np.arange(t_max), "left")  # segments longer than t
-        a = np.zeros((t_max, n, states), np.float32)
-        b = np.zeros((t_max, n, states), np.float32)
-        table, flow = self.emit.astype(np.float32), self.move.astype(np.float32)
-        flow_t = np.ascontiguousarray(flow.T)
-        now = np.broadcast_to(self.start.astype(np.float32), (n, states))
-        for t in range(t_max):
-            k = live[t]
-            b[t, :k] = table[tokens[begin[:k] + t]]
-            now = (now[:k] if t == 0 else now[:k] @ flow) * b[t, :k]
-            now = now / now.sum(axis=1, keepdims=True)
-            a[t, :k] = now
-        back = np.ones((n, states), np.float32)
-        for t in range(t_max - 1, -1, -1):
-            k = live[t]
-            if t + 1 < t_max and live[t + 1]:
-                m = live[t + 1]
-                ahead = b[t + 1, :m] * back[:m]
-                back[:m] = ahead @ flow_t
-                scale = (a[t, :m] * back[:m]).sum(axis=1, keepdims=True)
-                move += flow * (a[t, :m].T @ (ahead / scale))
-                back[:m] /= scale
-            g = a[t, :k] * back[:k]
-            g /= g.sum(axis=1, keepdims=True)
-            a[t, :k] = g
-        start += a[0].sum(axis=0)
-        flat = np.concatenate([tokens[begin[: live[t]] + t] for t in range(t_max)])
-        weight = np.concatenate([a[t, : live[t]] for t in range(t_max)])
-        for s in range(states):
-            emit[:, s] += np.bincount(flat, weight[:, s], minlength=len(emit))
+    def _cuts(self, tokens: np.ndarray, first: np.ndarray, segment: int) -> Iterator[Cuts]:
+        """The texts in cuts of at most `segment` tokens, some at a time, longest first, with the vectors at their ends."""
+        size = np.diff(first)
+        per = np.maximum(-(-size // segment), 1)
+        text = np.repeat(np.arange(len(size)), per)
+        nth = np.arange(len(text)) - np.repeat(np.cumsum(per) - per, per)
+        begin = first[:-1][text] + nth * segment
+        length = np.minimum(segment, first[1:][text] - begin)
+        entry = np.broadcast_to(self.start, (len(text), len(self.start))).copy()
+        leave = np.ones_like(entry)
+        left, right = np.zeros_like(entry), np.zeros_like(entry)
+        cut = np.flatnonzero(per[text] > 1)
+        if len(cut):
+            self._carry(tokens, cut, begin, length, nth, text, entry, leave, left, right)
+        order = np.argsort(-length, kind="stable")
+        ends = np.cumsum(length[order])
+        at = 0
+        while at < len(order):
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + TOKENS, "right")))
+            some = order[at:to]
+            yield Cuts(begin[some], length[some], text[some], entry[some], leave[some], nth[some] == 0, (nth[some] > 0), left[some], right[some])
+            at = to
+
+    def _carry(self, tokens, cut, begin, length, nth, text, entry, leave, left, right) -> None:
+        """Fills in, for the cuts of long texts: entry (the state distribution before its first token is seen), leave (what comes after its last one says of the state there), and left, right (of the move into it)."""
+        states = len(self.start)
+        by_size = cut[np.argsort(-length[cut], kind="stable")]
+        through = np.empty((len(by_size), states, states))
+        for i in range(0, len(by_size), 4096):
+            some = by_size[i : i + 4096]
+            m = np.broadcast_to(np.eye(states), (len(some), states, states)) * self.emit[tokens[begin[some]]][:, None, :]
+            live = np.searchsorted(-length[some], -np.arange(int(length[some[0]])), "left").tolist()
+            for t in range(1, len(live)):
+                k = live[t]
+                m[:k] = (m[:k].reshape(-1, states) @ self.move).reshape(k, states, states) * self.emit[tokens[begin[some[:k]] + t]][:, None, :]
+                if t % 8 == 0:
+                    m[:k] /= m[:k].max(axis=(1, 2), keepdims=True)
+            through[i : i + 4096] = m / m.max(axis=(1, 2), keepdims=True)
+        place = np.empty(len(length), np.int64)
+        place[by_size] = np.arange(len(by_size))
+        for i in cut.tolist():  # in the order of the texts
+            if nth[i]:
+                left[i] = entry[i - 1] @ through[place[i - 1]]
+                left[i] /= left[i].sum()
+                entry[i] = left[i] @ self.move
+        for i in cut[::-1].tolist():
+            if nth[i]:
+                seen = through[place[i]] @ leave[i]
+                ahead = self.move @ seen
+                scale = 1 / float(left[i] @ ahead)  # so that a state's share is left * leave
+                leave[i - 1], right[i] = ahead * scale, seen * scale
+            # The last cut's own vector is one everywhere: its shares add up to one as they are.
 
     def updated(self, start: np.ndarray, move: np.ndarray, emit: np.ndarray, prior: np.ndarray) -> Hmm:
         """The model of expected counts, each smoothed by a little of what it would be without any."""
@@ -161,27 +192,70 @@ class Hmm:
         emit = emit + prior[:, None] * np.maximum(1.0, 0.01 * emit.sum(axis=0))
         return Hmm(start / start.sum(), move / move.sum(axis=1, keepdims=True), emit / emit.sum(axis=0)) if states else self
 
-    def log10(self, tokens: np.ndarray, first: np.ndarray) -> np.ndarray:
+    def log10(self, tokens: np.ndarray, first: np.ndarray, segment: int = SEGMENT) -> np.ndarray:
         """log10 probability of each whole text's classes."""
-        size = np.diff(first)
-        order = np.argsort(-size, kind="stable")
-        begin, sorted_size = first[:-1][order], size[order]
-        out = np.zeros(len(size))
-        live = np.searchsorted(-sorted_size, -np.arange(int(size.max()) if len(size) else 0), "left").tolist()
-        now = np.broadcast_to(self.start, (len(size), len(self.start)))
-        product = np.ones(len(size))
-        for t, k in enumerate(live):
-            now = (now[:k] if t == 0 else now[:k] @ self.move) * self.emit[tokens[begin[:k] + t]]
-            scale = now.sum(axis=1)
-            now = now / scale[:, None]
-            product[:k] *= scale
-            if t % 8 == 7:
-                out[order[:k]] += np.log10(product[:k])
-                product[:k] = 1.0
-        out[order] += np.log10(product)
+        out = np.zeros(len(first) - 1)
+        for cuts in self._cuts(tokens, first, segment):
+            run = _Run(self, tokens, cuts)
+            run.forward()
+            np.add.at(out, cuts.text, np.bincount(run.lane, np.log10(run.scale), minlength=len(cuts.text)))
         return out
 
 
+@dataclass
+class Cuts:
+    """Some cuts of texts, longest first: where they begin, their sizes, their texts, the vectors at their ends, whether they begin a text or go on with one, and the vectors of the move into those that go on."""
+
+    begin: np.ndarray
+    size: np.ndarray
+    text: np.ndarray
+    entry: np.ndarray
+    leave: np.ndarray
+    opens: np.ndarray
+    inner: np.ndarray
+    left: np.ndarray
+    right: np.ndarray
+
+
+class _Run:
+    """The recursions over some cuts side by side. Its rows are tokens, all cuts' first ones, then all second ones and so on: time, lane (the cut), before (the row of the cut's token before)."""
+
+    def __init__(self, model: Hmm, tokens: np.ndarray, cuts: Cuts):
+        self.model, self.cuts = model, cuts
+        live = np.searchsorted(-cuts.size, -np.arange(int(cuts.size[0])), "left")
+        at = np.concatenate([[0], np.cumsum(live)])
+        self.time = np.repeat(np.arange(len(live)), live)
+        self.lane = np.arange(int(at[-1])) - np.repeat(at[:-1], live)
+        self.before = np.maximum(at[self.time - 1], 0) + self.lane
+        self.tokens = tokens[cuts.begin[self.lane] + self.time]
+        self.live, self.at = live.tolist(), at.tolist()
+        self.seen = model.emit[self.tokens]
+
+    def forward(self) -> None:
+        self.alpha, self.scale = np.empty_like(self.seen), np.empty(len(self.seen))
+        now, move = self.cuts.entry, self.model.move
+        for t, k in enumerate(self.live):
+            i, j = self.at[t], self.at[t + 1]
+            now = (now if t == 0 else now[:k] @ move) * self.seen[i:j]
+            sums = now.sum(axis=1)
+            now /= sums[:, None]
+            self.alpha[i:j], self.scale[i:j] = now, sums
+
+    def backward(self) -> tuple[np.ndarray, np.ndarray]:
+        """For each token what comes after says of its state, and the same with the token itself over its scale."""
+        back = self.cuts.leave.copy()
+        later, ahead = np.empty_like(self.seen), np.empty_like(self.seen)
+        turned = np.ascontiguousarray(self.model.move.T)
+        over = self.seen / self.scale[:, None]
+        for t in range(len(self.live) - 1, -1, -1):
+            i, j, k = self.at[t], self.at[t + 1], self.live[t]
+            later[i:j] = back[:k]
+            ahead[i:j] = back[:k] * over[i:j]
+            if t:
+                back[:k] = ahead[i:j] @ turned
+        return later, ahead
+
+
 def _packed(arrays: tuple[np.ndarray, ...]) -> np.ndarray:
     return np.concatenate([a.ravel() for a in arrays])
 
@@ -192,9 +266,11 @@ def _learnt(table: ChunkTable, vocabulary: Vocabulary) -> DataFrame:
     kind = _kind(vocabulary.classes)
 
     def pick(c: Chunk) -> Iterator[pa.RecordBatch]:
-        keys, first = training(*token_keys(c), c.flags == 1)
-        if len(keys):
-            yield pa.RecordBatch.from_arrays([pa.array([shared.value.class_of(keys).astype(kind).tobytes()], pa.binary()), pa.array([np.diff(first).astype(np.int64).tobytes()], pa.binary())], names=["classes", "lens"])
+        keys, low, first = token_keys(c)
+        size, learn = np.diff(first), c.flags == 1
+        if learn.any():
+            chosen = np.repeat(learn, size)
+            yield pa.RecordBatch.from_arrays([pa.array([shared.value.class_of(keys[chosen], low[chosen]).astype(kind).tobytes()], pa.binary()), pa.array([size[learn].astype(np.int64).tobytes()], pa.binary())], names=["classes", "lens"])
 
     out = written(table.map(pick, "classes binary, lens binary"), "learnt")
     shared.unpersist()
@@ -222,14 +298,17 @@ def _counts_round(learnt: DataFrame, model: Hmm, vocabulary: Vocabulary) -> Hmm:
                 total = got if total is None else total + got
         if total is not None:
             parts = [total[i : i + width].tobytes() for i in range(0, len(total), width)]
-            yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array(parts, pa.binary())], names=["part", "sums"])
+            group = TaskContext.get().partitionId() % GROUPS
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array([group] * len(parts), pa.int32()), pa.array(parts, pa.binary())], names=["part", "group", "sums"])
 
-    def add(key, group):
-        sums = sum(np.frombuffer(x) for x in group.column("sums").to_pylist())
-        return pa.table({"part": group.column("part").slice(0, 1), "sums": pa.array([sums.tobytes()], pa.binary())})
+    def add(key, rows):
+        sums = sum(np.frombuffer(x) for x in rows.column("sums").to_pylist())
+        return pa.table({"part": rows.column("part").slice(0, 1), "group": rows.column("group").slice(0, 1), "sums": pa.array([sums.tobytes()], pa.binary())})
 
-    # The model's size is fixed, so is what comes to the driver.
-    rows = learnt.mapInArrow(expect, "part int, sums binary").groupBy("part").applyInArrow(add, "part int, sums binary").collect()
+    schema = "part int, group int, sums binary"
+    # Tasks' sums are added by group, then the groups'. The model's size is fixed, so is what comes to the driver.
+    added = learnt.mapInArrow(expect, schema).groupBy("part", "group").applyInArrow(add, schema).groupBy("part").applyInArrow(add, schema)
+    rows = added.collect()
     shared.unpersist()
     if not rows:
         return model
@@ -238,12 +317,6 @@ def _counts_round(learnt: DataFrame, model: Hmm, vocabulary: Vocabulary) -> Hmm:
     return model.updated(start, move, emit, vocabulary.prior())
 
 
-def training(keys: np.ndarray, first: np.ndarray, learn: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The tokens of the texts to learn from, and where those begin."""
-    size = np.diff(first)
-    return keys[np.repeat(learn, size)], np.concatenate([[0], np.cumsum(size[learn])])
-
-
 _SCORE = "doc_id long, learnt byte, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
@@ -258,13 +331,13 @@ def _score(docs: DataFrame, learn: Column, states: int, rounds: int, frequent: i
     marked = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.coalesce(learn, F.lit(False)).cast("int").alias("flag"), "text")
     table = ChunkTable(marked, flag=F.col("flag"), chunk_bytes=2 << 20)
 
-    def send(c: Chunk) -> tuple[np.ndarray, np.ndarray]:
-        keys, first = token_keys(c)
-        return distinct_keys(keys, np.repeat(c.flags == 1, np.diff(first)))[:2]
+    def send(c: Chunk) -> Keys:
+        keys, low, first = token_keys(c)
+        return Keys.of(keys, low, np.repeat(c.flags == 1, np.diff(first)))
 
-    per_range = max(64, 16 * frequent // (2 * table.parts))
-    answers = written(totals(table, send, kind=np.int64, top=per_range, low_bits=REST_BITS), "counts")
-    release(spark)
+    # As many keys of each range as are certain to hold the most frequent of all: hashes deal them evenly.
+    per_range = min(frequent, max(64, 16 * frequent // table.ranges))
+    answers = written(totals(table, send, kind=np.int64, top=per_range, low_bits=REST_BITS, low=np.uint32), "counts")
     vocabulary = _vocabulary(answers, frequent)
     prior = vocabulary.prior()
     model = Hmm.first(states, prior)
@@ -275,10 +348,9 @@ def _score(docs: DataFrame, learn: Column, states: int, rounds: int, frequent: i
 
     def judge(c: Chunk, total: np.ndarray) -> Iterator[pa.RecordBatch]:
         model, v = shared.value
-        keys, first = token_keys(c)
-        _, _, place = distinct_keys(keys)
-        count = total[place].astype(np.float64)
-        classes = v.class_of(keys)
+        keys, low, first = token_keys(c)
+        count = total[Keys.of(keys, low).place].astype(np.float64)
+        classes = v.class_of(keys, low)
         base = np.log10((count + 0.5) / (v.tokens + 0.5 * (v.distinct + 1)))
         sums = lambda x: np.add.reduceat(x, first[:-1]) if len(first) > 1 else np.zeros(0)
         score = model.log10(classes, first) + sums(v.log_share(classes, count))
@@ -288,9 +360,7 @@ def _score(docs: DataFrame, learn: Column, states: int, rounds: int, frequent: i
             names=["doc_id", "learnt", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
         )
 
-    out = keep_written(table.map_with(answers, judge, _SCORE, kind=np.int64).withColumn("doc_id", F.nullif(F.col("doc_id"), F.lit(NO_ID))), "scores")
-    table.drop()
-    return out
+    return keep_written(table.map_with(answers, judge, _SCORE, kind=np.int64).withColumn("doc_id", F.nullif(F.col("doc_id"), F.lit(NO_ID))), "scores")
 
 
 def _folded(stats: list[bytes], low: int, frequent: int) -> np.ndarray:
@@ -298,24 +368,24 @@ def _folded(stats: list[bytes], low: int, frequent: int) -> np.ndarray:
     parts = [np.frombuffer(b, np.int64) for b in stats]
     fixed = 2 + 2 * low
     sums = np.sum([p[:fixed] for p in parts], axis=0) if parts else np.zeros(fixed, np.int64)
-    size = [(len(p) - fixed) // 2 for p in parts]
-    keys = np.concatenate([p[fixed : fixed + n] for p, n in zip(parts, size, strict=True)]) if parts else np.zeros(0, np.int64)
-    counts = np.concatenate([p[fixed + n :] for p, n in zip(parts, size, strict=True)]) if parts else np.zeros(0, np.int64)
-    most = np.lexsort((keys, -counts))[:frequent]
-    most = most[counts[most] > 0]
-    return np.concatenate([sums, keys[most], counts[most]])
+    columns = [p[fixed:].reshape(3, -1) for p in parts]
+    found = np.concatenate(columns, axis=1) if columns else np.zeros((3, 0), np.int64)
+    most = np.lexsort((found[0], -found[1]))[:frequent]
+    most = most[found[1][most] > 0]
+    return np.concatenate([sums, found[:, most].ravel()])
 
 
-def _vocabulary(answers: DataFrame, frequent: int, groups: int = 16) -> Vocabulary:
-    """Ranges' statistics, folded in a fixed number of groups and then on the driver."""
+def _vocabulary(answers: DataFrame, frequent: int) -> Vocabulary:
+    """Ranges' statistics, folded in groups of ranges, then in groups of those, and then on the driver."""
     low = 1 << REST_BITS
 
     def fold(key, part):
-        return pa.table({"stats": pa.array([_folded(part.column("stats").to_pylist(), low, frequent).tobytes()], pa.binary())})
+        return pa.table({"part": part.column("part").slice(0, 1), "stats": pa.array([_folded(part.column("stats").to_pylist(), low, frequent).tobytes()], pa.binary())})
 
-    dealt = answers.filter("stats is not null").select((F.col("bucket") % groups).alias("part"), "stats")
-    rows = dealt.groupBy("part").applyInArrow(fold, "stats binary").collect()
+    schema = "part int, stats binary"
+    dealt = answers.filter("stats is not null").select((F.col("bucket") % (16 * GROUPS)).alias("part"), "stats")
+    once = dealt.groupBy("part").applyInArrow(fold, schema).withColumn("part", F.col("part") % 16)
+    rows = once.groupBy("part").applyInArrow(fold, schema).collect()
     s = _folded([r["stats"] for r in rows], low, frequent)
-    rest = s[2 + 2 * low :]
-    keys, counts = rest[: len(rest) // 2], rest[len(rest) // 2 :]
-    return Vocabulary(int(s[1]), int(s[0]), keys.view(np.uint64), counts, s[2 : 2 + low], s[2 + low : 2 + 2 * low])
+    keys, counts, more = s[2 + 2 * low :].reshape(3, -1)
+    return Vocabulary(int(s[1]), int(s[0]), keys.view(np.uint64), counts, more, s[2 : 2 + low], s[2 + low : 2 + 2 * low])

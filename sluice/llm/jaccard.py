@@ -10,7 +10,7 @@ documents have them, rarest first, two points that link must share one of the fi
 a point has to appear in. A shingle of one document has no region, so that a document whose rarest
 shingles are all its own, as most are, is alone without being compared with anything.
 
-Recursion. In each of a few rounds a point goes, with its set, to one home region: of the pivots made
+Home rounds. In each of a few rounds a point goes, with its set, to one home region: of the pivots made
 of its shared shingles the first in the round's order. Large regions are dealt into blocks, in every
 round anew. In a block documents are the pivots: a pivot's distances to all of the block link its
 ball, and a member of the ball is compared further only if the triangle inequality leaves a point
@@ -22,8 +22,16 @@ written to the shared folder.
 
 Results in special cases: null texts and texts without a word have an empty set and link with
 nothing; with one to four words the whole sequence is the one shingle; a null doc_id stays null and
-is never a component's name unless all its ids are null; repeated rows link with each other. Sets are
-of 64-bit hashes.
+is never a component's name unless all its ids are null; repeated rows link with each other; rows
+that share an id but not their words are points of their own. A text is one value of a chunk, so it may
+have 2 GB at most. Points are told apart by 128 bits of their set, shingles by 64: that one false match
+changes a verdict takes a pair that misses the bound by that shingle alone, so among n verified pairs of
+k shingles each it is expected less than n * k**2 / 2**64 times.
+
+Hot keys. How many documents have a shingle is known before any join, so rows that meet at a frequent
+shingle, or in a set with many copies, are dealt into parts by that number, and what they meet is
+repeated for each part. Joins on a component's name, whose size isn't known before, are dealt into
+SALTS parts.
 """
 
 from __future__ import annotations
@@ -35,9 +43,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sluice.llm.exchange import Chunk, ChunkTable, distinct_keys, totals
-from sluice.llm.shared import keep_written, release, scratch, written
-from sluice.llm.words import mixed, span_hashes, window_hashes, words_of
+from sluice.llm.exchange import Chunk, ChunkTable, Keys, totals
+from sluice.llm.shared import keep_written, scratch, written
+from sluice.llm.words import mixed, set_hashes, span_hashes, window_hashes, words_of
 
 SHINGLE = 5
 #: Two documents link when 100 * intersection >= PERCENT * union.
@@ -46,6 +54,12 @@ EPSILON = 1 - PERCENT / 100
 #: Points of a block, and rounds of home regions.
 BLOCK = 400
 ROUNDS = 3
+#: Rows of one key that a join takes into one part, and parts at most.
+PART_ROWS, PARTS = 5000, 64
+#: Parts of joins on a key of unknown size.
+SALTS = 8
+#: Rounds of star contraction; a component of n nodes takes about log2(n).
+BOUND = 100
 NO_ID = -(1 << 63)
 
 
@@ -78,24 +92,33 @@ def shingle_sets(c: Chunk, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     return out[new], kept[ends]
 
 
-_POINT = pa.schema([("chunk", pa.int64()), ("at", pa.int32()), ("doc_id", pa.int64()), ("n", pa.int64()), ("node", pa.int64()), ("homes", pa.list_(pa.int64())), ("own", pa.int32()), ("prefix", pa.binary()), ("shingles", pa.binary())])
-POINT = "chunk long, at int, doc_id long, n long, node long, homes array<long>, own int, prefix binary, shingles binary"
+_POINT = pa.schema([("chunk", pa.int64()), ("at", pa.int32()), ("doc_id", pa.int64()), ("n", pa.int64()), ("set_a", pa.int64()), ("set_b", pa.int64()), ("parts", pa.int32()), ("homes", pa.list_(pa.int64())), ("own", pa.int32()), ("prefix", pa.binary()), ("shared_by", pa.binary()), ("shingles", pa.binary())])
+POINT = "chunk long, at int, doc_id long, n long, set_a long, set_b long, parts int, homes array<long>, own int, prefix binary, shared_by binary, shingles binary"
+
+
+def parts_for(rows: np.ndarray | int) -> np.ndarray:
+    """Parts that the rows of a key are dealt into."""
+    return np.clip(-(-np.asarray(rows, np.int64) // PART_ROWS), 1, PARTS)
 
 
 def points(c: Chunk, total: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """A row per text. Of texts that share a shingle of their prefix with another: node (names the set), homes (its region of each round), own (shingles before the prefix part that is shared), prefix, shingles."""
+    """A row per text.
+
+    Of texts that share a shingle of their prefix with another: set_a, set_b (name the set), parts (for
+    joins on it), homes (its region of each round), own (shingles before the prefix part that is shared),
+    prefix, shared_by (how many texts have each of these), shingles.
+    """
     flat, ends = shingle_sets(c)
-    _, _, place = distinct_keys(flat)
-    count = total[place].astype(np.int64)
+    count = total[Keys.of(flat).place].astype(np.int64)
     n = np.diff(ends)
     single = np.concatenate([[0], np.cumsum(count == 1)])
     own = single[ends[1:]] - single[ends[:-1]]
     prefix = n - (PERCENT * n + 99) // 100 + 1
-    rows = {k: [None] * len(n) for k in ("node", "homes", "own", "prefix", "shingles")}
+    rows = {k: [None] * len(n) for k in ("set_a", "set_b", "parts", "homes", "own", "prefix", "shared_by", "shingles")}
     shared = np.flatnonzero((own < prefix) & (n > 0))
     if len(shared):
-        names = span_hashes(flat, ends[shared], ends[shared + 1], salt=7)
-        deal = [mixed(names, 40 + r) for r in range(ROUNDS)]
+        names = [set_hashes(flat, ends, salt)[shared].view(np.int64) for salt in (7, 8)]
+        deal = [mixed(names[0].view(np.uint64), 40 + r) for r in range(ROUNDS)]
         for k, i in enumerate(shared.tolist()):
             s, f = flat[ends[i] : ends[i + 1]], count[ends[i] : ends[i + 1]]
             order = np.argsort(f, kind="stable")[own[i] : prefix[i]]
@@ -105,8 +128,9 @@ def points(c: Chunk, total: np.ndarray) -> Iterator[pa.RecordBatch]:
                 first = known[mixed(s[known], 20 + r).argmin()]
                 block = deal[r][k : k + 1] % np.uint64(-(-int(f[first]) // BLOCK))
                 homes.append(mixed(s[first : first + 1] + (block * np.uint64(ROUNDS) + np.uint64(r)) * np.uint64(0x9E3779B97F4A7C15), 6).view(np.int64)[0])
-            rows["node"][i], rows["homes"][i], rows["own"][i] = names[k : k + 1].view(np.int64)[0], homes, int(own[i])
-            rows["prefix"][i], rows["shingles"][i] = s[order].tobytes(), s.tobytes()
+            rows["set_a"][i], rows["set_b"][i], rows["homes"][i], rows["own"][i] = names[0][k], names[1][k], homes, int(own[i])
+            rows["parts"][i] = int(parts_for(f.min()))  # all copies of a set have all its shingles
+            rows["prefix"][i], rows["shared_by"][i], rows["shingles"][i] = s[order].tobytes(), f[order].tobytes(), s.tobytes()
     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), c.chunk)), pa.array(range(len(n)), pa.int32()), pa.array(c.ids), pa.array(n, pa.int64()), *(pa.array(v, _POINT.field(k).type) for k, v in rows.items())], schema=_POINT)
 
 
@@ -190,32 +214,39 @@ def _home_labels(nodes: DataFrame) -> DataFrame:
     return written(nodes.select("node").join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("label")), "labels")
 
 
+_ENTRY = pa.schema([("s", pa.int64()), ("node", pa.int64()), ("n", pa.int64()), ("pos", pa.int32()), ("parts", pa.int32())])
+
+
 def _entries(nodes: DataFrame) -> DataFrame:
-    """(s, node, n, pos): the regions of each point."""
+    """(s, node, n, pos, parts): the regions of each point, and the parts that joins on a region deal its points into."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
             keys = [np.frombuffer(b, np.int64) for b in batch.column(3).to_pylist()]
+            by = np.concatenate([np.frombuffer(b, np.int64) for b in batch.column(4).to_pylist()])
             size = np.array([len(k) for k in keys])
             own = batch.column(2).to_numpy()
             pos = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size) + np.repeat(own, size)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.repeat(batch.column(0).to_numpy(), size)), pa.array(np.repeat(batch.column(1).to_numpy(), size)), pa.array(pos, pa.int32())], names=["s", "node", "n", "pos"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.repeat(batch.column(0).to_numpy(), size)), pa.array(np.repeat(batch.column(1).to_numpy(), size)), pa.array(pos, pa.int32()), pa.array(parts_for(by), pa.int32())], schema=_ENTRY)
 
-    return nodes.select("node", "n", "own", "prefix").mapInArrow(run, "s long, node long, n long, pos int")
+    return nodes.select("node", "n", "own", "prefix", "shared_by").mapInArrow(run, "s long, node long, n long, pos int, parts int")
 
 
 def _cell_pairs(key, part):
-    """Pairs of a region from different components and blocks that could link, first shared here or not."""
-    t = {c: part.column(c).to_numpy() for c in ("node", "n", "pos", "label", "side")}
+    """Pairs of two cells of a region, from different components, that could link; a cell that meets itself comes once.
+
+    Of each pair one is of the region's size class and the other of that class or the next.
+    """
+    t = {c: part.column(c).to_numpy() for c in ("node", "n", "pos", "label", "side", "home")}
     a, b = np.flatnonzero(t["side"] <= 1), np.flatnonzero(t["side"] >= 1)
     xs, ys = [], []
     for i in a.tolist():
         n, m = int(t["n"][i]), t["n"][b]
         need = -(-PERCENT * (n + m) // (100 + PERCENT))
         room = 1 + np.minimum(n - 1 - int(t["pos"][i]), m - 1 - t["pos"][b])
-        ok = (t["label"][b] != t["label"][i]) & (100 * np.minimum(n, m) >= PERCENT * np.maximum(n, m)) & (room >= need)
+        ok = (t["label"][b] != t["label"][i]) & (t["home"][b] | t["home"][i]) & (100 * np.minimum(n, m) >= PERCENT * np.maximum(n, m)) & (room >= need)
         hit = t["node"][b[ok]]
         xs.append(np.minimum(hit, t["node"][i]))
         ys.append(np.maximum(hit, t["node"][i]))
@@ -226,15 +257,60 @@ def _cell_pairs(key, part):
     return pa.table({"x": x, "y": y})
 
 
+def _dealt(df: DataFrame) -> DataFrame:
+    """Each row once for every part that the rows it is joined with are dealt into."""
+    return df.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+
+
+def _candidates(nodes: DataFrame, labels: DataFrame) -> DataFrame:
+    """(x, y): pairs of points of different components that share a region and pass the size and position bounds."""
+    entries = written(_entries(nodes).join(labels, "node"), "entries")
+    regions = entries.groupBy("s").agg(F.count("*").alias("m"), F.min("label").alias("a"), F.max("label").alias("b"), F.max("parts").alias("parts"))
+    regions = written(regions.filter("a <> b").select("s", "m", "parts"), "regions")
+    rows = entries.withColumn("salt", F.expr("cast(pmod(xxhash64(node, 2), parts) as int)")).drop("parts")
+    small = rows.join(_dealt(regions.filter(F.col("m") <= 2 * BLOCK)), ["s", "salt"])
+    small = small.select("s", F.lit(0).alias("g"), F.lit(True).alias("home"), "node", "n", "pos", "label", F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(1).alias("side"))
+    pairs = small.groupBy("s").applyInArrow(_cell_pairs, "x long, y long")
+    large = regions.filter(F.col("m") > 2 * BLOCK)
+    if not large.isEmpty():
+        cells = _cells(rows.join(_dealt(large), ["s", "salt"]).drop("m"), large)
+        pairs = pairs.unionAll(cells.groupBy("s", "g", "i", "j").applyInArrow(_cell_pairs, "x long, y long"))
+    return pairs.distinct()
+
+
+def _cells(rows: DataFrame, regions: DataFrame) -> DataFrame:
+    """The rows of large regions, each for every pair of cells in which it is compared: (s, g, i, j, side, ...).
+
+    Sets can link only if neither is more than 4/3 of the other, so of a region's points only those of one
+    size class, or of neighbouring ones, meet. A region's points of one class and the next are dealt into
+    cells: by component, those of a component with many points into cells of its own that need not meet
+    each other. Cells meet two by two.
+    """
+    wide = 2 * BLOCK
+    # A little more than 4/3, so that rounding can't part what belongs together.
+    rows = rows.withColumn("c", F.floor(F.log("n") / F.log(F.lit(1.34))).cast("int"))
+    classes = F.array(F.struct(F.col("c").alias("g"), F.lit(True).alias("home")), F.struct((F.col("c") - 1).alias("g"), F.lit(False).alias("home")))
+    rows = written(rows.withColumn("at", F.explode(classes)).select("s", "salt", "at.g", "at.home", "node", "n", "pos", "label"), "large")
+    sizes = written(rows.groupBy("s", "g", "label").agg(F.count("*").alias("m"), F.max("home").alias("home")), "sizes")
+    groups = sizes.groupBy("s", "g").agg(F.sum(F.when(F.col("m") <= wide, F.col("m"))).alias("m"), F.count("*").alias("labels"), F.max("home").alias("home")).filter("labels > 1 and home")
+    groups = written(groups.join(regions.select("s", "parts"), "s").select("s", "g", "parts", F.expr(f"cast(ceil(m / {wide}) as int)").alias("cells")), "groups")
+    # owner: a component that has cells of its own; null: the cells of all others.
+    owned = sizes.filter(f"m > {wide}").join(groups.select("s", "g", "parts"), ["s", "g"]).select("s", "g", "parts", F.col("label").alias("owner"), F.expr(f"cast(ceil(m / {wide}) as int)").alias("cells"))
+    cells = groups.filter("cells > 0").select("s", "g", "parts", F.lit(None).cast("long").alias("owner"), "cells").unionAll(owned)
+    cells = cells.select("s", "g", "parts", F.struct(F.coalesce("owner", F.lit(0)).alias("owner"), F.col("owner").isNotNull().alias("owned"), F.explode(F.sequence(F.lit(0), F.col("cells") - 1)).alias("cell")).alias("there"))
+    own = owned.select("s", "g", "parts", F.col("owner").alias("label"), F.col("cells").alias("own_cells"))
+    rows = rows.join(_dealt(groups), ["s", "g", "salt"]).join(_dealt(own), ["s", "g", "salt", "label"], "left")
+    owned_row = F.col("own_cells").isNotNull()
+    cell = F.when(owned_row, F.expr("cast(pmod(xxhash64(node, 1), own_cells) as int)")).otherwise(F.expr("cast(pmod(xxhash64(label, 1), cells) as int)"))
+    rows = rows.withColumn("here", F.struct(F.when(owned_row, F.col("label")).otherwise(F.lit(0)).alias("owner"), owned_row.alias("owned"), cell.alias("cell")))
+    rows = rows.select("s", "g", "salt", "home", "node", "n", "pos", "label", "here").join(_dealt(cells), ["s", "g", "salt"]).filter("not (here.owned and there.owned and here.owner = there.owner)")
+    side = F.when(F.col("here") == F.col("there"), 1).when(F.col("here") < F.col("there"), 0).otherwise(2)
+    return rows.select("s", "g", "home", "node", "n", "pos", "label", F.least("here", "there").alias("i"), F.greatest("here", "there").alias("j"), side.alias("side"))
+
+
 def _boundary_links(nodes: DataFrame, labels: DataFrame) -> DataFrame:
     """(x, y): labels of components joined by a verified pair."""
-    entries = written(_entries(nodes).join(labels, "node"), "entries")
-    open_regions = entries.groupBy("s").agg(F.count("*").alias("m"), F.min("label").alias("a"), F.max("label").alias("b")).filter("a <> b").select("s", F.expr(f"cast(ceil(m / {2 * BLOCK}) as int)").alias("cells"))
-    rows = entries.join(open_regions, "s").withColumn("cell", F.expr("cast(pmod(xxhash64(node, 1), cells) as int)"))
-    # Cells of a region meet two by two; side 1: both sides, when a cell meets itself.
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)))
-    rows = rows.select("s", "node", "n", "pos", "label", F.least("cell", "other").alias("i"), F.greatest("cell", "other").alias("j"), F.when(F.col("cell") == F.col("other"), 1).when(F.col("cell") < F.col("other"), 0).otherwise(2).alias("side"))
-    pairs = written(rows.groupBy("s", "i", "j").applyInArrow(_cell_pairs, "x long, y long").distinct(), "pairs")
+    pairs = written(_candidates(nodes, labels), "pairs")
     sets = nodes.select("node", "shingles")
     full = pairs.join(sets.select(F.col("node").alias("x"), F.col("shingles").alias("sx")), "x").join(sets.select(F.col("node").alias("y"), F.col("shingles").alias("sy")), "y").select("x", "y", "sx", "sy")
 
@@ -252,6 +328,13 @@ def _boundary_links(nodes: DataFrame, labels: DataFrame) -> DataFrame:
     return found.join(lab.toDF("x", "lx"), "x").join(lab.toDF("y", "ly"), "y").filter("lx <> ly").select(F.least("lx", "ly").alias("x"), F.greatest("lx", "ly").alias("y")).distinct()
 
 
+def salted(many: DataFrame, by: str, one: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """many joined with one, which has each key once; the rows of a key are dealt into SALTS parts by column `by`."""
+    left = many.withColumn("salt", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int"))
+    right = one.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return left.join(right, [key, "salt"], how).drop("salt")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for the nodes of edges (x, y), root being a component's smallest node.
 
@@ -261,47 +344,46 @@ def components(edges: DataFrame) -> DataFrame:
     sign = lambda df: tuple(df.agg(F.count("*"), F.bit_xor(F.xxhash64("x", "y")), F.sum(F.xxhash64("y", "x").cast("decimal(38,0)"))).first())
     now = written(edges.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).filter("x <> y").distinct(), "edges")
     mark = sign(now)
-    while True:
+    for _ in range(BOUND):
         both = now.select("x", "y").unionAll(now.select(F.col("y").alias("x"), F.col("x").alias("y")))
         least = both.groupBy("x").agg(F.min("y").alias("m")).withColumn("m", F.least("m", "x"))
-        large = both.join(least, "x").filter("y > x").select(F.col("m").alias("x"), "y").distinct()
+        large = salted(both, "y", least, "x").filter("y > x").select(F.col("m").alias("x"), "y").distinct()
         down = large.select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")).filter("x <> y")
         least = down.groupBy("x").agg(F.min("y").alias("m"))
-        small = down.join(least, "x").select(F.col("m").alias("a"), F.col("y").alias("b")).unionAll(least.select(F.col("m").alias("a"), F.col("x").alias("b")))
+        small = salted(down, "y", least, "x").select(F.col("m").alias("a"), F.col("y").alias("b")).unionAll(least.select(F.col("m").alias("a"), F.col("x").alias("b")))
         new = written(small.filter("a <> b").select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).distinct(), "edges")
         mark, old = sign(new), mark
         if mark == old:
             return now.select(F.col("y").alias("node"), F.col("x").alias("root")).unionAll(now.select(F.col("x").alias("node"), F.col("x").alias("root"))).distinct()
         now = new
+    raise RuntimeError(f"components took more than {BOUND} rounds")
 
 
 def _resolved(table: ChunkTable, drop: bool) -> DataFrame:
-    """(chunk, at, doc_id, n, component): every text of the table, by its chunk and its place there. drop: the table, as soon as its texts aren't needed."""
-    spark = table.spark
+    """(chunk, at, doc_id, n, root, component): every text of the table, by its chunk and its place there. root: the class (null: the text is alone). drop: the table, as soon as its texts aren't needed."""
 
-    def send(c: Chunk) -> tuple[np.ndarray, np.ndarray]:
-        keys, counts, _ = distinct_keys(shingle_sets(c)[0])
-        return keys, counts
+    def send(c: Chunk) -> Keys:
+        return Keys.of(shingle_sets(c)[0])
 
     counted = totals(table, send, width=6, kind=np.uint32)
     rows = written(table.map_with(counted, points, POINT, kind=np.uint32).withColumn("doc_id", F.nullif(F.col("doc_id"), F.lit(NO_ID))), "points")
-    del counted
     if drop:
         table.drop()
-    release(spark)
-    one = rows.filter(F.col("node").isNotNull()).groupBy("node").agg(*(F.first(c).alias(c) for c in ("n", "homes", "own", "prefix", "shingles")))
+    # A row's number stands for its set, which it has alone or is the first of.
+    shared = rows.filter(F.col("set_a").isNotNull())
+    one = shared.groupBy("set_a", "set_b").agg(F.min(F.col("chunk") + F.col("at")).alias("node"), F.min("doc_id").alias("least"), *(F.first(c).alias(c) for c in ("parts", "n", "homes", "own", "prefix", "shared_by", "shingles")))
     nodes = written(one, "nodes")
-    del one
     labels = _home_labels(nodes)
-    release(spark)
     roots = components(_boundary_links(nodes, labels))
-    final = labels.join(roots.toDF("label", "root"), "label", "left").select("node", F.coalesce("root", "label").alias("root"))
-    least = rows.filter(F.col("node").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("least"))
-    named = final.join(least, "node")
-    named = named.join(named.groupBy("root").agg(F.min("least").alias("component")), "root").select("node", "component")
+    rooted = salted(labels, "node", roots.toDF("label", "root"), "label", "left").select("node", F.coalesce("root", "label").alias("root"))
+    final = written(nodes.select("node", "set_a", "set_b", "parts", "least").join(rooted, "node"), "rooted")
+    first = final.groupBy("root").agg(F.min("least").alias("component"))
+    named = salted(final, "node", first, "root").select("set_a", "set_b", "parts", "root", "component")
+    named = named.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
     columns = ["chunk", "at", "doc_id", "n"]
-    alone = rows.filter(F.col("node").isNull()).select(*columns, F.col("doc_id").alias("component"))
-    return alone.unionAll(rows.filter(F.col("node").isNotNull()).select(*columns, "node").join(named, "node").select(*columns, "component"))
+    alone = rows.filter(F.col("set_a").isNull()).select(*columns, F.lit(None).cast("long").alias("root"), F.col("doc_id").alias("component"))
+    dealt = shared.select(*columns, "set_a", "set_b", F.pmod(F.col("chunk") + F.col("at"), F.col("parts")).cast("int").alias("salt"))
+    return alone.unionAll(dealt.join(named, ["set_a", "set_b", "salt"]).select(*columns, "root", "component"))
 
 
 def _table(docs: DataFrame, keep: tuple[str, ...] = ()) -> ChunkTable:
@@ -316,18 +398,19 @@ def classes(docs: DataFrame) -> DataFrame:
 
 
 def one_per_class(docs: DataFrame) -> DataFrame:
-    """The rows of docs that stand for their class, with all their columns: that of the smallest doc_id, of repeated rows one.
+    """The rows of docs that stand for their class, with all their columns: of each class the one with the smallest doc_id, of several such rows one.
 
-    Rows without a doc_id stay unless a row with one is in their class. Texts don't move: what stays is
-    told to the chunks that hold the texts.
+    Ids don't make classes: rows of one id with different words stay each in its own, and of a class
+    without ids one row stays. A row without a word is a class of its own. Texts don't move: what stays
+    is told to the chunks that hold the texts.
     """
     keep = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
     with scratch(docs.sparkSession):
         table = _table(docs, keep)
         rows = written(_resolved(table, False), "resolved")
-        release(docs.sparkSession)
-        first = rows.filter("doc_id = component").groupBy("component").agg(F.min(F.struct("chunk", "at")).alias("w")).select("w.chunk", "w.at")
-        stay = first.unionAll(rows.filter("component is null").select("chunk", "at")).groupBy("chunk").agg(F.collect_list("at").alias("places"))
+        order = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "chunk", "at")
+        first = rows.filter("root is not null").groupBy("root").agg(F.min(order).alias("w")).select("w.chunk", "w.at")
+        stay = first.unionAll(rows.filter("root is null").select("chunk", "at")).groupBy("chunk").agg(F.collect_list("at").alias("places"))
         kinds = "".join(f", rest_{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(keep))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -343,6 +426,4 @@ def one_per_class(docs: DataFrame) -> DataFrame:
         joined = table.frame().join(stay.hint("shuffle_hash"), "chunk").select("chunk", "ids", "lens", "flags", "rest", "text", "places")
         out = joined.mapInArrow(run, "doc_id long, text binary" + kinds)
         back = {"doc_id": F.nullif(F.col("doc_id"), F.lit(NO_ID)).cast(docs.schema["doc_id"].dataType), "text": F.col("text").cast("string")} | {c: F.col(f"rest_{i}") for i, c in enumerate(keep)}
-        kept = keep_written(out.select(*[back[c].alias(c) for c in docs.columns]), "kept")
-        table.drop()
-    return kept
+        return keep_written(out.select(*[back[c].alias(c) for c in docs.columns]), "kept")

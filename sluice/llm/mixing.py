@@ -6,13 +6,17 @@ min(cap, level * weight), with the level found by prefix sums over the sources i
 which they stop, so sources are never collected.
 
 A source's target is met by whole repetitions of all its documents and a seeded sample for the
-fraction: documents in the order of a seeded hash, taken up to the place where the running size is
-nearest to what is left. That place is found by two-level sums (4096 hash ranges of a source, then the
-documents of the one range in which the sample ends), so that a source with most of the rows is no
-single task, and is applied to documents as one comparison with their source's row of the plan.
+fraction: documents in the order of a seeded hash of id and text, taken up to the place where the
+running size is nearest to what is left. That place is found by two-level sums (65,536 hash ranges of a
+source, then the places of the one range in which the sample ends), so that a source with most of the
+rows is no single task, and is applied to documents as one comparison with their source's row of the
+plan. Rows of the same id and text have the same place and are as good as each other; where the
+sample ends among them, as many as it needs are counted off: whole tasks' rows, then those of one task.
 
 Results in special cases: a null text has size 0, a null source is a source of its own, after the
-others; sources without any word have target 0; repeated rows count as often as they occur.
+others; sources without any word have target 0; repeated rows and rows without an id are documents each,
+of which a sample takes as many as bring it nearest to its target; an empty table gives an empty mix;
+columns of docs may have any names.
 """
 
 from __future__ import annotations
@@ -20,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sluice.llm.shared import written
+from sluice.llm.shared import keep_written, scratch, written
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Weights of the sources, in the order of their names, repeating.
@@ -59,49 +63,90 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, budget: floa
 
 
 def seeded_order(seed: int) -> Column:
-    """A document's place in its source's order: hex of md5 over seed and id."""
-    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
+    """A document's place in its source's order: hex of md5 over seed, id and text."""
+    name = F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("null"))
+    return F.md5(F.concat(F.lit(f"{seed}:"), name, F.lit(":"), F.md5(F.coalesce(F.col("text"), F.lit("")))))
 
 
 def plan(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, budget: float = BUDGET, max_epochs: float = MAX_EPOCHS) -> DataFrame:
-    """sized: source, size, place of each document. Per source: source_size, target, whole (repetitions of all) and cut (places up to it are taken once more; null: none)."""
+    """sized: source, size, place of each document.
+
+    Per source, named s: source_size, target, whole (repetitions of all), cut (places up to it are taken
+    once more; null: none), and at (of the documents at the cut itself only so many; null: all).
+    """
     known = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, budget, max_epochs)
     known = known.withColumn("whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long"))
     known = written(known.select(F.col("source").alias("s"), "source_size", "target", "whole", (F.col("target") - F.col("whole") * F.col("source_size")).alias("part")), "targets")
-    prefix = F.substring("place", 1, 3)
+    prefix = F.substring("place", 1, 4)
     sums = sized.groupBy("source", prefix.alias("range")).agg(F.sum("size").alias("range_size"))
     before = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.withColumn("before", F.coalesce(F.sum("range_size").over(before), F.lit(0)))
     same = lambda a, b: F.col(a).eqNullSafe(F.col(b))
-    # The one range of a source in which its sample ends; only that range's documents need an order.
+    # The one range of a source in which its sample ends; only that range's places need an order.
     edge = sums.join(known, same("source", "s")).filter((F.col("part") > 0) & (F.col("before") <= F.col("part")) & (F.col("before") + F.col("range_size") > F.col("part")))
     edge = edge.select("s", F.col("range").alias("r"), "before", "part")
-    inside = Window.partitionBy("s", "r").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
     ends = sized.select("source", "size", "place", prefix.alias("range")).join(edge, same("source", "s") & (F.col("range") == F.col("r")))
-    upto = F.col("before") + F.coalesce(F.sum("size").over(inside), F.lit(0))
-    ends = ends.withColumn("taken", upto + F.col("size") / 2 <= F.col("part"))
-    cuts = ends.groupBy("s", "r").agg(F.max(F.when(F.col("taken"), F.col("place"))).alias("last")).select(F.col("s").alias("c"), F.coalesce("last", "r").alias("cut"))
-    return written(known.join(cuts, same("s", "c"), "left").select("s", "source_size", "target", "whole", "cut"), "plan")
+    ends = ends.groupBy("s", "r", "before", "part", "place").agg(F.count("*").alias("n"), F.max("size").alias("size"), F.sum("size").alias("sum"))
+    inside = Window.partitionBy("s", "r").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
+    left = F.col("part") - F.col("before") - F.coalesce(F.sum("sum").over(inside), F.lit(0))
+    # Of the documents at a place, all of one size, those whose middle lies within what is left.
+    ends = ends.filter("size > 0").withColumn("take", F.least(F.greatest(F.floor(left / F.col("size") + 0.5), F.lit(0)), F.col("n")))
+    cuts = ends.groupBy("s", "r").agg(F.max_by(F.struct("place", F.when(F.col("take") < F.col("n"), F.col("take").cast("long")).alias("at")), F.when(F.col("take") > 0, F.col("place"))).alias("last"))
+    cuts = cuts.select(F.col("s").alias("c"), F.coalesce("last.place", "r").alias("cut"), F.col("last.at").alias("at"))
+    return written(known.join(cuts, same("s", "c"), "left").select("s", "source_size", "target", "whole", "cut", "at"), "plan")
 
 
 def sized(docs: DataFrame, seed: int = 7) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", word_count(F.col("text")).alias("size"), seeded_order(seed).alias("place"))
 
 
+def _counted_off(rows: DataFrame, by: str, at: str, more: str) -> DataFrame:
+    """rows with column `more`: 1 for as many rows of each value of `by` (which may be null) as `at` says, else 0."""
+    numbered = written(rows.withColumn("_row", F.monotonically_increasing_id()), "ties")
+    task = F.shiftright("_row", 33)
+    tasks = numbered.groupBy(F.col(by).alias("_by"), task.alias("_task")).agg(F.count("*").alias("_n"))
+    before = Window.partitionBy("_by").orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
+    tasks = tasks.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    joined = numbered.join(F.broadcast(tasks) if tasks.limit(SMALL + 1).count() <= SMALL else tasks, F.col(by).eqNullSafe(F.col("_by")) & (task == F.col("_task")))
+    nth = F.row_number().over(Window.partitionBy("_by", "_task").orderBy("_row"))
+    return joined.withColumn(more, (F.col("_before") + nth <= F.col(at)).cast("long")).drop("_row", "_by", "_task", "_before")
+
+
+#: Rows up to which a table is broadcast.
+SMALL = 100_000
+
+
 def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, budget: float = BUDGET, max_epochs: float = MAX_EPOCHS, seed: int = 7) -> DataFrame:
     """Per row of docs: doc_id, source, size, source_size, target (of its source), times (how often it is taken), taken (times * size)."""
-    rows = written(sized(docs, seed), "sizes")
-    known = plan(rows, weights, budget, max_epochs)
-    often = F.col("whole") + F.coalesce((F.col("place") <= F.col("cut")).cast("long"), F.lit(0))
-    out = rows.join(known, F.col("source").eqNullSafe(F.col("s"))).withColumn("times", often)
-    return out.select("doc_id", "source", "size", "source_size", "target", "times", (F.col("times") * F.col("size")).alias("taken"))
+    with scratch(docs.sparkSession):
+        rows = written(sized(docs, seed), "sizes")
+        out = _with_times(rows, plan(rows, weights, budget, max_epochs), F.col("place"), "")
+        return keep_written(out.select("doc_id", "source", "size", "source_size", "target", "times", (F.col("times") * F.col("size")).alias("taken")), "mix")
+
+
+def _with_times(rows: DataFrame, known: DataFrame, place: Column, mark: str) -> DataFrame:
+    """rows with their source's row of the plan and `times`, all of these names beginning with `mark`."""
+    c = lambda name: F.col(f"`{mark}{name}`")
+    ties = not known.filter(F.col("at").isNotNull()).isEmpty()
+    known = known.withColumnsRenamed({n: mark + n for n in known.columns})
+    joined = rows.join(known, F.col("source").eqNullSafe(c("s")))
+    tie = F.coalesce((place == c("cut")) & c("at").isNotNull(), F.lit(False))
+    plain = joined.filter(~tie) if ties else joined
+    plain = plain.withColumn(f"{mark}times", c("whole") + F.coalesce((place <= c("cut")).cast("long"), F.lit(0)))
+    if not ties:
+        return plain
+    # A source's sample ends at one place, so its rows there are the same.
+    counted = _counted_off(joined.filter(tie), f"{mark}s", f"{mark}at", f"{mark}more")
+    return plain.unionByName(counted.withColumn(f"{mark}times", c("whole") + c("more")).drop(f"{mark}more"))
 
 
 def mixed(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, budget: float = BUDGET, max_epochs: float = MAX_EPOCHS, seed: int = 7) -> DataFrame:
     """The rows of docs, with all their columns, each as often as the mix takes it."""
-    known = plan(written(sized(docs, seed), "sizes"), weights, budget, max_epochs)
-    names = {c: f"plan_{c}" for c in known.columns}
-    known = known.withColumnsRenamed(names)
-    often = F.col("plan_whole") + F.coalesce((seeded_order(seed) <= F.col("plan_cut")).cast("long"), F.lit(0))
-    joined = docs.join(known, F.col("source").eqNullSafe(F.col("plan_s"))).withColumn("plan_times", often).filter("plan_times > 0")
-    return joined.withColumn("plan_copy", F.explode(F.sequence(F.lit(1), F.col("plan_times")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    mark = "mix_"
+    while any(c.lower().startswith(mark) for c in docs.columns):
+        mark += "_"
+    with scratch(docs.sparkSession):
+        known = plan(written(sized(docs, seed), "sizes"), weights, budget, max_epochs)
+        out = _with_times(docs, known, seeded_order(seed), mark).filter(F.col(f"{mark}times") > 0)
+        out = out.withColumn(f"{mark}copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col(f"{mark}times"))))
+        return keep_written(out.select(*[F.col(f"`{c}`") for c in docs.columns]), "mixed")

@@ -7,7 +7,8 @@ are bits of one integer, so finding a fit is a shift and a count of trailing zer
 shuffled, and memory doesn't grow with the input; each task leaves some partly filled sequences.
 
 Results in special cases: a null or empty text is a piece of the end token alone; repeated rows are
-packed as often as they occur.
+packed as often as they occur; a null doc_id stays null; an empty table has no pieces; a text of any
+length is cut into pieces in its task, so that one text's ids must fit a task's memory.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sluice.llm.shared import lean, trim
+from sluice.llm.shared import lean
 
 #: Tokens of a sequence.
 SEQUENCE = 1024
@@ -50,17 +51,19 @@ def _byte_letters() -> dict[str, int]:
 
 
 class Encoder:
-    """Ids of texts as little-endian uint32 bytes, as the library `tokenizers` gives them for the file.
+    """Ids of texts as little-endian uint32 bytes, as the library `tokenizers` gives them for the file, without special tokens around them.
 
     Where the file is a byte-level BPE whose ids follow the order of its merges, texts of common
-    letters go through a faster engine with that same vocabulary; all others through `tokenizers`.
+    letters go through a faster engine with that same vocabulary; all others, and texts in which an
+    added token is written out, through `tokenizers`.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(map(re.escape, added)) or "(?!)")
         self.fast = self._same_vocabulary(path)
 
     @staticmethod
@@ -85,7 +88,7 @@ class Encoder:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32).tobytes()
 
     def __call__(self, text: str) -> bytes:
-        if self.fast is None or _COMMON.search(text):
+        if self.fast is None or _COMMON.search(text) or self.added.search(text):
             return self.plain(text)
         return np.asarray(self.fast.encode_ordinary(text), np.uint32).tobytes()
 
@@ -168,7 +171,6 @@ def pack(docs: DataFrame, path: str | None = None, end_id: int = 2, size: int =
                     rows.append((name, k, start, length, zlib.crc32(part), base + sequence, offset) + ((part,) if with_ids else ()))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
-        trim()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SCHEMA + ", ids binary" * with_ids)
 

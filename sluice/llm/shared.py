@@ -2,15 +2,11 @@
 
 from __future__ import annotations
 
-import ctypes
-import gc
 import re
 import tempfile
-import time
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -68,20 +64,38 @@ def written(df: DataFrame, what: str) -> DataFrame:
 
 
 _tracked: list[list[str]] = []
+_ends: list[list[Callable[[], None]]] = []
+_FREE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
-    """Tables that are written inside go when it ends; a result is written with keep_written."""
+    """Tables that are written inside go when it ends, however it ends; a result is written with keep_written.
+
+    Inside, Spark deletes a query's shuffle files when the query is done.
+    """
     paths: list[str] = []
+    ends: list[Callable[[], None]] = []
+    before = spark.conf.get(_FREE)
     _tracked.append(paths)
+    _ends.append(ends)
+    spark.conf.set(_FREE, "true")
     try:
         yield
     finally:
+        spark.conf.set(_FREE, before)
         _tracked.remove(paths)
+        _ends.remove(ends)
+        for end in ends:
+            end()
         for path in paths:
             remove(spark, path)
-        release(spark)
+
+
+def at_end(f: Callable[[], None]) -> None:
+    """f is called when the scratch around this ends."""
+    if _ends:
+        _ends[-1].append(f)
 
 
 def keep_written(df: DataFrame, what: str) -> DataFrame:
@@ -91,18 +105,6 @@ def keep_written(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of frames that nothing refers to any more.
-
-    Spark's cleaner learns of them by garbage collection: the first drops the references that Python
-    held, a later one finds the frames; the files go a moment after.
-    """
-    for _ in range(3):
-        gc.collect()
-        spark._jvm.System.gc()
-        time.sleep(0.25)
-
-
 def text_frame(docs: DataFrame, *columns: str) -> DataFrame:
     """The named columns and the text as UTF-8 bytes, nothing else of docs."""
     lean(docs.sparkSession)
@@ -139,21 +141,6 @@ def slices(batches: Iterator[pa.RecordBatch], limit: int = SLICE_BYTES) -> Itera
             at = to
 
 
-@cache
-def _libc():
-    try:
-        return ctypes.CDLL("libc.so.6")
-    except OSError:
-        return None
-
-
-def trim() -> None:
-    """Gives memory that a Python worker has freed back to the system; a worker outlives its task."""
-    if _libc() is not None and hasattr(_libc(), "malloc_trim"):
-        _libc().malloc_trim(0)
-    pa.default_memory_pool().release_unused()
-
-
 def ints(column) -> np.ndarray:
     """An int64 column that has no nulls."""
     return np.asarray(column.to_numpy(zero_copy_only=False), dtype=np.int64)

@@ -1,21 +1,26 @@
 """Removing repeated passages, found by recompression.
 
-A text's words get 64-bit names. A round of recompression then names the runs of equal neighbours,
-and after that the pairs of neighbours whose names fall left and right in a split of all names that
-the round draws by hashing. Names come from what they cover alone, so they are the same for equal
-word sequences everywhere, without a lookup; a symbol also knows the range of words that its making
-depends on. Wherever a window of words stands, the symbols whose range lies within it stand there
-too.
-
-After `rounds` rounds a Spark exchange counts the symbols over the corpus. A window that holds, with
-its whole range, a symbol that occurs once cannot occur elsewhere. All other windows are verified: a
-second exchange counts their 64-bit hashes, and words under a window that occurs twice or more go.
-No window is dropped unverified because of its count, and none is compared with others pairwise.
+Spark names symbols in rounds, for the whole corpus at once. Round 0 names the words. Every later round
+names what two neighbours make: each side is a run of equal symbols, and a left one is paired with the
+right one after it in a split of all names that the round draws by hashing. A round is one exchange
+(see sluice.llm.exchange): chunks send the distinct blocks that they hold, ranges of the key space give
+equal blocks the same number and others another, and chunks get the numbers back. A block is known by
+the names and lengths of its two runs in full, so that two symbols have the same name if and only if
+they stand for the same words; only words themselves come in by a hash, of 128 bits.
+
+A symbol also knows the range of words that its making depends on. Wherever a window of words stands,
+the symbols whose range lies within it stand there too, under the same names. So a symbol that occurs
+once, or whose range is longer than a window, can't be inside a repeat: it gets no name, and what is
+left on either side of it goes on alone. A window that holds the range of a symbol that occurs once
+doesn't occur elsewhere. The other windows have shared symbols only; an exchange of 128 bits over all
+their words verifies them, and words under a window that occurs twice or more go. No window is dropped
+unverified because of its count, and none is compared with others pairwise.
 
 Results in special cases: null and empty texts have no word; texts shorter than a window lose
 nothing; rows that are equal, or one text that repeats itself, lose the repeated words everywhere;
-a null doc_id stays null. Two different windows count as equal if their hashes are: at n windows a
-chance of about n**2 / 2**65.
+a null doc_id stays null; other columns go along untouched, whatever their names. A text is one value
+of a chunk, so it may have 2 GB at most. Two different words, or windows, count as equal if all 128
+bits are: at n of them a chance of about n**2 / 2**129.
 """
 
 from __future__ import annotations
@@ -29,191 +34,182 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from sluice.llm.exchange import Chunk, ChunkTable, by_chunk, count_messages, distinct_keys, message_batches, totals
-from sluice.llm.shared import keep_written, new_path, release, remove, trim
-from sluice.llm.words import Words, mixed, window_hashes, words_of
+from sluice.llm.exchange import MESSAGE, Chunk, ChunkTable, Keys, by_chunk, count_messages, in_order, name_messages
+from sluice.llm.shared import keep_written, scratch
+from sluice.llm.words import Words, joined, mixed, window_hashes, words_of
 
 #: Words of a window.
 WINDOW = 35
-ROUNDS = 4
+#: Rounds that name blocks, after the one that names words.
+ROUNDS = 3
 #: Stands for a null doc_id inside chunks.
 NO_ID = -(1 << 63)
-_A, _B, _C = np.uint64(0x9FB21C651E98DF25), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xA0761D6478BD642F)
+_FAR = np.int64(1) << 40
 
 
-class Symbols:
-    """A level: names; start, end: the words covered; lo, hi: the words the making depends on (beyond the text's ends if on these)."""
+class Level:
+    """The symbols of a chunk in their order: name; lo, hi: the words the making depends on; leading, last: no symbol follows on before, after."""
 
     def __init__(self, words: Words):
         n = len(words.hash)
-        self.name = words.hash
-        self.start = np.arange(n)
-        self.end = self.start + 1
-        self.lo, self.hi = self.start.copy(), self.end.copy()
+        self.name = np.zeros(n, np.uint64)
+        self.lo = np.arange(n)
+        self.hi = self.lo + 1
         self.last = np.zeros(n, bool)
-        ends = words.first[1:][np.diff(words.first) > 0] - 1
-        self.last[ends] = True
-        self.leading = np.concatenate([[True], self.last[:-1]]) if n else self.last
-
-    def _neighbours(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(lo, hi) of the symbol before and of the one after; out of reach where the text ends."""
-        far = np.int64(1) << 40
-        plo, phi = np.empty_like(self.lo), np.empty_like(self.hi)
-        plo[1:], phi[1:] = self.lo[:-1], self.hi[:-1]
-        plo[self.leading], phi[self.leading] = -far, -far
-        nlo, nhi = np.empty_like(self.lo), np.empty_like(self.hi)
-        nlo[:-1], nhi[:-1] = self.lo[1:], self.hi[1:]
-        nlo[self.last], nhi[self.last] = far, far
-        return plo, phi, nlo, nhi
-
-    def _merge(self, head: np.ndarray, name: np.ndarray) -> None:
-        """head: the places of the first symbols of what is merged; name: the new names."""
-        stop = np.concatenate([head[1:], [len(self.name)]]) - 1
+        self.last[words.first[1:][np.diff(words.first) > 0] - 1] = True
+        self.leading = np.ones(n, bool)
+        self.leading[1:] = self.last[:-1]
+
+    def _merge(self, head: np.ndarray) -> None:
+        """Symbols become one from each place in `head` up to the next, under the first one's name."""
+        stop = np.append(head[1:], len(self.name)) - 1
         self.lo, self.hi = np.minimum.reduceat(self.lo, head), np.maximum.reduceat(self.hi, head)
-        self.start, self.end = self.start[head], self.end[stop]
-        self.leading, self.last, self.name = self.leading[head], self.last[stop], name
+        self.leading, self.last, self.name = self.leading[head], self.last[stop], self.name[head]
+
+    def _reach(self, before: np.ndarray | bool, after: np.ndarray | bool) -> None:
+        """Adds the ranges of the symbols before, and after, to those of the symbols marked; beyond reach where none follows on."""
+        lo, hi = self.lo.copy(), self.hi.copy()
+        look = np.ones(len(lo), bool) & before
+        lo[look & self.leading] = -_FAR
+        at = np.flatnonzero(look & ~self.leading)
+        lo[at], hi[at] = np.minimum(lo[at], self.lo[at - 1]), np.maximum(hi[at], self.hi[at - 1])
+        look = np.ones(len(lo), bool) & after
+        hi[look & self.last] = _FAR
+        at = np.flatnonzero(look & ~self.last)
+        lo[at], hi[at] = np.minimum(lo[at], self.lo[at + 1]), np.maximum(hi[at], self.hi[at + 1])
+        self.lo, self.hi = lo, hi
+
+    def blocks(self, salt: int, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Merges runs, then pairs of runs. The two halves of each block's key (name and length of a run, in 64 bits; 0: none), and whether it is new.
 
-    def runs(self) -> None:
+        A length stops at its bits' end, which is beyond any window.
+        """
         if not len(self.name):
-            return
-        plo, phi, nlo, nhi = self._neighbours()
+            return self.name, self.name, np.zeros(0, bool)
         # Whatever a run is, it ends where the neighbours differ.
-        lo, hi = np.minimum(self.lo, np.minimum(plo, nlo)), np.maximum(self.hi, np.maximum(phi, nhi))
-        self.lo, self.hi = lo, hi
-        same = np.zeros(len(self.name), bool)
-        same[1:] = (self.name[1:] == self.name[:-1]) & ~self.leading[1:]
-        head = np.flatnonzero(~same)
-        size = np.diff(np.concatenate([head, [len(self.name)]])).astype(np.uint64)
-        name = self.name[head]
-        name = np.where(size > 1, mixed(name * _A + size * _C, 11), name)
-        self._merge(head, name)
-
-    def pairs(self, salt: int) -> None:
-        n = len(self.name)
-        if not n:
-            return
-        plo, phi, nlo, nhi = self._neighbours()
-        right = (mixed(self.name, 100 + salt) >> np.uint64(63)).astype(bool)
+        self._reach(True, True)
+        head = np.ones(len(self.name), bool)
+        head[1:] = (self.name[1:] != self.name[:-1]) | self.leading[1:]
+        head = np.flatnonzero(head)
+        size = np.minimum(np.diff(np.append(head, len(self.name))), (1 << bits) - 1).astype(np.uint64)
+        self._merge(head)
+        run = self.name << np.uint64(bits) | size
         # A left name looks at the one after it, a right name at the one before it.
-        self.lo = np.minimum(self.lo, np.where(right, plo, nlo))
-        self.hi = np.maximum(self.hi, np.where(right, phi, nhi))
-        joins = np.zeros(n, bool)  # with the one before
+        right = (mixed(run, 100 + salt) >> np.uint64(63)).astype(bool)
+        self._reach(right, ~right)
+        joins = np.zeros(len(run), bool)  # with the one before
         joins[1:] = right[1:] & ~right[:-1] & ~self.leading[1:]
         head = np.flatnonzero(~joins)
-        paired = np.zeros(n, bool)
-        paired[:-1] = joins[1:]
-        name = self.name[head]
-        two = paired[head]
-        name[two] = mixed(self.name[head[two]] * _A + self.name[head[two] + 1] * _B, 200 + salt)
-        self._merge(head, name)
-
-
-def recompress(words: Words, rounds: int) -> Symbols:
-    level = Symbols(words)
-    for r in range(rounds):
-        level.runs()
-        level.pairs(r)
-    return level
-
-
-def usable(level: Symbols, window: int) -> np.ndarray:
-    """Whether a window can hold a symbol with all it depends on."""
-    return level.hi - level.lo <= window
-
-
-def symbol_keys(words: Words, window: int, rounds: int) -> tuple[Symbols, np.ndarray]:
-    level = recompress(words, rounds)
-    return level, np.flatnonzero(usable(level, window))
-
-
-def open_windows(words: Words, level: Symbols, at: np.ndarray, once: np.ndarray, window: int) -> np.ndarray:
-    """The starts of windows that hold none of the symbols at[once] with their ranges."""
-    n = len(words.hash)
-    mark = np.zeros(n + 1, np.int64)
-    lo, hi = level.lo[at[once]], level.hi[at[once]]
-    np.add.at(mark, np.maximum(hi - window, 0), 1)
-    np.add.at(mark, lo + 1, -1)
-    dead = np.cumsum(mark[:-1]) > 0
-    start = np.arange(n)
-    whole = start + window <= words.first[1:][words.doc]
-    return np.flatnonzero(whole & ~dead)
-
-
-class Plan:
-    """What a chunk's stages share: words, symbols and their keys, all from its texts."""
-
-    def __init__(self, c: Chunk, window: int, rounds: int):
-        self.words = words_of(c.offsets, c.raw)
-        self.level, self.at = symbol_keys(self.words, window, rounds)
-        self.keys, self.counts, self.place = distinct_keys(self.level.name[self.at])
-
-
-def removed_words(table: ChunkTable, window: int, rounds: int, with_text: StructType | None) -> tuple[DataFrame, list[str]]:
-    """doc_id, n_words, n_removed, kept_sha256 per text of the table, or with_text: those columns it keeps, and kept (binary); and what to remove afterwards."""
-    spark = table.spark
-
-    def symbols(c: Chunk) -> tuple[np.ndarray, np.ndarray]:
-        p = Plan(c, window, rounds)
-        return p.keys, p.counts
-
-    seen = totals(table, symbols, width=6)
-
-    def windows(c: Chunk, total: np.ndarray) -> Iterator[pa.RecordBatch]:
-        p = Plan(c, window, rounds)
-        at = open_windows(p.words, p.level, p.at, total[p.place] < 2, window)
-        bits = np.zeros(len(p.words.hash), bool)
-        bits[at] = True
-        yield pa.RecordBatch.from_pylist([{"chunk": c.chunk, "starts": np.packbits(bits).tobytes()}], schema=pa.schema([("chunk", pa.int64()), ("starts", pa.binary())]))
-
-    starts_path = new_path(spark, "windows")
-    table.map_with(seen, windows, "chunk long, starts binary").write.bucketBy(table.parts, "chunk").option("path", starts_path).format("parquet").saveAsTable(name := f"{table.name}_windows")
-    del seen
-    release(spark)
-    both = table.frame().join(spark.table(name).hint("shuffle_hash"), "chunk", "left")
-
-    def hashes(row: dict) -> tuple[Chunk, Words, np.ndarray, np.ndarray]:
-        c = Chunk(row)
-        words = words_of(c.offsets, c.raw)
-        starts = np.flatnonzero(np.unpackbits(np.frombuffer(row["starts"] or b"", np.uint8), count=len(words.hash) if row["starts"] else 0))
-        return c, words, starts, window_hashes(words.hash, window)[starts] if len(starts) else np.zeros(0, np.uint64)
-
-    ranges = 2 * table.parts
-
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                row = batch.slice(i, 1).to_pylist()[0]
-                if row["starts"]:
-                    c, _, _, h = hashes(row)
-                    keys, counts, _ = distinct_keys(h)
-                    yield from message_batches(c.chunk, keys, counts, ranges, 8, np.uint8)
-        trim()
-
-    answers = count_messages(both.mapInArrow(send, "bucket int, chunk long, keys binary, counts binary"), 8, np.uint8)
+        two = np.append(joins[1:], False)[head]
+        second = np.zeros(len(head), np.uint64)
+        second[two] = run[head[two] + 1]
+        first = run[head]
+        self._merge(head)
+        return first, second, two | (size[head] > 1)
+
+    def keep(self, stay: np.ndarray) -> None:
+        """Drops the other symbols; their neighbours end there."""
+        gone = ~stay
+        self.leading[1:] |= gone[:-1]
+        self.last[:-1] |= gone[1:]
+        self.name, self.lo, self.hi, self.leading, self.last = (a[stay] for a in (self.name, self.lo, self.hi, self.leading, self.last))
+
+
+class Recompression:
+    """A chunk's symbols after the rounds whose answers are given, the keys that it sends next, and the windows that are left open."""
+
+    def __init__(self, c: Chunk, window: int, rounds: int, answers: list[np.ndarray]):
+        self.words = words_of(c.offsets, c.raw, lanes=2)
+        self.window, n = window, len(self.words.hash)
+        self.bits = (window + 1).bit_length()
+        self.once = np.zeros(n + 1, np.int64)
+        level = Level(self.words)
+        keys = Keys.of(self.words.hash, self.words.other)
+        new = np.ones(n, bool)
+        for r in range(rounds + 1):
+            if r == len(answers):
+                break
+            names = level.name.copy()
+            names[new] = answers[r][keys.place]
+            self._alone(level, names == 0)
+            level.name = names
+            level.keep(names != 0)
+            if r == rounds:
+                break
+            first, second, new = level.blocks(r, self.bits)
+            fits = level.hi - level.lo <= window
+            level.keep(fits)
+            first, second, new = first[fits], second[fits], new[fits]
+            # From the high part and one half the other half follows, so both together are the block.
+            keys = Keys.of(joined(first[new], second[new], 300), second[new])
+        self.keys = keys
+
+    def _alone(self, level: Level, once: np.ndarray) -> None:
+        """Closes the windows that hold the range of a symbol that occurs once."""
+        lo, hi = level.lo[once], level.hi[once]
+        np.add.at(self.once, np.maximum(hi - self.window, 0), 1)
+        np.add.at(self.once, lo + 1, -1)
+
+    def open_windows(self) -> np.ndarray:
+        start = np.arange(len(self.words.hash))
+        whole = start + self.window <= self.words.first[1:][self.words.doc]
+        return whole & (np.cumsum(self.once[:-1]) == 0)
+
+
+def window_keys(words: Words, window: int, starts: np.ndarray) -> Keys:
+    if not len(starts):
+        return Keys.of(np.zeros(0, np.uint64), np.zeros(0, np.uint64))
+    return Keys.of(window_hashes(words.hash, window)[starts], window_hashes(words.other, window)[starts])
+
+
+def _names(row: dict, rounds: int) -> list[np.ndarray]:
+    return [in_order(row[f"answers_{r}"], np.int64).astype(np.uint64) for r in range(rounds)]
+
+
+def removed_words(table: ChunkTable, window: int, rounds: int, with_text: StructType | None) -> DataFrame:
+    """doc_id, n_words, n_removed, kept_sha256 per text of the table, or with_text: those columns it keeps, and kept (binary)."""
+    ranges, bits = table.ranges, 64 - (window + 1).bit_length()
+    named: list[DataFrame] = []
+    for r in range(rounds + 1):
+
+        def send(c: Chunk, row: dict, r: int = r) -> Iterator[pa.RecordBatch]:
+            yield from Recompression(c, window, rounds, _names(row, r)).keys.messages(c.chunk, ranges, 8, np.uint8)
+
+        answers = name_messages(table.map_beside(named, send, MESSAGE), r, bits)
+        named.append(table.beside(by_chunk(answers), f"names_{r}"))
+
+    def opened(c: Chunk, row: dict) -> Iterator[pa.RecordBatch]:
+        found = Recompression(c, window, rounds, _names(row, rounds + 1)).open_windows()
+        if found.any():
+            yield pa.RecordBatch.from_arrays([pa.array([c.chunk]), pa.array([np.packbits(found).tobytes()], pa.binary())], names=["chunk", "starts"])
+
+    starts = table.beside(table.map_beside(named, opened, "chunk long, starts binary"), "windows")
+
+    def windows(c: Chunk, row: dict) -> tuple[Words, np.ndarray, Keys]:
+        words = words_of(c.offsets, c.raw, lanes=2)
+        held = row["answers_0"]
+        at = np.flatnonzero(np.unpackbits(np.frombuffer(held, np.uint8), count=len(words.hash))) if held else np.zeros(0, np.int64)
+        return words, at, window_keys(words, window, at)
+
+    def ask(c: Chunk, row: dict) -> Iterator[pa.RecordBatch]:
+        if row["answers_0"]:
+            yield from windows(c, row)[2].messages(c.chunk, ranges, 8, np.uint8)
+
+    counted = count_messages(table.map_beside([starts], ask, MESSAGE), 8, np.uint8, low=np.uint64)
     out_schema = "doc_id long, n_words long, n_removed long, kept_sha256 string"
     if with_text is not None:
         out_schema = "doc_id long, kept binary" + "".join(f", rest_{i} {f.dataType.simpleString()}" for i, f in enumerate(with_text.fields))
     texts_too = with_text is not None
 
-    def cover(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                row = batch.slice(i, 1).to_pylist()[0]
-                c, words, starts, h = hashes(row)
-                parts = sorted((a["bucket"], a["totals"]) for a in row["answers"] or ())
-                total = np.concatenate([np.frombuffer(b, np.uint8) for _, b in parts]) if parts else np.zeros(0, np.uint8)
-                mark = np.zeros(len(words.hash) + 1, np.int64)
-                if len(starts):
-                    _, _, place = distinct_keys(h)
-                    twice = starts[total[place] >= 2]
-                    np.add.at(mark, twice, 1)
-                    np.add.at(mark, twice + window, -1)
-                gone = np.cumsum(mark[:-1]) > 0
-                yield kept_rows(c, words, gone, texts_too)
-        trim()
-
-    joined = both.join(by_chunk(answers).hint("shuffle_hash"), "chunk", "left")
-    return joined.mapInArrow(cover, out_schema), [starts_path, name]
+    def cover(c: Chunk, row: dict) -> Iterator[pa.RecordBatch]:
+        words, at, keys = windows(c, row)
+        mark = np.zeros(len(words.hash) + 1, np.int64)
+        twice = at[in_order(row["answers_1"], np.uint8)[keys.place] >= 2]
+        np.add.at(mark, twice, 1)
+        np.add.at(mark, twice + window, -1)
+        yield kept_rows(c, words, np.cumsum(mark[:-1]) > 0, texts_too)
+
+    return table.map_beside([starts, by_chunk(counted)], cover, out_schema)
 
 
 def kept_rows(c: Chunk, words: Words, gone: np.ndarray, texts_too: bool) -> pa.RecordBatch:
@@ -248,14 +244,10 @@ def kept_rows(c: Chunk, words: Words, gone: np.ndarray, texts_too: bool) -> pa.R
 
 def _run(docs: DataFrame, window: int, rounds: int, keep: tuple[str, ...] | None) -> DataFrame:
     """The written result; keep: None for digests, else the columns to return beside doc_id and the kept text."""
-    spark = docs.sparkSession
-    table = ChunkTable(docs.withColumn("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))), keep=keep or ())
-    found, (starts, name) = removed_words(table, window, rounds, None if keep is None else docs.select(*[f"`{c}`" for c in keep]).schema)
-    out = keep_written(found.withColumn("doc_id", F.nullif(F.col("doc_id"), F.lit(NO_ID))), "kept")
-    spark.sql(f"DROP TABLE IF EXISTS {name}")
-    remove(spark, starts)
-    table.drop()
-    return out
+    with scratch(docs.sparkSession):
+        table = ChunkTable(docs.withColumn("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))), keep=keep or ())
+        found = removed_words(table, window, rounds, None if keep is None else docs.select(*[f"`{c}`" for c in keep]).schema)
+        return keep_written(found.withColumn("doc_id", F.nullif(F.col("doc_id"), F.lit(NO_ID))), "kept")
 
 
 def digests(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS) -> DataFrame:

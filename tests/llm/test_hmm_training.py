@@ -1,7 +1,9 @@
 """The hidden Markov model learns from all training documents, wherever they lie."""
 
+import itertools
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -21,4 +23,36 @@ def test_scores_do_not_depend_on_the_order_of_partitions(spark):
 
     want = scores(one, two, out)
     for parts in ((two, one, out), (out, one, two)):
-        assert scores(*parts) == {k: pytest.approx(v, rel=1e-4) for k, v in want.items()}
+        assert scores(*parts) == {k: pytest.approx(v, rel=1e-6) for k, v in want.items()}
+
+
+def counts_by_hand(model, texts):
+    """Expected counts by going through all state sequences of each text."""
+    states = len(model.start)
+    start, move, emit = np.zeros(states), np.zeros((states, states)), np.zeros_like(model.emit)
+    total = 0.0
+    for t in texts:
+        paths = list(itertools.product(range(states), repeat=len(t)))
+        p = np.array([model.start[z[0]] * np.prod([model.emit[x, s] for x, s in zip(t, z, strict=True)]) * np.prod([model.move[a, b] for a, b in itertools.pairwise(z)]) for z in paths])
+        total += np.log10(p.sum())
+        for z, share in zip(paths, p / p.sum(), strict=True):
+            start[z[0]] += share
+            for a, b in itertools.pairwise(z):
+                move[a, b] += share
+            for x, s in zip(t, z, strict=True):
+                emit[x, s] += share
+    return start, move, emit, total
+
+
+@pytest.mark.parametrize("segment", [1, 2, 3, 5, 100])
+def test_counts_of_texts_in_several_cuts(segment):
+    rng = np.random.default_rng(16)
+    start, move, emit = (x / x.sum(axis=a, keepdims=True) for x, a in ((rng.random(2), 0), (rng.random((2, 2)), 1), (rng.random((4, 2)), 0)))
+    model = hmm.Hmm(start, move, emit)
+    texts = [rng.integers(0, 4, n) for n in (1, 11, 2, 7, 3, 1, 10)]
+    first = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    want = counts_by_hand(model, texts)
+    got = model.expected(np.concatenate(texts), first, segment)
+    for a, b in zip(got, want, strict=False):
+        assert np.allclose(a, b, rtol=1e-10)
+    assert model.log10(np.concatenate(texts), first, segment).sum() == pytest.approx(want[3], rel=1e-12)

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from sluice.llm import hmm, jaccard, langid, mixing, packing, quality, substring, tiff, topk, urlrules
 from sluice.llm.exchange import Chunk
-from sluice.llm.words import span_hashes, window_hashes, words_of
+from sluice.llm.words import set_hashes, span_hashes, window_hashes, word_hashes, words_of
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, chunk string, score double, place string, node string"
@@ -47,7 +47,35 @@ def test_words():
     h = np.array([3, 1, 3, 1, 3], np.uint64)
     two = window_hashes(h, 2)
     assert two[0] == two[2] and two[1] == two[3] and two[0] != two[1] and len(window_hashes(h, 6)) == 0
-    assert (span_hashes(h, np.array([0]), np.array([2]), 2) == two[:1]).all()
+    spans = span_hashes(h, np.array([0, 2, 1, 0]), np.array([2, 4, 3, 3]))
+    assert spans[0] == spans[1] and len(set(spans.tolist())) == 3
+
+
+def thue_morse(n):
+    """Two texts of 2**n letters that are each other's complement: polynomial hashes modulo a power of two can't tell them apart."""
+    a, b = "a", "b"
+    for _ in range(n):
+        a, b = a + b, b + a
+    return a, b
+
+
+def test_words_of_a_pattern_do_not_collide():
+    words = [x.encode() for n in range(1, 14) for x in thue_morse(n)] + [b"\0", b"\0\0", b"abc", b"abc\0", b"x" * 256, b"x" * 257]
+    ends = np.concatenate([[0], np.cumsum([len(w) for w in words])])
+    for lane in word_hashes(np.frombuffer(b"".join(words), np.uint8), ends[:-1], ends[1:], 2):
+        assert len(set(lane.tolist())) == len(words)
+    a, b = (np.array([ord(x) for x in t], np.uint64) for t in thue_morse(11))
+    assert window_hashes(a, 2048)[0] != window_hashes(b, 2048)[0]
+    assert set_hashes(np.array([1, 2, 3], np.uint64), np.array([0, 2, 2, 3])).tolist() != set_hashes(np.array([2, 1, 3], np.uint64), np.array([0, 1, 1, 3])).tolist()
+
+
+def test_documents_that_differ_in_one_patterned_word(spark):
+    a, b = thue_morse(12)
+    words = [f"w{i}" for i in range(34)]
+    docs = documents(spark, [(1, " ".join([*words[:17], a, *words[17:]])), (2, " ".join([*words[:17], b, *words[17:]])), (3, a), (4, b), (5, "long " * 300_000 + a), (6, "z" * 3_000_000)])
+    got = {r["doc_id"]: r["n_removed"] for r in substring.digests(docs).collect()}
+    assert got == {1: 0, 2: 0, 3: 0, 4: 0, 5: 300_000, 6: 0}
+    assert {r["doc_id"]: r["component_id"] for r in jaccard.classes(docs).collect()} == {i: i for i in range(1, 7)}
 
 
 def removed_by_hand(texts, window):
@@ -215,11 +243,12 @@ def test_packing(spark):
     from tokenizers import Tokenizer
 
     plain = Tokenizer.from_file(packing.tokenizer_path())
-    plain.encode_special_tokens = True
+    assert plain.encode("hello <|endoftext|> world", add_special_tokens=False).ids == [31373, 220, 50256, 995]
     rng = random.Random(6)
     bits = ["a", "B", " ", "  ", "\n", "\t", "é", "'s", "12", ".", "中", " ", "<|endoftext|>", "word"]
-    texts = [None, "", *("".join(rng.choice(bits) for _ in range(rng.randrange(40))) for _ in range(200)), "many words " * 900]
+    texts = [None, "", "<|endoftext|>", *("".join(rng.choice(bits) for _ in range(rng.randrange(40))) for _ in range(200)), "many words " * 900, "very long " * 200_000]
     out = packing.pack(documents(spark, list(enumerate(texts))).repartition(2), with_ids=True).collect()
+    assert packing.pack(documents(spark, [])).count() == 0 and [r["doc_id"] for r in packing.pack(documents(spark, [(None, "a")])).collect()] == [None]
     held, docs = defaultdict(list), defaultdict(list)
     for r in out:
         held[r["sequence_id"]].append((r["offset"], r["length"]))
@@ -273,6 +302,28 @@ def test_mixing(spark):
     assert mixing.mix(docs.limit(0)).count() == 0 and mixing.mixed(docs.limit(0)).count() == 0
 
 
+def test_mixing_takes_some_of_equal_rows(spark):
+    """Rows without an id, rows of one id, and repeated rows are documents each."""
+    word = lambda n: " ".join(["w"] * n)
+    rows = [(None, word(10), None, "a")] * 200 + [(7, word(10), None, "b")] * 300 + [(i, word(10), None, "c") for i in range(100)] + [(7, word(3 + i % 9), None, "d") for i in range(100)] + [(None, word(2), None, None)] * 50
+    docs = documents(spark, rows).withColumnRenamed("place", "mix_s")
+    sizes = defaultdict(int)
+    for _, t, _, s in rows:
+        sizes[s] += len(t.split())
+    want = targets_by_hand(sizes)
+    for parts in (1, 3, 7):
+        got = mixing.mix(docs.repartition(parts)).collect()
+        taken = Counter()
+        for r in got:
+            taken[r["source"]] += r["taken"]
+            assert r["taken"] <= 2 * r["size"]
+        assert len(got) == len(rows) and all(abs(taken[s] - want[s]) <= 10 for s in sizes)
+        mixed = mixing.mixed(docs.repartition(parts))
+        assert mixed.columns == docs.columns
+        of = {r["source"]: r["n"] for r in mixed.groupBy("source").agg(F.sum(F.size(F.split("text", " "))).alias("n")).collect()}
+        assert all(of.get(s, 0) == taken[s] for s in sizes)
+
+
 def test_language_id(spark):
     rng = random.Random(9)
     words = {"aa": ["kala", "makala", "talo"], "bb": ["strich", "schrank", "pfund"]}
