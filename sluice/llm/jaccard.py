@@ -234,8 +234,60 @@ def _entries(nodes: DataFrame) -> DataFrame:
     return nodes.select("node", "n", "own", "prefix", "shared_by").mapInArrow(run, "s long, node long, n long, pos int, parts int")
 
 
+def _could_link(t: dict[str, np.ndarray], i: np.ndarray | int, j: np.ndarray) -> np.ndarray:
+    """Whether points of different components pass the size and position bounds."""
+    n, m = t["n"][i], t["n"][j]
+    need = -(-PERCENT * (n + m) // (100 + PERCENT))
+    room = 1 + np.minimum(n - 1 - t["pos"][i], m - 1 - t["pos"][j])
+    return (t["label"][i] != t["label"][j]) & (100 * np.minimum(n, m) >= PERCENT * np.maximum(n, m)) & (room >= need)
+
+
+def _distinct_pairs(x: list[np.ndarray], y: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs once, the smaller first."""
+    if not x:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    a, b = np.concatenate(x), np.concatenate(y)
+    both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
+    return both[:, 0], both[:, 1]
+
+
+_COLUMNS = ("s", "node", "n", "pos", "label")
+
+
+def _region_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of a region that could link, for all regions of rows sorted by region; no region has more than a few hundred rows."""
+
+    def pairs(t: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
+        cut = np.concatenate([[0], np.flatnonzero(t["s"][1:] != t["s"][:-1]) + 1, [len(t["s"])]])
+        end = np.repeat(cut[1:], np.diff(cut))
+        xs, ys = [], []
+        i, gap = np.flatnonzero(end - np.arange(len(end)) > 1), 1
+        while len(i):
+            j = i + gap
+            ok = _could_link(t, i, j)
+            if ok.any():
+                xs.append(t["node"][i[ok]])
+                ys.append(t["node"][j[ok]])
+            gap += 1
+            i = i[i + gap < end[i]]
+        if xs:
+            x, y = _distinct_pairs(xs, ys)
+            yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], names=["x", "y"])
+
+    held = {c: np.zeros(0, np.int64) for c in _COLUMNS}
+    for batch in batches:
+        held = {c: np.concatenate([held[c], batch.column(c).to_numpy().astype(np.int64)]) for c in _COLUMNS}
+        # The last region may go on in the next batch.
+        whole = int(np.searchsorted(held["s"], held["s"][-1])) if len(held["s"]) else 0
+        if whole:
+            yield from pairs({c: v[:whole] for c, v in held.items()})
+            held = {c: v[whole:] for c, v in held.items()}
+    if len(held["s"]):
+        yield from pairs(held)
+
+
 def _cell_pairs(key, part):
-    """Pairs of two cells of a region, from different components, that could link; a cell that meets itself comes once.
+    """Pairs of two cells of a region that could link; a cell that meets itself comes once.
 
     Of each pair one is of the region's size class and the other of that class or the next.
     """
@@ -243,17 +295,11 @@ def _cell_pairs(key, part):
     a, b = np.flatnonzero(t["side"] <= 1), np.flatnonzero(t["side"] >= 1)
     xs, ys = [], []
     for i in a.tolist():
-        n, m = int(t["n"][i]), t["n"][b]
-        need = -(-PERCENT * (n + m) // (100 + PERCENT))
-        room = 1 + np.minimum(n - 1 - int(t["pos"][i]), m - 1 - t["pos"][b])
-        ok = (t["label"][b] != t["label"][i]) & (t["home"][b] | t["home"][i]) & (100 * np.minimum(n, m) >= PERCENT * np.maximum(n, m)) & (room >= need)
-        hit = t["node"][b[ok]]
-        xs.append(np.minimum(hit, t["node"][i]))
-        ys.append(np.maximum(hit, t["node"][i]))
-    x, y = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (xs, ys))
-    if len(x):
-        both = np.unique(np.stack([x, y], axis=1), axis=0)
-        x, y = both[:, 0], both[:, 1]
+        hit = b[_could_link(t, i, b) & (t["home"][b] | t["home"][i])]
+        if len(hit):
+            xs.append(np.full(len(hit), t["node"][i]))
+            ys.append(t["node"][hit])
+    x, y = _distinct_pairs(xs, ys)
     return pa.table({"x": x, "y": y})
 
 
@@ -268,9 +314,8 @@ def _candidates(nodes: DataFrame, labels: DataFrame) -> DataFrame:
     regions = entries.groupBy("s").agg(F.count("*").alias("m"), F.min("label").alias("a"), F.max("label").alias("b"), F.max("parts").alias("parts"))
     regions = written(regions.filter("a <> b").select("s", "m", "parts"), "regions")
     rows = entries.withColumn("salt", F.expr("cast(pmod(xxhash64(node, 2), parts) as int)")).drop("parts")
-    small = rows.join(_dealt(regions.filter(F.col("m") <= 2 * BLOCK)), ["s", "salt"])
-    small = small.select("s", F.lit(0).alias("g"), F.lit(True).alias("home"), "node", "n", "pos", "label", F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(1).alias("side"))
-    pairs = small.groupBy("s").applyInArrow(_cell_pairs, "x long, y long")
+    small = rows.join(_dealt(regions.filter(F.col("m") <= 2 * BLOCK)), ["s", "salt"]).select(*_COLUMNS)
+    pairs = small.repartition("s").sortWithinPartitions("s").mapInArrow(_region_pairs, "x long, y long")
     large = regions.filter(F.col("m") > 2 * BLOCK)
     if not large.isEmpty():
         cells = _cells(rows.join(_dealt(large), ["s", "salt"]).drop("m"), large)
@@ -297,7 +342,8 @@ def _cells(rows: DataFrame, regions: DataFrame) -> DataFrame:
     # owner: a component that has cells of its own; null: the cells of all others.
     owned = sizes.filter(f"m > {wide}").join(groups.select("s", "g", "parts"), ["s", "g"]).select("s", "g", "parts", F.col("label").alias("owner"), F.expr(f"cast(ceil(m / {wide}) as int)").alias("cells"))
     cells = groups.filter("cells > 0").select("s", "g", "parts", F.lit(None).cast("long").alias("owner"), "cells").unionAll(owned)
-    cells = cells.select("s", "g", "parts", F.struct(F.coalesce("owner", F.lit(0)).alias("owner"), F.col("owner").isNotNull().alias("owned"), F.explode(F.sequence(F.lit(0), F.col("cells") - 1)).alias("cell")).alias("there"))
+    cells = cells.select("s", "g", "parts", "owner", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)).alias("cell"))
+    cells = cells.select("s", "g", "parts", F.struct(F.coalesce("owner", F.lit(0)).alias("owner"), F.col("owner").isNotNull().alias("owned"), "cell").alias("there"))
     own = owned.select("s", "g", "parts", F.col("owner").alias("label"), F.col("cells").alias("own_cells"))
     rows = rows.join(_dealt(groups), ["s", "g", "salt"]).join(_dealt(own), ["s", "g", "salt", "label"], "left")
     owned_row = F.col("own_cells").isNotNull()

@@ -156,6 +156,23 @@ def test_jaccard_join(spark, monkeypatch):
     assert sorted((str(r["doc_id"]), str(r["component_id"])) for r in nameless) == [("4", "4"), ("None", "4"), ("None", "None")]
 
 
+def test_jaccard_join_of_large_groups(spark):
+    """Thousands of copies, of near copies, and of documents that share a line: more than a part or a cell takes."""
+    line = " ".join(f"l{i}" for i in range(12))
+    near = [" ".join([line, *(f"n{i}" for i in range(40)), f"x{k}"]) for k in range(900)]
+    # A chain of links, and pairs that miss the bound by one shingle.
+    chain = [" ".join(f"c{i}" for i in range(k, k + 60)) for k in range(0, 60, 5)]
+    texts = [line] * 6000 + near + [f"{line} own{k} {k} a{k}" for k in range(900)] + chain + [" ".join([line] + [f"s{k % 3}_{i}" for i in range(30 + k % 9)]) for k in range(300)]
+    docs = documents(spark, list(enumerate(texts)))
+    distinct = list(dict.fromkeys(texts))
+    by_hand = dict(zip(distinct, jaccard_by_hand(distinct), strict=True))
+    first, want = {}, {}
+    for i, t in enumerate(texts):
+        want[i] = (by_hand[t][0], first.setdefault(by_hand[t][1], i))
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.classes(docs.repartition(4)).collect()}
+    assert got == want
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(30)] + [(100, 101), (102, 101), (7, 7)]
     got = {r["node"]: r["root"] for r in jaccard.components(spark.createDataFrame(edges, "x long, y long")).collect()}
