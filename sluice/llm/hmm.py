@@ -38,9 +38,9 @@ from sluice.llm.words import words_of
 STATES = 8
 #: Words that are classes of their own, and classes of the rest (a power of two).
 FREQUENT, REST_BITS = 4096, 10
-ROUNDS = 12
+ROUNDS = 8
 #: Tokens of a cut of a long text, and tokens that go through a recursion side by side.
-SEGMENT, TOKENS = 2048, 1 << 19
+SEGMENT, TOKENS = 1024, 1 << 17
 #: Groups in which tasks' sums are added first.
 GROUPS = 64
 NO_ID = -(1 << 63)
@@ -117,18 +117,17 @@ class Hmm:
         """Expected counts of starts, moves and emissions over whole texts."""
         states = len(self.start)
         start, move, emit = np.zeros(states), np.zeros((states, states)), np.zeros((len(self.emit), states))
+        room = _room(segment, states)
         for cuts in self._cuts(tokens, first, segment):
-            run = _Run(self, tokens, cuts)
+            run = _Run(self, tokens, cuts, room)
             run.forward()
-            back, ahead = run.backward()
-            gamma = run.alpha * back
+            gamma = run.backward(move)
             start += gamma[: len(cuts.begin)][cuts.opens].sum(axis=0)
-            later = run.time > 0
-            move += self.move * (run.alpha[run.before[later]].T @ ahead[later])
             if cuts.inner.any():
-                move += self.move * (cuts.left[cuts.inner].T @ cuts.right[cuts.inner])
+                move += cuts.left[cuts.inner].T @ cuts.right[cuts.inner]
             for s in range(states):
                 emit[:, s] += np.bincount(run.tokens, gamma[:, s], minlength=len(emit))
+        move *= self.move
         return start, move, emit
 
     def _cuts(self, tokens: np.ndarray, first: np.ndarray, segment: int) -> Iterator[Cuts]:
@@ -195,8 +194,9 @@ class Hmm:
     def log10(self, tokens: np.ndarray, first: np.ndarray, segment: int = SEGMENT) -> np.ndarray:
         """log10 probability of each whole text's classes."""
         out = np.zeros(len(first) - 1)
+        room = _room(segment, len(self.start))
         for cuts in self._cuts(tokens, first, segment):
-            run = _Run(self, tokens, cuts)
+            run = _Run(self, tokens, cuts, room)
             run.forward()
             np.add.at(out, cuts.text, np.bincount(run.lane, np.log10(run.scale), minlength=len(cuts.text)))
         return out
@@ -217,43 +217,56 @@ class Cuts:
     right: np.ndarray
 
 
+def _room(segment: int, states: int) -> np.ndarray:
+    """Memory for one batch of cuts after the other: fresh pages for each would cost more than the arithmetic."""
+    return np.empty((4, max(segment, TOKENS), states))
+
+
 class _Run:
-    """The recursions over some cuts side by side. Its rows are tokens, all cuts' first ones, then all second ones and so on: time, lane (the cut), before (the row of the cut's token before)."""
+    """The recursions over some cuts side by side. Its rows are tokens, all cuts' first ones, then all second ones and so on; lane is a token's cut."""
 
-    def __init__(self, model: Hmm, tokens: np.ndarray, cuts: Cuts):
+    def __init__(self, model: Hmm, tokens: np.ndarray, cuts: Cuts, room: np.ndarray):
         self.model, self.cuts = model, cuts
         live = np.searchsorted(-cuts.size, -np.arange(int(cuts.size[0])), "left")
         at = np.concatenate([[0], np.cumsum(live)])
-        self.time = np.repeat(np.arange(len(live)), live)
-        self.lane = np.arange(int(at[-1])) - np.repeat(at[:-1], live)
-        self.before = np.maximum(at[self.time - 1], 0) + self.lane
-        self.tokens = tokens[cuts.begin[self.lane] + self.time]
+        n = int(at[-1])
+        self.lane = np.arange(n) - np.repeat(at[:-1], live)
+        self.tokens = tokens[cuts.begin[self.lane] + np.repeat(np.arange(len(live)), live)]
         self.live, self.at = live.tolist(), at.tolist()
-        self.seen = model.emit[self.tokens]
+        self.seen, self.alpha, self.back, self.ahead = (r[:n] for r in room)
+        np.take(model.emit, self.tokens, axis=0, out=self.seen, mode="clip")
+        self.scale = np.empty(n)
 
     def forward(self) -> None:
-        self.alpha, self.scale = np.empty_like(self.seen), np.empty(len(self.seen))
-        now, move = self.cuts.entry, self.model.move
+        alpha, seen, scale, move = self.alpha, self.seen, self.scale, self.model.move
         for t, k in enumerate(self.live):
             i, j = self.at[t], self.at[t + 1]
-            now = (now if t == 0 else now[:k] @ move) * self.seen[i:j]
+            now = alpha[i:j]
+            if t:
+                np.matmul(alpha[self.at[t - 1] : self.at[t - 1] + k], move, out=now)
+                now *= seen[i:j]
+            else:
+                np.multiply(self.cuts.entry, seen[i:j], out=now)
             sums = now.sum(axis=1)
             now /= sums[:, None]
-            self.alpha[i:j], self.scale[i:j] = now, sums
+            scale[i:j] = sums
 
-    def backward(self) -> tuple[np.ndarray, np.ndarray]:
-        """For each token what comes after says of its state, and the same with the token itself over its scale."""
-        back = self.cuts.leave.copy()
-        later, ahead = np.empty_like(self.seen), np.empty_like(self.seen)
+    def backward(self, counts: np.ndarray) -> np.ndarray:
+        """Each token's shares of the states; counts of moves, but for the moves' own probabilities, are added to `counts`."""
+        now = self.cuts.leave.copy()
+        alpha, seen, back, ahead = self.alpha, self.seen, self.back, self.ahead
+        seen /= self.scale[:, None]
         turned = np.ascontiguousarray(self.model.move.T)
-        over = self.seen / self.scale[:, None]
         for t in range(len(self.live) - 1, -1, -1):
             i, j, k = self.at[t], self.at[t + 1], self.live[t]
-            later[i:j] = back[:k]
-            ahead[i:j] = back[:k] * over[i:j]
+            back[i:j] = now[:k]
             if t:
-                back[:k] = ahead[i:j] @ turned
-        return later, ahead
+                row = ahead[i:j]
+                np.multiply(now[:k], seen[i:j], out=row)
+                counts += alpha[self.at[t - 1] : self.at[t - 1] + k].T @ row
+                np.matmul(row, turned, out=now[:k])
+        back *= alpha
+        return back
 
 
 def _packed(arrays: tuple[np.ndarray, ...]) -> np.ndarray:
