@@ -199,7 +199,7 @@ class Keys:
     def of(cls, high: np.ndarray, low: np.ndarray | None = None, counts: np.ndarray | None = None) -> Keys:
         if not len(high):
             return cls(high, np.zeros(0, np.int64), np.zeros(0, np.int64), low)
-        order = np.argsort(high, kind="stable")
+        order = np.argsort(high)
         s = high[order]
         new = np.ones(len(s), bool)
         new[1:] = s[1:] != s[:-1]
@@ -207,7 +207,7 @@ class Keys:
             t = low[order]
             if (~new[1:] & (t[1:] != t[:-1])).any():
                 order = np.lexsort((low, high))
-                s, t = high[order], low[order]
+                t = low[order]
                 new[1:] = (s[1:] != s[:-1]) | (t[1:] != t[:-1])
         at = np.flatnonzero(new)
         place = np.empty(len(high), np.int64)
