@@ -24,6 +24,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +39,7 @@ from sluice.llm.words import words_of
 STATES = 8
 #: Words that are classes of their own, and classes of the rest (a power of two).
 FREQUENT, REST_BITS = 4096, 10
-ROUNDS = 8
+ROUNDS = 6
 #: Tokens of a cut of a long text, and tokens that go through a recursion side by side.
 SEGMENT, TOKENS = 1024, 1 << 17
 #: Groups in which tasks' sums are added first.
@@ -217,8 +218,9 @@ class Cuts:
     right: np.ndarray
 
 
+@cache
 def _room(segment: int, states: int) -> np.ndarray:
-    """Memory for one batch of cuts after the other: fresh pages for each would cost more than the arithmetic."""
+    """A worker's memory for one batch of cuts after the other: fresh pages for each would cost more than the arithmetic."""
     return np.empty((4, max(segment, TOKENS), states))
 
 
@@ -239,6 +241,7 @@ class _Run:
 
     def forward(self) -> None:
         alpha, seen, scale, move = self.alpha, self.seen, self.scale, self.model.move
+        ones = np.ones(len(move))
         for t, k in enumerate(self.live):
             i, j = self.at[t], self.at[t + 1]
             now = alpha[i:j]
@@ -247,9 +250,8 @@ class _Run:
                 now *= seen[i:j]
             else:
                 np.multiply(self.cuts.entry, seen[i:j], out=now)
-            sums = now.sum(axis=1)
+            sums = np.dot(now, ones, out=scale[i:j])
             now /= sums[:, None]
-            scale[i:j] = sums
 
     def backward(self, counts: np.ndarray) -> np.ndarray:
         """Each token's shares of the states; counts of moves, but for the moves' own probabilities, are added to `counts`."""
@@ -283,7 +285,8 @@ def _learnt(table: ChunkTable, vocabulary: Vocabulary) -> DataFrame:
         size, learn = np.diff(first), c.flags == 1
         if learn.any():
             chosen = np.repeat(learn, size)
-            yield pa.RecordBatch.from_arrays([pa.array([shared.value.class_of(keys[chosen], low[chosen]).astype(kind).tobytes()], pa.binary()), pa.array([size[learn].astype(np.int64).tobytes()], pa.binary())], names=["classes", "lens"])
+            known = Keys.of(keys[chosen], low[chosen])
+            yield pa.RecordBatch.from_arrays([pa.array([shared.value.class_of(known.high, known.low).astype(kind)[known.place].tobytes()], pa.binary()), pa.array([size[learn].astype(np.int64).tobytes()], pa.binary())], names=["classes", "lens"])
 
     out = written(table.map(pick, "classes binary, lens binary"), "learnt")
     shared.unpersist()
@@ -362,11 +365,14 @@ def _score(docs: DataFrame, learn: Column, states: int, rounds: int, frequent: i
     def judge(c: Chunk, total: np.ndarray) -> Iterator[pa.RecordBatch]:
         model, v = shared.value
         keys, low, first = token_keys(c)
-        count = total[Keys.of(keys, low).place].astype(np.float64)
-        classes = v.class_of(keys, low)
-        base = np.log10((count + 0.5) / (v.tokens + 0.5 * (v.distinct + 1)))
+        known = Keys.of(keys, low)
+        each = total.astype(np.float64)
+        kinds = v.class_of(known.high, known.low)
+        count, classes = each[known.place], kinds[known.place]
+        base = np.log10((each + 0.5) / (v.tokens + 0.5 * (v.distinct + 1)))[known.place]
+        share = v.log_share(kinds, each)[known.place]
         sums = lambda x: np.add.reduceat(x, first[:-1]) if len(first) > 1 else np.zeros(0)
-        score = model.log10(classes, first) + sums(v.log_share(classes, count))
+        score = model.log10(classes, first) + sums(share)
         n = np.diff(first)
         yield pa.RecordBatch.from_arrays(
             [pa.array(c.ids), pa.array(c.flags), pa.array(n, pa.int64()), pa.array(sums((count > 0).astype(np.int64)), pa.int64()), pa.array(np.full(len(n), v.tokens)), pa.array(sums(base)), pa.array(score)],
