@@ -6,10 +6,13 @@ coordinate descent. The model is one weight per bucket (ratio times hinge weight
 the slope and offset of a logistic curve that turns margins into probabilities; it is broadcast.
 
 The fit takes at most `sample` labelled rows, those with the least md5 of their id: the sample is
-bounded so that the features fit in the driver's memory, and doesn't depend on partitioning.
+bounded so that the features fit in the driver's memory, and doesn't depend on partitioning. The cost of
+the hinge loss is chosen among COSTS by cross-validation inside those rows.
 
 Results in special cases: a null text counts as empty, an empty text is scored by the offset alone;
-without labels of both classes every score is the share of label 1 (0.5 without labels).
+without labels of both classes every score is the share of label 1 (0.5 without labels). Labels without
+an id and ids with both labels teach nothing; an id that several documents have teaches each of them.
+Texts of any length are taken whole; a document without an id is scored, and learnt from never.
 """
 
 from __future__ import annotations
@@ -29,6 +32,9 @@ ORDERS = (2, 3)
 #: Labelled rows that a fit takes at most.
 SAMPLE = 8000
 ACCEPT = 0.7
+#: Costs of the hinge loss to choose from, and the cross-validation: folds, rows at most, rounds of a fit.
+COSTS = (0.1, 1.0, 10.0)
+FOLDS, FOLD_ROWS, FOLD_ROUNDS = 3, 3000, 8
 
 
 def features(texts: list[str], buckets: int = BUCKETS, orders: tuple[int, ...] = ORDERS) -> tuple[np.ndarray, np.ndarray]:
@@ -101,14 +107,45 @@ def fit_rows(texts: list[str], labels: np.ndarray, buckets: int = BUCKETS, order
     return fit_features(np.concatenate([f for f, _ in parts]), np.concatenate([np.diff(e) for _, e in parts]), y, buckets, orders)
 
 
+def _ratios(flat: np.ndarray, own: np.ndarray, buckets: int) -> np.ndarray:
+    """The log ratio of each bucket's smoothed shares in the two classes; own: whether a feature is of a row with label 1."""
+    p, q = 1.0 + np.bincount(flat[own], minlength=buckets), 1.0 + np.bincount(flat[~own], minlength=buckets)
+    return np.log((p / p.sum()) / (q / q.sum()))
+
+
+def chosen_cost(flat: np.ndarray, ends: np.ndarray, y: np.ndarray, buckets: int, costs: tuple[float, ...] = COSTS) -> float:
+    """The cost whose fits judge most rows of the folds that they didn't see rightly, classes counting alike; of equals the least.
+
+    Rows go to folds in turn, up to FOLD_ROWS of them, spread over all. Ratios are those of the rows fitted.
+    """
+    rows = np.unique(np.linspace(0, len(y) - 1, min(len(y), FOLD_ROWS)).astype(np.int64))
+    fold = np.arange(len(rows)) % FOLDS
+    lens = np.diff(ends)
+    hits = np.zeros(len(costs))
+    for k in range(FOLDS):
+        seen, asked = rows[fold != k], rows[fold == k]
+        part = lambda some: np.concatenate([flat[ends[i] : ends[i + 1]] for i in some]) if len(some) else flat[:0]
+        own, other = y[seen], y[asked]
+        if min((own > 0).sum(), (own < 0).sum(), (other > 0).sum(), (other < 0).sum()) == 0:
+            continue
+        known, size = part(seen), lens[seen]
+        ratio = _ratios(known, np.repeat(own > 0, size), buckets)
+        scale = np.repeat(1 / np.sqrt(np.maximum(size, 1)), size)
+        unknown, at = part(asked), np.concatenate([[0], np.cumsum(lens[asked])])
+        for c, cost in enumerate(costs):
+            w, offset = dual_descent(known, np.concatenate([[0], np.cumsum(size)]), own, ratio, scale, cost, FOLD_ROUNDS)
+            run = np.concatenate([[0.0], np.cumsum((w * ratio)[unknown])])
+            right = ((run[at[1:]] - run[at[:-1]]) / np.sqrt(np.maximum(lens[asked], 1)) + offset > 0) == (other > 0)
+            hits[c] += right[other > 0].mean() + right[other < 0].mean()
+    return costs[int(hits.argmax())]
+
+
 def fit_features(flat: np.ndarray, lens: np.ndarray, y: np.ndarray, buckets: int, orders: tuple[int, ...]) -> Model:
     ends = np.concatenate([[0], np.cumsum(lens)])
-    own = np.repeat(y > 0, lens)
-    p, q = 1.0 + np.bincount(flat[own], minlength=buckets), 1.0 + np.bincount(flat[~own], minlength=buckets)
-    ratio = np.log((p / p.sum()) / (q / q.sum()))
+    ratio = _ratios(flat, np.repeat(y > 0, lens), buckets)
     # Rows have the length one before scaling, as long texts have more n-grams.
     scale = np.repeat(1 / np.sqrt(np.maximum(lens, 1)), lens)
-    w, offset = dual_descent(flat, ends, y, ratio, scale)
+    w, offset = dual_descent(flat, ends, y, ratio, scale, chosen_cost(flat, ends, y, buckets))
     weights = w * ratio
     run = np.concatenate([[0.0], np.cumsum(weights[flat])])
     margins = (run[ends[1:]] - run[ends[:-1]]) / np.sqrt(np.maximum(lens, 1)) + offset
@@ -145,7 +182,7 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, sample: int = SAMPL
     """labels: doc_id and quality (rows with another value than 0 or 1 are left out); learn: a condition on doc_id."""
     lean(docs.sparkSession)
     known = labels.filter(F.col("quality").isin(0, 1)).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).filter(learn)
-    known = known.groupBy("doc_id").agg(F.max("quality").alias("quality"))
+    known = known.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("quality").alias("quality"), F.min("quality").alias("least")).filter("quality = least").drop("least")
     chosen = known.withColumn("place", F.md5(F.col("doc_id").cast("string"))).orderBy("place", "doc_id").limit(sample).drop("place")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).join(F.broadcast(chosen), "doc_id")
 

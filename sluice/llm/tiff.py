@@ -6,7 +6,9 @@ gives one row for each page. The writer makes single- or multi-page grayscale fi
 samples with the same set of layouts. Both work on one value at a time, inside Arrow batches.
 
 Results in special cases: null bytes have no page; bytes that are no TIFF, or break off, have one
-row whose `error` is set and whose other columns are null, after the pages that could be read.
+row whose `error` is set and whose other columns are null, after the pages that could be read. Samples
+of other than 8 bits, planar layout and BigTIFF are such errors. Texts are stored in one of several
+layouts, by a checksum of their bytes: equal texts in the same one.
 """
 
 from __future__ import annotations
@@ -15,6 +17,7 @@ import hashlib
 import struct
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -344,30 +347,61 @@ def pages(df: DataFrame, column: str, key: str) -> DataFrame:
     return frame.mapInArrow(run, f"key {kind}, {PAGE_SCHEMA}").withColumnRenamed("key", key)
 
 
-def store_text(data: bytes, compression: int, predictor: int, row: int = 64) -> tuple[bytes, bytes]:
-    """The payload (padded with zero bytes to a positive multiple of `row`) and the TIFF that holds it."""
+@dataclass(frozen=True)
+class Layout:
+    """How a text is stored: compression, predictor, tile (height, width) or strips, byte order, pages at most."""
+
+    compression: int
+    predictor: int = 1
+    tile: tuple[int, int] | None = None
+    rows_per_strip: int = 1024
+    big_endian: bool = False
+    pages: int = 1
+
+
+#: The layouts that texts are dealt to.
+LAYOUTS = (
+    Layout(ADOBE_DEFLATE),
+    Layout(ADOBE_DEFLATE, 2, None, 64, True, 3),
+    Layout(OLD_DEFLATE, 2, (32, 64)),
+    Layout(LZW, 1, (64, 64), big_endian=True),
+    Layout(LZW, 2, None, 256, False, 2),
+    Layout(PACKBITS, 1, None, 128, False, 2),
+    Layout(PACKBITS, 1, (16, 32), big_endian=True),
+    Layout(PLAIN, 1, (16, 16), pages=4),
+)
+
+
+def layout_of(data: bytes, layouts: tuple[Layout, ...] = LAYOUTS) -> Layout:
+    return layouts[zlib.crc32(data) % len(layouts)]
+
+
+def store_text(data: bytes, layout: Layout, row: int = 64) -> tuple[bytes, bytes]:
+    """The payload (padded with zero bytes to a positive multiple of `row`) and the TIFF that holds it, its rows dealt evenly to pages."""
     payload = data + bytes((-len(data)) % row if data else row)
-    page = np.frombuffer(payload, np.uint8).reshape(-1, row)
-    return payload, write_tiff([page], compression, predictor)
+    lines = np.frombuffer(payload, np.uint8).reshape(-1, row)
+    pages = np.array_split(lines, min(layout.pages, len(lines)))
+    return payload, write_tiff(pages, layout.compression, layout.predictor, layout.rows_per_strip, layout.tile, layout.big_endian)
 
 
 DIGEST = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 _DIGEST = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string())])
 
 
-def feature_of(width: int, height: int, pixels: bytes) -> str:
-    """Size, mean, and the share of each quarter of the sample range, from the decoded page."""
-    counts = np.bincount(np.frombuffer(pixels, np.uint8), minlength=256)
-    n = max(1, len(pixels))
+def feature_of(read: list[tuple[int, int, int, bytes]]) -> str:
+    """Sizes of the decoded pages, mean, and the share of each quarter of the sample range."""
+    counts = sum(np.bincount(np.frombuffer(pixels, np.uint8), minlength=256) for _, _, _, pixels in read)
+    n = max(1, int(counts.sum()))
     quarters = counts.reshape(4, 64).sum(axis=1)
     mean = int((counts * np.arange(256)).sum()) / n
-    return f"{width}x{height} mean={mean:.3f} quarters=" + ",".join(f"{q / n:.4f}" for q in quarters)
+    return "+".join(f"{w}x{h}" for w, h, _, _ in read) + f" mean={mean:.3f} quarters=" + ",".join(f"{q / n:.4f}" for q in quarters)
 
 
-def text_digests(docs: DataFrame, compression: int = ADOBE_DEFLATE, predictor: int = 1) -> DataFrame:
-    """Every text stored as a TIFF page of 64 samples a row, read back, and digested.
+def text_digests(docs: DataFrame, layouts: tuple[Layout, ...] = LAYOUTS) -> DataFrame:
+    """Every text stored as TIFF pages of 64 samples a row, read back, and digested.
 
-    Null texts count as empty; each input row has one output row, repeated ones too.
+    Null texts count as empty; each input row has one output row, repeated ones too; a null doc_id stays
+    null; an empty table gives an empty one.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -376,9 +410,10 @@ def text_digests(docs: DataFrame, compression: int = ADOBE_DEFLATE, predictor: i
             rows = []
             for i, name in enumerate(batch.column(0).to_pylist()):
                 data = raw[offsets[i] : offsets[i + 1]].tobytes()
-                _, stored = store_text(data, compression, predictor)
-                ((w, h, _, back),) = read_pages(stored)
-                rows.append((name, len(data), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(stored), hashlib.sha256(stored).hexdigest(), feature_of(w, h, back)))
+                _, stored = store_text(data, layout_of(data, layouts))
+                read = list(read_pages(stored))
+                back = b"".join(pixels for _, _, _, pixels in read)
+                rows.append((name, len(data), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(stored), hashlib.sha256(stored).hexdigest(), feature_of(read)))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _DIGEST.types, strict=True)], schema=_DIGEST)
 

@@ -232,14 +232,26 @@ def test_tiff_columns(spark):
 
 
 def test_text_digests(spark):
-    texts = [None, "", "a", "a" * 64, "é" * 40, "long " * 4000, "a"]
+    rng = random.Random(18)
+    texts = [None, "", "a", "a" * 64, "é" * 40, "long " * 4000, "a", "very long " * 60_000]
+    texts += ["".join(rng.choice("ab cé\n0") * rng.randrange(1, 200) for _ in range(rng.randrange(60))) for _ in range(60)]
     got = {r["doc_id"]: r for r in tiff.text_digests(documents(spark, list(enumerate(texts)))).collect()}
+    used = set()
     for i, t in enumerate(texts):
         raw = (t or "").encode()
         payload = raw + bytes((-len(raw)) % 64 if raw else 64)
+        used.add(zlib.crc32(raw) % len(tiff.LAYOUTS))
         r = got[i]
         assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
+        _, stored = tiff.store_text(raw, tiff.layout_of(raw))
+        assert (r["media_bytes"], r["media_sha256"]) == (len(stored), hashlib.sha256(stored).hexdigest())
+        sizes, mean, quarters = r["feature"].split()
+        assert sum(int(x.split("x")[1]) for x in sizes.split("+")) * 64 == len(payload) and mean == f"mean={sum(payload) / len(payload):.3f}"
+        share = Counter(b // 64 for b in payload)
+        assert quarters == "quarters=" + ",".join(f"{share[q] / len(payload):.4f}" for q in range(4))
+    assert used == set(range(len(tiff.LAYOUTS)))
     assert got[2][1:] == got[6][1:] and got[0][1:] == got[1][1:]
+    assert tiff.text_digests(documents(spark, [])).count() == 0 and [r["doc_id"] for r in tiff.text_digests(documents(spark, [(None, "a")])).collect()] == [None]
 
 
 def test_best_fit():
