@@ -14,32 +14,41 @@ from sluice.llm.shared import written
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier accepts; it learns from all labels of documents at hand."""
+    """Documents that the quality classifier accepts; it learns from all labels of documents at hand.
+
+    Null and empty texts are judged by the classifier's offset; without labels of both classes every
+    document has the same score. Equal texts go or stay together.
+    """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return quality.accepted(docs, quality.train(docs, labels, F.lit(True)))
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest id, once.
+    """Of each group of near-duplicates one document: that with the smallest id, if one has an id.
 
-    Documents without an id stay unless they are in the group of one that has an id.
+    Groups are made of texts alone; documents without a word are in no group and stay.
     """
     return jaccard.one_per_class(docs)
 
 
 def no_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the words under windows that occur twice or more; n_chars follows the text."""
+    """Documents without the words under windows that occur twice or more; n_chars, if there is one, follows the text.
+
+    Null texts become empty ones; a document that loses all its words stays with an empty text.
+    """
     out = substring.without_repeats(docs)
+    if "n_chars" not in docs.columns:
+        return out
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix of sources takes them."""
+    """Documents as often as the mix of sources takes them; one without a word is taken as its source's others are, at most twice."""
     return mixing.mixed(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents and their places in training sequences."""
+    """The pieces of all documents and their places in training sequences; a null or empty text is its end token alone."""
     return packing.pack(docs)
 
 
