@@ -110,7 +110,7 @@ class Reader:
         """(s, aspect, provenance): the level on the object, else on a cover part's orientation, else on the part."""
         level = self.of_class(T.COVER_LEVEL)
         direct = level.select("s", F.struct(F.lit(0).alias("r"), F.lit(None).cast("struct<way:int,pos:bigint>").alias("a"), F.lit(0).alias("q"), F.lit(None).cast("struct<way:int,pos:bigint>").alias("b")).alias("ord"), "aspect", F.col("s").alias("beside"))
-        lids = self.types.withColumnRenamed("type", "class").join(F.broadcast(self.h.below(T.COVER) if self.h else self.g.triples.sparkSession.createDataFrame([(self.t.iri(T.COVER),)], "class string")), "class", "left_semi").select(F.col("s").alias("member")).distinct()
+        lids = self.types.withColumnRenamed("type", "class").join(self.h.hint(self.h.below(T.COVER)) if self.h else self.g.triples.sparkSession.createDataFrame([(self.t.iri(T.COVER),)], "class string"), "class", "left_semi").select(F.col("s").alias("member")).distinct()
         parts = self.parts.join(lids, "member", "left_semi").select(F.col("holder").alias("s"), F.col("member").alias("lid"), F.col("ord").alias("a"))
         over = parts.join(self.aspects.select(F.col("holder").alias("lid"), F.col("member").alias("beside"), F.col("ord").alias("b")), "lid").join(level.withColumnRenamed("s", "beside"), "beside")
         over = over.select("s", F.struct(F.lit(1).alias("r"), "a", F.lit(0).alias("q"), "b").alias("ord"), "aspect", "beside")
@@ -130,7 +130,7 @@ class Reader:
 
     def orientations(self, role: str) -> DataFrame:
         """(o, ord): orientations of classes below the role, by class name and then by place."""
-        hit = self.types.withColumnRenamed("type", "class").join(F.broadcast(self.h.below(role)), "class", "left_semi")
+        hit = self.types.withColumnRenamed("type", "class").join(self.h.hint(self.h.below(role)), "class", "left_semi")
         return hit.groupBy(F.col("s").alias("o")).agg(F.min(F.struct("class", "pos")).alias("at"))
 
     def structural_nodes(self) -> DataFrame:
@@ -254,7 +254,7 @@ class Reader:
 
 
 def short_of(name: str) -> str:
-    return T.short_name(name)
+    return T.local_name(name)
 
 
 def repairs(conduits: DataFrame) -> DataFrame:
@@ -292,7 +292,7 @@ def parts_of(graph: Graph, hierarchy: Hierarchy | None = None, root: str | None
     p = graph.parts().withColumnRenamed("member", "part")
     if root is None:
         return p
-    inside = graph.types().withColumnRenamed("type", "class").join(F.broadcast(hierarchy.below(root)), "class", "left_semi").select(F.col("s").alias("part")).distinct()
+    inside = graph.types().withColumnRenamed("type", "class").join(hierarchy.hint(hierarchy.below(root)), "class", "left_semi").select(F.col("s").alias("part")).distinct()
     return p.filter("not startswith(part, '_:')").join(inside, "part", "left_semi").select("holder", "part", "ord")
 
 

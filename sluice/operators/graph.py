@@ -49,9 +49,13 @@ class Graph:
     def count(self) -> DataFrame:
         return self.triples.agg(F.count("*").alias("n_triples"))
 
+    def with_predicates(self, *predicates: str) -> DataFrame:
+        """The triples of some predicates, given in full or by their names."""
+        return self.triples.filter(F.col("p").isin([self.terms.iri(p) for p in predicates]))
+
     def of(self, predicate: str) -> DataFrame:
         """(s, o, kind, lang, dt, pos) of a predicate, given in full or by its name."""
-        return self.triples.filter(F.col("p") == self.terms.iri(predicate)).drop("p")
+        return self.with_predicates(predicate).drop("p")
 
     def objects(self, subject: str, predicate: str) -> DataFrame:
         return self.of(predicate).filter(F.col("s") == subject).orderBy("pos")
@@ -80,9 +84,8 @@ class Graph:
         return hits if len(classes) == 1 else hits.distinct()  # of one class triples have a subject once
 
     def _both_ways(self, forward: str, inverse: str) -> DataFrame:
-        t = self.triples
-        one = t.filter((F.col("p") == forward) & (F.col("kind") != "L")).select(F.col("s").alias("holder"), F.col("o").alias("member"), F.lit(0).alias("way"), "pos")
-        two = t.filter((F.col("p") == inverse) & (F.col("kind") != "L")).select(F.col("o").alias("holder"), F.col("s").alias("member"), F.lit(1).alias("way"), "pos")
+        one = self.of(forward).filter("kind <> 'L'").select(F.col("s").alias("holder"), F.col("o").alias("member"), F.lit(0).alias("way"), "pos")
+        two = self.of(inverse).filter("kind <> 'L'").select(F.col("o").alias("holder"), F.col("s").alias("member"), F.lit(1).alias("way"), "pos")
         # From the holder the forward writing is its own triples and comes first; from the member the same way of writing does too.
         return one.unionAll(two).groupBy("holder", "member").agg(F.min(F.struct("way", "pos")).alias("ord"))
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -54,6 +56,14 @@ class Hierarchy:
     def __init__(self, closure: DataFrame, terms: Terms):
         self.closure, self.terms = closure, terms
 
+    @cached_property
+    def few(self) -> bool:
+        return self.closure.limit(10 * SMALL + 1).count() <= 10 * SMALL
+
+    def hint(self, classes: DataFrame) -> DataFrame:
+        """Some of the closure's rows as the small side of a join, if it is known to be small."""
+        return F.broadcast(classes) if self.few else classes
+
     @classmethod
     def of(cls, graph: Graph) -> Hierarchy:
         return cls(subclass_closure(graph), graph.terms)
@@ -110,7 +120,7 @@ def graph_types_of(graph: Graph, nodes: DataFrame, conduits: DataFrame) -> DataF
 
 def is_a(typed: DataFrame, hierarchy: Hierarchy, root: str) -> DataFrame:
     """The uris of typed (uri, types) that are of a class or one below it."""
-    return typed.select("uri", F.explode("types").alias("class")).join(F.broadcast(hierarchy.below(root)), "class", "left_semi").select("uri").distinct()
+    return typed.select("uri", F.explode("types").alias("class")).join(hierarchy.hint(hierarchy.below(root)), "class", "left_semi").select("uri").distinct()
 
 
 def of_class(nodes: DataFrame, conduits: DataFrame, hierarchy: Hierarchy, root: str) -> DataFrame:
@@ -119,18 +129,18 @@ def of_class(nodes: DataFrame, conduits: DataFrame, hierarchy: Hierarchy, root:
         raise ValueError(f"{root} is a class of connections; ask for conduits")
     n = nodes.select("uri", F.lit(0).alias("what"), "ord", F.array_union("types", "orientation_types").alias("types"))
     both = n.unionAll(conduits.select("uri", F.lit(1), "ord", "types"))
-    hit = both.select("uri", "what", "ord", F.explode("types").alias("class")).join(F.broadcast(hierarchy.below(root)), "class", "left_semi")
+    hit = both.select("uri", "what", "ord", F.explode("types").alias("class")).join(hierarchy.hint(hierarchy.below(root)), "class", "left_semi")
     return hit.select("uri", "what", "ord").distinct()
 
 
 def subjects_of_class(graph: Graph, hierarchy: Hierarchy, root: str) -> DataFrame:
     """(s): one row for every matching pair of subject and class."""
-    return graph.types().withColumnRenamed("type", "class").join(F.broadcast(hierarchy.below(root)), "class").select("s", "class")
+    return graph.types().withColumnRenamed("type", "class").join(hierarchy.hint(hierarchy.below(root)), "class").select("s", "class")
 
 
 def first_root(objects: DataFrame, hierarchy: Hierarchy, roots: list[str]) -> DataFrame:
     """objects (uri, types, ord): (uri, root, rank, ord), each once, under the first of the roots that it falls under."""
-    hits = objects.select("uri", "ord", F.explode("types").alias("class")).join(F.broadcast(hierarchy.below_all(roots)), "class")
+    hits = objects.select("uri", "ord", F.explode("types").alias("class")).join(hierarchy.hint(hierarchy.below_all(roots)), "class")
     w = Window.partitionBy("uri").orderBy("rank", "ord")
     return hits.withColumn("k", F.row_number().over(w)).filter("k = 1").select("uri", "root", "rank", "ord")
 
@@ -145,7 +155,7 @@ def object_type(typed: DataFrame, orientation: DataFrame, hierarchy: Hierarchy)
 
 def falls_under(typed: DataFrame, hierarchy: Hierarchy, roots: list[str]) -> DataFrame:
     """(uri, falls_under): as object_type, of the types below the roots only."""
-    inside = typed.select("uri", "type").join(F.broadcast(hierarchy.below_all(roots).select(F.col("class").alias("type")).distinct()), "type", "left_semi")
+    inside = typed.select("uri", "type").join(hierarchy.hint(hierarchy.below_all(roots).select(F.col("class").alias("type")).distinct()), "type", "left_semi")
     return hierarchy.most_specific(inside, "uri").groupBy("uri").agg(F.min(short_name(F.col("type"))).alias("falls_under"))
 
 
@@ -156,8 +166,8 @@ def short_types(types: Column) -> Column:
 def version_of_types(nodes: DataFrame, conduits: DataFrame) -> str | None:
     """The version in the first type IRI that has one, nodes before conduits."""
     from sluice.functions.scalars import base_of
-    from sluice.terms import version_of_base
+    from sluice.terms import Base
 
     both = nodes.select(F.lit(0).alias("w"), "ord", F.explode("types").alias("t")).unionAll(conduits.select(F.lit(1), "ord", F.explode("types")))
     first = both.filter(base_of(F.col("t")).isNotNull()).orderBy("w", "ord", "t").select(base_of(F.col("t")).alias("b")).first()
-    return version_of_base(first["b"]) if first else None
+    return Base.read(first["b"]).version if first else None

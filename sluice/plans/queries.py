@@ -8,12 +8,11 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sluice import terms as T
-from sluice.functions import gml, plane, scalars
+from sluice.functions import gml, scalars
 from sluice.functions.plane import Polygon
 from sluice.operators import clip, domain, hierarchy, network, restrictions
 from sluice.operators.domain import Reader
@@ -43,7 +42,7 @@ def short(column: str):
 
 
 def _reader(spark: SparkSession, sf_dir: str, items: bool = False) -> Reader:
-    return Reader(tables.graph(spark, sf_dir, items).stored(), Hierarchy.of(tables.class_graph(spark, sf_dir)))
+    return Reader(tables.graph(spark, sf_dir, items), Hierarchy.of(tables.class_graph(spark, sf_dir)))
 
 
 def _nodes(r: Reader) -> DataFrame:
@@ -78,9 +77,9 @@ UNION ALL SELECT 'Hulpstuk', count(*) FROM supplier WHERE s_suppkey % 3 = 0 UNIO
 UNION ALL SELECT 'Leiding', count(*) FROM orders UNION ALL SELECT 'Seg_BUILDING', count(*) FROM customer WHERE c_mktsegment = 'BUILDING'""")
 def selected_per_class(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship: objects per class, subclasses included."""
-    g = tables.graph(spark, sf_dir, items=False).stored()
+    g = tables.graph(spark, sf_dir, items=False)
     h = Hierarchy.of(tables.class_graph(spark, sf_dir))
-    held = g.aspects().join(g.types().select(F.col("s").alias("member"), F.col("type").alias("class")).join(F.broadcast(h.below(T.NODE_ROLE).unionAll(h.below(T.EDGE_ROLE))), "class", "left_semi"), "member", "left_semi").select(F.col("holder").alias("s")).distinct()
+    held = g.aspects().join(g.types().select(F.col("s").alias("member"), F.col("type").alias("class")).join(h.hint(h.below(T.NODE_ROLE).unionAll(h.below(T.EDGE_ROLE))), "class", "left_semi"), "member", "left_semi").select(F.col("holder").alias("s")).distinct()
     roots = h.below_all(["Put", "Compartiment", "Hulpstuk", "Bouwwerk", "Leiding", "Seg_BUILDING"])
     hits = g.types().join(held, "s", "left_semi").withColumnRenamed("type", "class").join(F.broadcast(roots), "class")
     return hits.groupBy(short("root").alias("root")).agg(F.countDistinct("s").alias("n"))
@@ -96,7 +95,7 @@ UNION ALL SELECT 'subClassOf', 15 + (SELECT count(*) FROM region) + (SELECT coun
 def triple_count_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = tables.graph(spark, sf_dir, items=False)
     wanted = [TERMS.has_part, TERMS.is_part_of, TERMS.has_connection, T.SUBCLASS]
-    return g.triples.filter(F.col("p").isin(wanted)).groupBy(short("p").alias("predicate")).agg(F.count("*").alias("n"))
+    return g.with_predicates(*wanted).groupBy(short("p").alias("predicate")).agg(F.count("*").alias("n"))
 
 
 @query("SELECT '{net}c' || c_custkey AS s, '{base}Seg_' || c_mktsegment AS first_type FROM customer UNION ALL SELECT '{net}s' || s_suppkey, '{base}' || CASE WHEN s_suppkey % 3 = 0 THEN 'Hulpstuk' ELSE 'Compartiment' END FROM supplier")
@@ -182,7 +181,7 @@ def is_a_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     both = r.found("node").unionAll(r.found("conduit").withColumn("at", F.lit(None).cast(r.found("node").schema["at"].dataType))).select("s", "o").distinct()
     typed = both.select("s", F.explode(F.array("s", "o")).alias("x")).join(r.types.select(F.col("s").alias("x"), F.col("type").alias("class")), "x").select("s", "class")
     roots = ["Put", "Knooppunt", "Leiding", "Nat_1", "Hulpstuk"]
-    hits = typed.join(F.broadcast(r.h.below_all(roots)), "class").groupBy("root").agg(F.countDistinct("s").alias("n"))
+    hits = typed.join(r.h.hint(r.h.below_all(roots)), "class").groupBy("root").agg(F.countDistinct("s").alias("n"))
     asked = r.h.below_all(roots).select("root").distinct()
     return asked.join(hits, "root", "left").select(short("root").alias("root"), F.coalesce("n", F.lit(0)).alias("n"))
 
@@ -192,7 +191,7 @@ UNION ALL SELECT 'Putdeksel', count(*) FROM customer WHERE c_custkey % 3 = 1 UNI
 def graph_is_a_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     h = Hierarchy.of(tables.class_graph(spark, sf_dir))
     t = tables.graph(spark, sf_dir, items=False).types().withColumnRenamed("type", "class")
-    return t.join(F.broadcast(h.below_all(["Gebied", "Bouwwerk", "Putdeksel", "Verbinding"])), "class").groupBy(short("root").alias("root")).agg(F.countDistinct("s").alias("n"))
+    return t.join(h.hint(h.below_all(["Gebied", "Bouwwerk", "Putdeksel", "Verbinding"])), "class").groupBy(short("root").alias("root")).agg(F.countDistinct("s").alias("n"))
 
 
 @query("WITH " + _NODE + " SELECT uri, cls AS object_type FROM node")
@@ -214,7 +213,8 @@ def falls_under(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT true AS known, true AS edge_is_connection, false AS put_is_connection, '1.6' AS version")
 def hierarchy_known(spark: SparkSession, sf_dir: str) -> DataFrame:
     h = Hierarchy.of(tables.class_graph(spark, sf_dir))
-    version = T.version_of_base(TERMS.base)
+    version = scalars.version_of(scalars.base_of(F.col("type")))
+    version = tables.graph(spark, sf_dir, items=False).types().select(F.min_by(version, F.when(version.isNotNull(), F.col("pos")))).first()[0]
     return spark.createDataFrame([(h.known(), h.is_connection_class("Leidingorientatie"), h.is_connection_class("Put"), version)], "known boolean, edge_is_connection boolean, put_is_connection boolean, version string")
 
 
@@ -274,19 +274,19 @@ def attributes_of_object(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT '{net}c' || k || CASE WHEN k % 3 = 0 THEN '_mh' ELSE '_mp' END AS s, " + _SOURCED.replace("{k}", "k") + " AS method, " + _DATE.replace("{k}", "k") + " AS date FROM (SELECT c_custkey AS k FROM customer) WHERE k % 3 <> 1 AND (k % 4 <> 0 OR k % 5 NOT IN (1, 2))")
 def provenance_first_nonempty(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = Reader(Graph(tables.customer_triples(spark, sf_dir), TERMS).stored())
+    r = _reader(spark, sf_dir)
     return r.provenance().select("s", "provenance.method", F.date_format("provenance.date", "yyyy-MM-dd").alias("date"))
 
 
 @query("SELECT '{net}c' || k || '_o' AS o, (k % 40 // 10) || '.' || (k % 10) AS level, " + _SOURCED.replace("{k}", "k") + " AS method FROM (SELECT c_custkey AS k FROM customer) WHERE k % 4 <> 3")
 def ground_level(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = Reader(Graph(tables.customer_triples(spark, sf_dir), TERMS).stored())
+    r = _reader(spark, sf_dir)
     return r.ground().select("o", F.col("aspect.value").alias("level"), "provenance.method")
 
 
 @query("SELECT '{net}c' || k AS s, (k % 70 // 10) || '.' || (k % 10) AS level FROM (SELECT c_custkey AS k FROM customer) WHERE k % 3 <> 2")
 def cover_level(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = Reader(Graph(tables.customer_triples(spark, sf_dir), TERMS).stored(), Hierarchy.of(tables.class_graph(spark, sf_dir)))
+    r = _reader(spark, sf_dir)
     return r.cover().filter(F.col("s").rlike(f"^{NET}c[0-9]+$")).select("s", F.col("aspect.value").alias("level"))
 
 
@@ -380,23 +380,23 @@ def drawing_direction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return network.drawing_direction(_slim_conduits(r, n), n, r.h, ["Put"]).withColumn("reversed", F.col("reversed").cast("string"))
 
 
-@query("SELECT '{base}Dt_' || p_partkey AS datatype, CASE WHEN p_partkey % 2 = 0 THEN 'integer' ELSE 'decimal' END AS base, (p_partkey % 50)::VARCHAR AS low, CASE WHEN p_partkey % 5 <> 0 THEN (p_size + 50)::VARCHAR END AS high FROM part WHERE p_partkey < 200")
+@query("SELECT '{base}Dt_' || p_partkey AS datatype, CASE WHEN p_partkey % 2 = 0 THEN 'integer' ELSE 'decimal' END AS base, (p_partkey % 50)::VARCHAR AS low, CASE WHEN p_partkey % 5 <> 0 THEN (p_size + 50)::VARCHAR END AS high FROM part")
 def facet_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     return restrictions.facet_ranges(Graph(tables.restriction_triples(spark, sf_dir), TERMS))
 
 
-@query("SELECT '{base}K_' || p_partkey AS class, CASE WHEN p_partkey % 2 = 0 THEN 'integer' ELSE 'decimal' END AS base, (p_partkey % 50)::VARCHAR AS low, CASE WHEN p_partkey % 5 <> 0 THEN (p_size + 50)::VARCHAR END AS high FROM part WHERE p_partkey < 200 AND p_partkey % 3 <> 0 AND p_partkey % 4 <> 3")
+@query("SELECT '{base}K_' || p_partkey AS class, CASE WHEN p_partkey % 2 = 0 THEN 'integer' ELSE 'decimal' END AS base, (p_partkey % 50)::VARCHAR AS low, CASE WHEN p_partkey % 5 <> 0 THEN (p_size + 50)::VARCHAR END AS high FROM part WHERE p_partkey % 3 <> 0 AND p_partkey % 4 <> 3")
 def attribute_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     return restrictions.attribute_ranges(Graph(tables.restriction_triples(spark, sf_dir), TERMS))
 
 
-@query("SELECT 'K_' || p_partkey AS kind, CASE WHEN p_partkey % 3 = 0 THEN 'hasReference' ELSE 'hasValue' END AS property FROM part WHERE p_partkey < 200 AND NOT (p_partkey % 3 = 0 AND p_partkey % 4 = 3)")
+@query("SELECT 'K_' || p_partkey AS kind, CASE WHEN p_partkey % 3 = 0 THEN 'hasReference' ELSE 'hasValue' END AS property FROM part WHERE NOT (p_partkey % 3 = 0 AND p_partkey % 4 = 3)")
 def expected_property(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = Graph(tables.restriction_triples(spark, sf_dir), TERMS)
     return restrictions.attribute_properties(g, Hierarchy.of(g))
 
 
-@query("""WITH RECURSIVE k AS (SELECT p_partkey AS k FROM part WHERE p_partkey < 200), up(k, a) AS (SELECT k, k // 10 FROM k WHERE k >= 10 UNION SELECT k, a // 10 FROM up WHERE a >= 10),
+@query("""WITH RECURSIVE k AS (SELECT p_partkey AS k FROM part), up(k, a) AS (SELECT k, k // 10 FROM k WHERE k >= 10 UNION SELECT k, a // 10 FROM up WHERE a >= 10),
 own AS (SELECT k, 'Doen_' || (k % 7) AS f FROM k WHERE k % 4 = 0), inh AS (SELECT up.k, arg_min(f, 'F_' || own.k) AS f FROM up JOIN own ON own.k = up.a GROUP BY up.k)
 SELECT '{base}F_' || k.k AS class, coalesce(own.f, inh.f) AS function FROM k LEFT JOIN own ON own.k = k.k LEFT JOIN inh ON inh.k = k.k WHERE coalesce(own.f, inh.f) IS NOT NULL""")
 def class_function_inherited(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -442,7 +442,7 @@ def derived_heights(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT '{net}o' || k AS uri, CASE WHEN k % 6 <> 5 THEN round((k % 90) / 10.0::DOUBLE - (k % 80) / 10.0::DOUBLE, 6) END AS invert_fall, CASE WHEN k % 13 <> 0 THEN (k % 75 + 1)::DOUBLE END AS length_m FROM (SELECT o_orderkey AS k FROM orders)""")
 def derived_conduit_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = Reader(Graph(tables.order_triples(spark, sf_dir, *tables.sizes(spark, sf_dir)), TERMS).stored())
+    r = _reader(spark, sf_dir)
     c = r.first_held(r.found("conduit", True)).join(r.endpoints(), "o").join(r.of_class(T.BEGIN_INVERT).toDF("begin", "bob_start_aspect"), "begin", "left").join(r.of_class(T.END_INVERT).toDF("end", "bob_end_aspect"), "end", "left").join(r.attributes(), "s", "left")
     c = c.withColumn("z_values", F.array().cast("array<double>"))
     d = scalars.conduit_columns()
@@ -499,51 +499,74 @@ _PART = "CASE WHEN x <= 30500 THEN 0 WHEN x <= 60500 THEN 1 WHEN y <= 40500 OR y
 
 @query("WITH " + _SPOT + " SELECT '{net}c' || k || '_p' AS s, 1 << " + f"({_PART})" + "::INT AS mask FROM spot")
 def point_in_polygon_or_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    layer = strips()
-    g = Graph(tables.customer_triples(spark, sf_dir), TERMS)
-    lit = g.of(TERMS.has_value).filter((F.col("dt") == T.GML_LITERAL) & F.col("s").rlike(r"c\d+_p$"))
-    return place_literals(lit.select("s", F.col("o").alias("literal")), layer).filter("mask <> 0").select("s", F.col("mask").cast("int").alias("mask"))
+    lit = _geometries(spark, sf_dir, r"c\d+_p$")
+    return clip.placed(lit, strips()).filter("mask[0] <> 0").select("s", F.get("mask", F.lit(0)).cast("int").alias("mask"))
 
 
-@query("""WITH l AS (SELECT o_orderkey AS k, 1000 * (o_custkey % 97) AS xa, 1000 * (o_custkey % 89) AS ya, 1000 * (((o_custkey * 7 + 13) % {nc}) % 97) AS xb, 1000 * (((o_custkey * 7 + 13) % {nc}) % 89) AS yb FROM orders)
-SELECT '{net}o' || k || '_l' AS s, (xa <= 30500 OR xb <= 30500)::INT + 2 * (least(xa, xb) <= 60500 AND greatest(xa, xb) >= 30500)::INT AS mask_west_mid FROM l""")
+def _geometries(spark: SparkSession, sf_dir: str, pattern: str, cut: bool = True) -> DataFrame:
+    g = tables.graph(spark, sf_dir, items=False)
+    lit = g.of(TERMS.has_value).filter((F.col("dt") == T.GML_LITERAL) & F.col("s").rlike(pattern))
+    return lit.select("s", F.col("o").alias("literal"), F.lit(cut).alias("cut"))
+
+
+# The ends of conduits' lines, in the order in which they are drawn.
+_DRAWN = """e AS (SELECT o_orderkey AS k, o_custkey AS a, (o_custkey * 7 + 13) % {nc} AS b FROM orders), drawn AS (
+  SELECT k, 1000 * (f % 97) AS x0, 1000 * (f % 89) AS y0, 1000 * (g % 97) AS x1, 1000 * (g % 89) AS y1
+  FROM (SELECT k, CASE WHEN k % 4 = 0 THEN b ELSE a END AS f, CASE WHEN k % 4 = 0 THEN a ELSE b END AS g FROM e))"""
+
+
+@query("""WITH """ + _DRAWN + """, part_of AS (SELECT *,
+    CASE WHEN x0 >= 60500 AND x1 >= 60500 THEN 0 WHEN x0 >= 60500 THEN 0 WHEN x1 >= 60500 THEN (60500 - x0)::DOUBLE / (x1 - x0) END AS e0,
+    CASE WHEN x1 >= 60500 THEN 1 WHEN x0 >= 60500 THEN (x0 - 60500)::DOUBLE / (x0 - x1) END AS e1,
+    CASE WHEN y0 <= 40500 THEN 0 WHEN y1 <= 40500 THEN (y0 - 40500)::DOUBLE / (y0 - y1) END AS s0,
+    CASE WHEN y1 <= 40500 THEN 1 WHEN y0 <= 40500 THEN (40500 - y0)::DOUBLE / (y1 - y0) END AS s1,
+    CASE WHEN y0 >= 50500 THEN 0 WHEN y1 >= 50500 THEN (50500 - y0)::DOUBLE / (y1 - y0) END AS n0,
+    CASE WHEN y1 >= 50500 THEN 1 WHEN y0 >= 50500 THEN (y0 - 50500)::DOUBLE / (y0 - y1) END AS n1 FROM drawn),
+bits AS (SELECT k, x0 AS x, y0 AS y, (least(x0, x1) <= 30500)::INT + 2 * (least(x0, x1) <= 60500 AND greatest(x0, x1) >= 30500)::INT
+    + 4 * coalesce((e0 <= s1 AND s0 <= e1) OR (e0 <= n1 AND n0 <= e1), (e0 <= s1 AND s0 <= e1), (e0 <= n1 AND n0 <= e1), false)::INT AS mask FROM part_of)
+SELECT '{net}o' || k || '_l' AS s, CASE WHEN mask = 0 THEN 1 << (""" + _PART + """)::INT ELSE mask END AS mask FROM bits""")
 def line_touches_polygons(spark: SparkSession, sf_dir: str) -> DataFrame:
-    layer = strips()
-    g = Graph(tables.order_triples(spark, sf_dir, *tables.sizes(spark, sf_dir)), TERMS)
-    lit = g.of(TERMS.has_value).filter(F.col("dt") == T.GML_LITERAL).select("s", F.col("o").alias("literal"))
-    return place_literals(lit, layer, cut=False).select("s", F.col("mask").bitwiseAND(3).cast("int").alias("mask_west_mid"))
+    """Lines that aren't cut, against all three strips; one that meets none is its own point's."""
+    lit = _geometries(spark, sf_dir, r"o\d+_l$", cut=False)
+    return clip.placed(lit, strips()).select("s", F.get("mask", F.lit(0)).cast("int").alias("mask"))
 
 
-@query("""WITH l AS (SELECT o_orderkey AS k, 1000 * (o_custkey % 97) AS xa, 1000 * (((o_custkey * 7 + 13) % {nc}) % 97) AS xb FROM orders)
-SELECT '{net}o' || k || '_l' AS s, 1 + (least(xa, xb) < 30500 AND greatest(xa, xb) > 30500)::INT + (least(xa, xb) < 60500 AND greatest(xa, xb) > 60500)::INT AS n_pieces FROM l""")
+@query("""WITH """ + _DRAWN + """, cuts AS (SELECT k, list(t ORDER BY o) AS ts FROM (
+    SELECT k, printf('%.3f %.3f', c::DOUBLE, y0 + (c - x0)::DOUBLE / (x1 - x0) * (y1 - y0)) AS t, CASE WHEN x1 > x0 THEN c ELSE -c END AS o
+    FROM drawn, (VALUES (30500), (60500)) v(c) WHERE least(x0, x1) < c AND greatest(x0, x1) > c) GROUP BY k),
+stops AS (SELECT drawn.k, (x0 > 30500)::INT + (x0 > 60500)::INT AS p, sign(x1 - x0)::INT AS way, CASE WHEN ts IS NOT NULL THEN list_concat([x0 || ' ' || y0], ts, [x1 || ' ' || y1]) END AS s FROM drawn LEFT JOIN cuts ON cuts.k = drawn.k)
+SELECT '{net}o' || k || '_l' AS s, 0 AS sequence, p AS part, NULL::VARCHAR AS coordinates, false AS inserted_end FROM stops WHERE s IS NULL
+UNION ALL SELECT '{net}o' || k || '_l', i::INT, p + way * i::INT, s[i + 1] || ' ' || s[i + 2], i < len(s) - 2 FROM stops, unnest(range(len(s) - 1)) AS t(i) WHERE s IS NOT NULL""")
 def line_cut_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece with its text; a line that isn't cut is one row without."""
     box = lambda x1, x2: [[(x1, -1), (x2, -1), (x2, 90000), (x1, 90000), (x1, -1)]]
     layer = [Polygon(n, n, [box(a, b)]) for n, a, b in (("A", -1, 30500), ("B", 30500, 60500), ("C", 60500, 98000))]
-    g = Graph(tables.order_triples(spark, sf_dir, *tables.sizes(spark, sf_dir)), TERMS)
-    lit = g.of(TERMS.has_value).filter(F.col("dt") == T.GML_LITERAL).select("s", F.col("o").alias("literal"))
-    return place_literals(lit, layer).select("s", F.coalesce(F.size("pieces"), F.lit(1)).alias("n_pieces"))
+    got = clip.placed(_geometries(spark, sf_dir, r"o\d+_l$"), layer)
+    alone = F.struct(F.log2(F.get("mask", F.lit(0))).cast("int").alias("part"), F.lit(0).alias("sequence"), F.lit(None).cast("string").alias("coordinates"), F.lit(False).alias("inserted_end"))
+    return got.select("s", F.explode(F.coalesce("pieces", F.array(alone))).alias("p")).select("s", "p.sequence", "p.part", "p.coordinates", "p.inserted_end")
 
 
 @query("""SELECT '_:' || t || p_partkey AS b, CASE WHEN t IN ('e', 'x', 'y', 'lo', 'hi') THEN '{base}Dt_' || p_partkey WHEN t = 'f' THEN '{base}F_' || p_partkey ELSE '{base}K_' || p_partkey END AS owner
-FROM part, (VALUES ('r'), ('e'), ('x'), ('y'), ('lo'), ('hi'), ('f')) v(t) WHERE p_partkey < 200 AND (t <> 'f' OR p_partkey % 4 = 0)""")
+FROM part, (VALUES ('r'), ('e'), ('x'), ('y'), ('lo'), ('hi'), ('f')) v(t) WHERE (t <> 'f' OR p_partkey % 4 = 0)""")
 def block_owner_of_bnode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clip.owners(Graph(tables.restriction_triples(spark, sf_dir), TERMS))
 
 
 @query("""WITH """ + _SPOT + """, m AS (SELECT k, 1 << (""" + _PART + """)::INT AS mask FROM spot), c AS (SELECT c_custkey AS k, c_nationkey AS n FROM customer),
 up AS (SELECT n, bit_or(mask) AS mask FROM c JOIN m USING (k) GROUP BY n)
-SELECT '{net}c' || c.k AS block, coalesce(m.mask, up.mask)::BIGINT AS mask FROM c LEFT JOIN m USING (k) JOIN up USING (n) UNION ALL SELECT '{net}n' || n, mask::BIGINT FROM up""")
+SELECT '{net}c' || c.k AS block, coalesce(m.mask, up.mask)::BIGINT AS mask FROM c LEFT JOIN m USING (k) JOIN up USING (n)
+UNION ALL SELECT '{net}c' || c.k || '_o', coalesce(m.mask, CASE WHEN c.k % 3 = 2 AND bit_count(up.mask) > 1 AND up.mask & 1 <> 0 THEN 1 ELSE up.mask END)::BIGINT FROM c LEFT JOIN m USING (k) JOIN up USING (n)
+UNION ALL SELECT '{net}n' || n, mask::BIGINT FROM up""")
 def block_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Masks up and down again: customers without a point take those of their nation."""
-    g = Graph(tables.customer_triples(spark, sf_dir).filter(~F.col("s").rlike(r"_m[a-z]?$") & ~F.col("o").rlike(r"_m[a-z]?$")), TERMS)
+    """Masks up and down again: customers without a point take those of their nation, and their orientations of these what they are connected with."""
+    g = Graph(tables.customer_triples(spark, sf_dir), TERMS)
     m = clip.Plan(g, strips()).masks
-    return m.filter(F.col("block").rlike(f"^{NET}[cn][0-9]+$")).select("block", "mask")
+    return m.filter(F.col("block").rlike(f"^{NET}([cn][0-9]+|c[0-9]+_o)$")).select("block", F.get("mask", F.lit(0)).alias("mask"))
 
 
 @query("SELECT part, count(*) AS n FROM (WITH " + _SPOT + " SELECT " + _PART + " AS part FROM spot) GROUP BY part")
 def clip_points_per_part(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = Graph(tables.customer_triples(spark, sf_dir).filter(~F.col("s").rlike(r"_m[a-z]?$") & ~F.col("o").rlike(r"_m[a-z]?$")), TERMS)
-    parts = clip.clip(g, strips())
+    parts = clip.clip(Graph(tables.customer_triples(spark, sf_dir), TERMS), strips())
     readable = (F.col("p") == TERMS.has_value) & (F.col("dt") == T.GML_LITERAL) & F.col("o").contains("srsDimension")
     return parts.filter(readable).groupBy("part").agg(F.count("*").alias("n"))
 
@@ -588,14 +611,3 @@ def turtle_roundtrip_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     a, b = key(g.triples), key(back)
     lost, gained = a.join(b, "k", "left_anti").agg(F.count("*").alias("lost")), b.join(a, "k", "left_anti").agg(F.count("*").alias("gained"))
     return lost.withColumn("one", F.lit(1)).join(gained.withColumn("one", F.lit(1)), "one").drop("one")
-
-
-def place_literals(lit: DataFrame, layer: list[Polygon], cut: bool = True) -> DataFrame:
-    """lit (s, literal): (s, mask, pieces)."""
-
-    def run(batches):
-        for batch in batches:
-            got = [plane.place(x, layer, cut) for x in batch["literal"]]
-            yield pd.DataFrame({"s": batch["s"], "mask": pd.array([m for m, _ in got], dtype="int64"), "pieces": [None if p is None else [(x.part, x.sequence, x.coordinates, x.inserted_end) for x in p] for _, p in got]})
-
-    return lit.mapInPandas(run, f"s string, mask long, pieces {clip.PIECES}")

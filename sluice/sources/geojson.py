@@ -11,9 +11,9 @@ from sluice.errors import BoundaryError
 from sluice.functions.plane import Polygon
 
 
-def safe_name(name: str) -> str:
-    """A name as part of a file name; `vlak` if nothing of it is left."""
-    return re.sub(r"[^A-Za-z0-9._-]+", "_", name).strip("._-") or "vlak"
+def file_name(name: str, number: int) -> str:
+    """A file name for a polygon: its name's letters and digits of ASCII, whatever lies between two groups of them as one `-`; `part-<number>` if it has none."""
+    return "-".join(re.findall(r"[A-Za-z0-9]+", name)) or f"part-{number}"
 
 
 def layer_of(text: str, key: str) -> list[Polygon]:
@@ -34,7 +34,7 @@ def layer_of(text: str, key: str) -> list[Polygon]:
         rings = [[[tuple(p[:2]) for p in ring] for ring in part] for part in parts(g.get("coordinates") or []) if part]
         if not rings or not rings[0] or len(rings[0][0]) < 3:
             raise BoundaryError(f"feature {name!r} is empty")
-        out.append(Polygon(str(name), safe_name(str(name)), rings))
+        out.append(Polygon(str(name), file_name(str(name), i), rings))
     if not out:
         raise BoundaryError("the boundary layer has no feature")
     for what in ("name", "file"):

@@ -30,7 +30,8 @@ def chosen(base: str, folder: str | None, paths: Sequence[str] | None) -> list[s
         return list(paths)
     if folder is None:
         return []
-    version = T.version_of_base(base)
+    found = T.Base.read(base, whole=True)
+    version = found.version if found else None
     if version not in T.KNOWN_VERSIONS:
         warnings.warn(f"no ontology of version {version}; reading with {T.DEFAULT_VERSION}", stacklevel=2)
         version = T.DEFAULT_VERSION

@@ -12,7 +12,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sluice import terms as T
+from sluice.operators.fixpoint import shared_folder
 from sluice.operators.graph import SCHEMA, Graph
+from sluice.sources.sink import Store
 from sluice.terms import Terms
 
 NET = "http://net.example/"
@@ -248,8 +250,20 @@ def network(spark: SparkSession, sf_dir: str, items: bool = True) -> DataFrame:
     return out
 
 
+SOURCES = ("region", "nation", "customer", "supplier", "orders", "lineitem")
+
+
 def graph(spark: SparkSession, sf_dir: str, items: bool = True) -> Graph:
-    return Graph(network(spark, sf_dir, items), TERMS)
+    """The network, made once for the same files and kept by predicate in the shared folder."""
+    store = Store(shared_folder(spark))
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load([f"{sf_dir}/{n}.parquet" for n in (SOURCES if items else SOURCES[:-1])])
+    listed = sorted(tuple(map(str, r)) for r in files.select("path", "length", "modificationTime").collect())
+    key = "sluice-network-" + store.key(str(items), *("|".join(r) for r in listed))
+    found = store.get(spark, key)
+    if found is None:
+        store.put(key, Graph(network(spark, sf_dir, items), TERMS))
+        found = store.get(spark, key)
+    return found
 
 
 def class_graph(spark: SparkSession, sf_dir: str) -> Graph:

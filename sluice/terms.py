@@ -93,44 +93,36 @@ ATTRIBUTE = "Kenmerk"
 PHANTOM_TAIL = "_put"
 
 
-def base_of_iri(iri: str) -> str | None:
-    found = re.match(BASE_PATTERN, iri)
-    return found[0] if found else None
-
-
-def version_of_base(base: str) -> str | None:
-    found = re.fullmatch(BASE_PATTERN, base)
-    return found[1] if found else None
-
-
-def version_from_base(base: str) -> str:
-    version = version_of_base(base)
-    if version is None:
-        raise ValueError(f"{base!r} is no base of the vocabulary")
-    return version
-
+@dataclass(frozen=True)
+class Base:
+    """A base of the vocabulary, which differs between versions only."""
 
-def base_for_version(version: str) -> str:
-    return BASE_FORMAT.format(version)
+    version: str
 
+    def __str__(self) -> str:
+        return BASE_FORMAT.format(self.version)
 
-def base_of_iris(iris: Iterable[str]) -> str | None:
-    return next((b for b in map(base_of_iri, iris) if b), None)
+    @classmethod
+    def read(cls, text: str | None, whole: bool = False) -> Base | None:
+        """The base that a text begins with, or, if `whole`, that it is."""
+        found = _BASE.match(text or "")
+        return cls(found[1]) if found and not (whole and found.end() < len(text)) else None
 
 
-def base_of_prefixes(prefixes: Mapping[str, str]) -> str | None:
-    """The base that the prefix named after the vocabulary declares, if it is one."""
-    own = prefixes.get("gwsw")
-    return own if own and version_of_base(own) else None
+_BASE = re.compile(BASE_PATTERN)
+#: The prefix that datasets declare their base under.
+BASE_PREFIX = "gwsw"
 
 
-def detected(prefixes: Mapping[str, str], predicates: Iterable[str]) -> Terms:
-    """Terms of the declared base, else of the first predicate that has one, else of the default, with a warning."""
-    base = base_of_prefixes(prefixes) or base_of_iris(predicates)
-    if base is None:
+def terms_of(prefixes: Mapping[str, str], predicates: Iterable[str] = ()) -> Terms:
+    """Terms of a dataset: of the base that its own prefix declares, else that the first predicate with one has, else of the default, with a warning."""
+    bases = (Base.read(prefixes.get(BASE_PREFIX), whole=True), *map(Base.read, predicates))
+    known = [str(b) for b in bases if b]
+    if not known:
         warnings.warn(f"no vocabulary base found; reading as version {DEFAULT_VERSION}", stacklevel=2)
-    return Terms(base or DEFAULT_BASE)
+    return Terms(known[0] if known else DEFAULT_BASE)
 
 
-def short_name(iri: str) -> str:
-    return iri.rsplit("/", 1)[-1].rsplit("#", 1)[-1]
+def local_name(iri: str) -> str:
+    """What follows the last `/` or `#`."""
+    return re.search(r"[^/#]*\Z", iri)[0]
