@@ -7,9 +7,9 @@ which they stop, so sources are never collected.
 
 A source's target is met by whole repetitions of all its documents and a seeded sample for the
 fraction: documents in the order of a seeded hash of id and text, taken up to the place where the
-running size is nearest to what is left. That place is found by two-level sums (65,536 hash ranges of a
-source, then the places of the one range in which the sample ends), so that a source with most of the
-rows is no single task, and is applied to documents as one comparison with their source's row of the
+running size is nearest to what is left. That place is found by sums in levels (4096 hash ranges of a
+source, 4096 of the one range in which the sample ends, then that range's places), so that a source with
+most of the rows is no single task, and is applied to documents as one comparison with their source's row of the
 plan. Rows of the same id and text have the same place and are as good as each other; where the
 sample ends among them, as many as it needs are counted off: whole tasks' rows, then those of one task.
 
@@ -32,6 +32,8 @@ WEIGHTS = (5, 2, 1)
 #: The budget as a share of all words.
 BUDGET = 1.5
 MAX_EPOCHS = 2
+#: Leading hex digits of a place that make a range, level by level.
+LEVELS = (3, 6)
 
 
 def word_count(text: Column) -> Column:
@@ -77,15 +79,17 @@ def plan(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, budget: float =
     known = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, budget, max_epochs)
     known = known.withColumn("whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long"))
     known = written(known.select(F.col("source").alias("s"), "source_size", "target", "whole", (F.col("target") - F.col("whole") * F.col("source_size")).alias("part")), "targets")
-    prefix = F.substring("place", 1, 4)
-    sums = sized.groupBy("source", prefix.alias("range")).agg(F.sum("size").alias("range_size"))
-    before = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.withColumn("before", F.coalesce(F.sum("range_size").over(before), F.lit(0)))
     same = lambda a, b: F.col(a).eqNullSafe(F.col(b))
-    # The one range of a source in which its sample ends; only that range's places need an order.
-    edge = sums.join(known, same("source", "s")).filter((F.col("part") > 0) & (F.col("before") <= F.col("part")) & (F.col("before") + F.col("range_size") > F.col("part")))
-    edge = edge.select("s", F.col("range").alias("r"), "before", "part")
-    ends = sized.select("source", "size", "place", prefix.alias("range")).join(edge, same("source", "s") & (F.col("range") == F.col("r")))
+    # The one range of a source in which its sample ends; only that range is looked into further.
+    edge = known.filter("part > 0").select("s", F.lit("").alias("r"), F.lit(0).cast("long").alias("before"), "part")
+    inside = sized.select("source", "size", "place")
+    for digits in LEVELS:
+        inside = inside.select("source", "size", "place").join(edge, same("source", "s") & F.col("place").startswith(F.col("r")))
+        sums = inside.groupBy("s", "part", "before", F.substring("place", 1, digits).alias("r")).agg(F.sum("size").alias("size"))
+        upto = F.col("before") + F.coalesce(F.sum("size").over(Window.partitionBy("s").orderBy("r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        sums = sums.withColumn("before", upto).filter((F.col("before") <= F.col("part")) & (F.col("before") + F.col("size") > F.col("part")))
+        edge = written(sums.select("s", "r", "before", "part"), "edges")
+    ends = inside.select("source", "size", "place").join(edge, same("source", "s") & F.col("place").startswith(F.col("r")))
     ends = ends.groupBy("s", "r", "before", "part", "place").agg(F.count("*").alias("n"), F.max("size").alias("size"), F.sum("size").alias("sum"))
     inside = Window.partitionBy("s", "r").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
     left = F.col("part") - F.col("before") - F.coalesce(F.sum("sum").over(inside), F.lit(0))
