@@ -8,7 +8,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sluice import terms as T
@@ -611,3 +611,89 @@ def turtle_roundtrip_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     a, b = key(g.triples), key(back)
     lost, gained = a.join(b, "k", "left_anti").agg(F.count("*").alias("lost")), b.join(a, "k", "left_anti").agg(F.count("*").alias("gained"))
     return lost.withColumn("one", F.lit(1)).join(gained.withColumn("one", F.lit(1)), "one").drop("one")
+
+
+@query("SELECT p_partkey AS k, CASE WHEN p_partkey % 3 = 0 THEN 'http://e/' || p_partkey WHEN p_partkey % 3 = 1 THEN '{base}K' || p_partkey ELSE '{base}' END AS iri FROM part")
+def full_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("p_partkey")
+    name = F.when(k % 3 == 0, F.concat(F.lit("http://e/"), k.cast("string"))).when(k % 3 == 1, F.concat(F.lit("K"), k.cast("string"))).otherwise(F.lit(""))
+    return tables.read(spark, sf_dir, "part").select(k.alias("k"), scalars.full_name(name, BASE).alias("iri"))
+
+
+@query("SELECT (row_number() OVER (ORDER BY p) - 1)::INT AS place, o FROM (SELECT 0 AS p, '{base}Seg_' || c_mktsegment AS o FROM customer WHERE c_custkey = 7 UNION ALL SELECT 1, '{base}Put')")
+def objects_of_subject(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The access path for one subject, in the source's order."""
+    got = tables.graph(spark, sf_dir, items=False).objects(NET + "c7", T.TYPE)
+    return got.select((F.row_number().over(Window.orderBy("pos")) - 1).alias("place"), "o")
+
+
+@query("SELECT '{net}c' || c_custkey AS s FROM customer WHERE c_custkey % 7 = 0")
+def subjects_of_object(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tables.graph(spark, sf_dir, items=False).subjects(T.TYPE, BASE + "Put").select("s")
+
+
+@query("SELECT 'node' AS what, '{net}c' || c_custkey AS uri FROM customer UNION ALL SELECT 'node', '{net}s' || s_suppkey FROM supplier WHERE s_suppkey % 3 = 0")
+def objects_of_class(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Objects of two classes by of_class, conduits included where they fall under one."""
+    r = _reader(spark, sf_dir)
+    empty = F.array().cast("array<string>")
+    n = r.first_held(r.found("node")).join(r.type_sets(), "s", "left").select(F.col("s").alias("uri"), F.coalesce("types", empty).alias("types"), empty.alias("orientation_types"), "ord")
+    c = r.first_held(r.found("conduit")).join(r.type_sets(), "s").select(F.col("s").alias("uri"), "types", "ord")
+    n, c = kept(n), kept(c)
+    both = hierarchy.of_class(n, c, r.h, "Put").unionAll(hierarchy.of_class(n, c, r.h, "Hulpstuk"))
+    return both.select(F.when(F.col("what") == 0, "node").otherwise("conduit").alias("what"), "uri")
+
+
+@query("SELECT 'K_' || p_partkey AS class, 'Dt_' || p_partkey AS target FROM part WHERE p_partkey % 3 = 0 AND p_partkey % 4 <> 3")
+def restricted_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = Graph(tables.restriction_triples(spark, sf_dir), TERMS)
+    return restrictions.relations(g, "hasReference", "isAspectOf").select(short("class").alias("class"), short("target").alias("target"))
+
+
+@query("""SELECT b, '_:b' || (row_number() OVER (ORDER BY k, o) - 1) AS new FROM (SELECT '_:' || t || p_partkey AS b, p_partkey AS k, o FROM part, (VALUES ('r', 0), ('e', 1), ('x', 2), ('lo', 3), ('y', 4), ('hi', 5), ('f', 6)) v(t, o) WHERE t <> 'f' OR p_partkey % 4 = 0)""")
+def renumbered_bnodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blank nodes by the order in which they are met."""
+    old = kept(Graph(tables.restriction_triples(spark, sf_dir), TERMS).triples)
+    new = sink.renumbered(old)
+    ends = lambda df: df.filter("kind = 'B'").select("pos", "o").unionAll(df.filter("startswith(s, '_:')").select(F.col("pos") + (1 << 60), "s"))
+    return ends(old).toDF("pos", "b").join(ends(new).toDF("pos", "new"), "pos").select("b", "new").distinct()
+
+
+@query("WITH " + _SPOT + " SELECT '{net}c' || k || '_p' AS s, (x // 1000)::INT AS part FROM spot")
+def points_among_many_polygons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A layer of more polygons than a long has bits."""
+    box = lambda x: [[(x - 500, -1), (x + 499, -1), (x + 499, 90000), (x - 500, 90000), (x - 500, -1)]]
+    layer = [Polygon(f"b{i}", f"b{i}", [box(1000 * i)]) for i in range(97)]
+    got = clip.placed(_geometries(spark, sf_dir, r"c\d+_p$"), layer)
+    return got.select("s", F.explode(clip.Sets(97).members(F.col("mask"))).alias("part"))
+
+
+@query("""WITH """ + _DRAWN + """ SELECT '{net}o' || k || '_l' AS s, '<gml:LineString srsDimension="2"><gml:posList>' || x0 || ' ' || y0 || ' ' || x1 || ' ' || y1 || '</gml:posList></gml:LineString>' AS literal FROM drawn""")
+def lines_cut_and_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every line to the letter after cutting and merging."""
+    rows = tables.order_triples(spark, sf_dir, *tables.sizes(spark, sf_dir))
+    g = Graph(kept(Graph(rows, TERMS).triples), TERMS, distinct=True)
+    back = clip.merge(kept(clip.clip(g, strips())), TERMS)
+    return back.filter((F.col("p") == TERMS.has_value) & (F.col("dt") == T.GML_LITERAL)).select("s", F.col("o").alias("literal"))
+
+
+@query(r"""SELECT '{net}p ' || p_partkey || '>{|' || chr(92) || '`^' || chr(34) || '<é' AS s, 'say ' || chr(34) || p_partkey || chr(34) || chr(10) || chr(9) || chr(92) || 'n' AS o, CASE WHEN p_partkey % 2 = 0 THEN 'nl' END AS lang, CASE WHEN p_partkey % 2 = 1 THEN 'http://e/a b' END AS dt FROM part""")
+def odd_terms_written_and_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names and literals with every character that Turtle must escape, through a folder of Turtle files."""
+    k = F.col("p_partkey").cast("string")
+    odd = F.col("p_partkey") % 2 == 1
+    rows = tables.read(spark, sf_dir, "part").select(
+        F.concat(F.lit(NET + "p "), k, F.lit('>{|\\`^"<é')).alias("s"), F.lit("http://e/p").alias("p"), F.concat(F.lit('say "'), k, F.lit('"\n\t\\n')).alias("o"), F.lit("L").alias("kind"),
+        F.when(~odd, F.lit("nl")).alias("lang"), F.when(odd, F.lit("http://e/a b")).alias("dt"), F.col("p_partkey").cast("long").alias("pos"),
+    )
+    folder = f"{shared_folder(spark)}/sluice-turtle-{uuid.uuid4().hex}"
+    sink.write_folder(rows, folder)
+    return turtle.read(spark, folder).select("s", "o", "lang", "dt")
+
+
+@query("SELECT 'nodes' AS what, (SELECT count(*) FROM customer) + (SELECT count(*) FROM supplier) AS n UNION ALL SELECT 'conduits', count(*) FROM orders UNION ALL SELECT 'geometry_errors', count(*) FROM customer WHERE c_custkey % 53 = 1 AND c_custkey % 50 <> 0")
+def dataset_loaded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A dataset as a whole, with class knowledge from its own triples."""
+    ds = domain.Dataset.load(tables.graph(spark, sf_dir, items=False))
+    size = lambda what, df: df.agg(F.count("*").alias("n")).select(F.lit(what).alias("what"), "n")
+    return size("nodes", ds.nodes).unionAll(size("conduits", ds.conduits)).unionAll(size("geometry_errors", ds.geometry_errors))

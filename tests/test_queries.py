@@ -25,7 +25,7 @@ def value(v):
 
 
 @pytest.mark.skipif(not DATA.exists(), reason="needs the driver's tables")
-@pytest.mark.parametrize("name", ["selected_per_class", "triple_count_dedup", "objects_ordered", "holders_both_directions", "neighbours_symmetric", "class_closure", "types_union", "falls_under", "attributes_of_object", "provenance_first_nonempty", "endpoint_binding_with_repair", "climb_to_node", "facet_range", "class_function_inherited", "gml_kind_dim_z", "replace_coordinates", "aspect_date_parse", "point_in_polygon_or_nearest", "line_cut_pieces", "block_owner_of_bnode", "block_masks", "turtle_roundtrip_diff"])
+@pytest.mark.parametrize("name", sorted(plans.QUERIES))
 def test_query(spark, duck, name):
     df = plans.QUERIES[name](spark, str(DATA))
     want = duck.sql(plans.SQL[name])
