@@ -12,7 +12,7 @@ A symbol also knows the range of words that its making depends on. Wherever a wi
 the symbols whose range lies within it stand there too, under the same names. So a symbol that occurs
 once, or whose range is longer than a window, can't be inside a repeat: it gets no name, and what is
 left on either side of it goes on alone. A window that holds the range of a symbol that occurs once
-doesn't occur elsewhere. The other windows have shared symbols only; an exchange of 128 bits over all
+doesn't occur elsewhere; it is closed, and symbols that lie in closed windows only go no further. The other windows have shared symbols only; an exchange of 128 bits over all
 their words verifies them, and words under a window that occurs twice or more go. No window is dropped
 unverified because of its count, and none is compared with others pairwise.
 
@@ -44,7 +44,6 @@ WINDOW = 35
 ROUNDS = 3
 #: Stands for a null doc_id inside chunks.
 NO_ID = -(1 << 63)
-_FAR = np.int64(1) << 40
 
 
 class Level:
@@ -53,7 +52,9 @@ class Level:
     def __init__(self, words: Words):
         n = len(words.hash)
         self.name = np.zeros(n, np.uint64)
-        self.lo = np.arange(n)
+        narrow = n < 1 << 28
+        self.far = 1 << (29 if narrow else 40)  # beyond any text, and twice as far is still a number
+        self.lo = np.arange(n, dtype=np.int32 if narrow else np.int64)
         self.hi = self.lo + 1
         self.last = np.zeros(n, bool)
         self.last[words.first[1:][np.diff(words.first) > 0] - 1] = True
@@ -70,11 +71,11 @@ class Level:
         """Adds the ranges of the symbols before, and after, to those of the symbols marked; beyond reach where none follows on."""
         lo, hi = self.lo.copy(), self.hi.copy()
         look = np.ones(len(lo), bool) & before
-        lo[look & self.leading] = -_FAR
+        lo[look & self.leading] = -self.far
         at = np.flatnonzero(look & ~self.leading)
         lo[at], hi[at] = np.minimum(lo[at], self.lo[at - 1]), np.maximum(hi[at], self.hi[at - 1])
         look = np.ones(len(lo), bool) & after
-        hi[look & self.last] = _FAR
+        hi[look & self.last] = self.far
         at = np.flatnonzero(look & ~self.last)
         lo[at], hi[at] = np.minimum(lo[at], self.lo[at + 1]), np.maximum(hi[at], self.hi[at + 1])
         self.lo, self.hi = lo, hi
@@ -122,7 +123,10 @@ class Recompression:
         self.words = words_of(c.offsets, c.raw, lanes=2)
         self.window, n = window, len(self.words.hash)
         self.bits = (window + 1).bit_length()
-        self.once = np.zeros(n + 1, np.int64)
+        self.once = np.zeros(n + 1, np.int32)
+        self.whole = np.zeros(n, bool)  # windows that end within their text
+        for a, b in zip(self.words.first[:-1].tolist(), self.words.first[1:].tolist(), strict=True):
+            self.whole[a : max(a, b - window + 1)] = True
         level = Level(self.words)
         keys = Keys.of(self.words.hash, self.words.other)
         new = np.ones(n, bool)
@@ -133,9 +137,9 @@ class Recompression:
             names[new] = answers[r][keys.place]
             self._alone(level, names == 0)
             level.name = names
-            level.keep(names != 0)
             if r == rounds:
                 break
+            level.keep((names != 0) & self._inside_open(level))
             first, second, new = level.blocks(r, self.bits)
             fits = level.hi - level.lo <= window
             level.keep(fits)
@@ -150,10 +154,13 @@ class Recompression:
         np.add.at(self.once, np.maximum(hi - self.window, 0), 1)
         np.add.at(self.once, lo + 1, -1)
 
+    def _inside_open(self, level: Level) -> np.ndarray:
+        """Which symbols have their range inside a window that is still open: what closed windows hold can't be in a repeat."""
+        before = np.concatenate([[0], np.cumsum(self.open_windows(), dtype=np.int32)])
+        return before[level.lo + 1] > before[np.maximum(level.hi - self.window, 0)]
+
     def open_windows(self) -> np.ndarray:
-        start = np.arange(len(self.words.hash))
-        whole = start + self.window <= self.words.first[1:][self.words.doc]
-        return whole & (np.cumsum(self.once[:-1]) == 0)
+        return self.whole & (np.cumsum(self.once[:-1]) == 0)
 
 
 def window_keys(words: Words, window: int, starts: np.ndarray) -> Keys:
