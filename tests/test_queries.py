@@ -1,6 +1,7 @@
 """Every query with SQL gives what DuckDB gives, on the smallest tables."""
 
 from collections import Counter
+from decimal import Decimal
 from pathlib import Path
 
 import duckdb
@@ -21,7 +22,8 @@ def duck():
 
 
 def value(v):
-    return f"{v:.6f}" if isinstance(v, float) else str(v)
+    """Decimals count as the numbers that they are."""
+    return f"{v:.6f}" if isinstance(v, float | Decimal) else str(v)
 
 
 @pytest.mark.skipif(not DATA.exists(), reason="needs the driver's tables")
