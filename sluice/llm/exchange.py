@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluice.llm.shared import at_end, binary_views, lean, new_path, remove, slices
+from sluice.llm.shared import at_end, binary_views, lean, new_path, remove, slices, trim
 
 #: Bytes of text in a chunk (a longer document is a chunk of its own).
 CHUNK_BYTES = 1 << 20
@@ -144,6 +144,7 @@ class ChunkTable:
             for batch in batches:
                 for i in range(batch.num_rows):
                     yield from f(Chunk(batch.slice(i, 1).to_pylist()[0]))
+            trim()
 
         return self.frame().mapInArrow(run, schema)
 
@@ -163,6 +164,7 @@ class ChunkTable:
                 for i in range(batch.num_rows):
                     row = batch.slice(i, 1).to_pylist()[0]
                     yield from f(Chunk(row), row)
+            trim()
 
         return joined.mapInArrow(run, schema)
 

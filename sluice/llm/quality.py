@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sluice.llm.langid import decoded, passes
-from sluice.llm.shared import lean, slices
+from sluice.llm.shared import lean, slices, trim
 
 BUCKETS = 1 << 17
 ORDERS = (2, 3)
@@ -224,6 +224,7 @@ def accepted(docs: DataFrame, model: Model, threshold: float = ACCEPT) -> DataFr
             if batch.num_rows:
                 texts = [t or "" for t in batch.column(batch.schema.get_field_index("text")).to_pylist()]
                 yield batch.filter(pa.array(shared.value.score(texts) >= threshold))
+        trim()
 
     return docs.mapInArrow(run, docs.schema)
 
