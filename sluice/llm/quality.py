@@ -6,8 +6,9 @@ coordinate descent. The model is one weight per bucket (ratio times hinge weight
 the slope and offset of a logistic curve that turns margins into probabilities; it is broadcast.
 
 The fit takes at most `sample` labelled rows, those with the least md5 of their id: the sample is
-bounded so that the features fit in the driver's memory, and doesn't depend on partitioning. The cost of
-the hinge loss is chosen among COSTS by cross-validation inside those rows.
+bounded so that the features fit in the driver's memory, and doesn't depend on partitioning. The orders of
+the n-grams and the cost of the hinge loss are chosen among ORDERS and COSTS by cross-validation inside
+those rows. Descent goes on until no row's multiplier moves any more, within a tolerance.
 
 Results in special cases: a null text counts as empty, an empty text is scored by the offset alone;
 without labels of both classes every score is the share of label 1 (0.5 without labels). Labels without
@@ -25,19 +26,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sluice.llm.langid import decoded, passes
-from sluice.llm.shared import lean, slices, trim
+from sluice.llm.shared import lean, scratch, slices, trim, written
 
 BUCKETS = 1 << 17
-ORDERS = (2, 3)
+#: Orders of n-grams to choose from.
+ORDERS = ((1, 2), (2, 3), (3, 4))
 #: Labelled rows that a fit takes at most.
 SAMPLE = 8000
 ACCEPT = 0.7
-#: Costs of the hinge loss to choose from, and the cross-validation: folds, rows at most, rounds of a fit.
+#: Costs of the hinge loss to choose from, and the cross-validation: folds, rows at most.
 COSTS = (0.1, 1.0, 10.0)
-FOLDS, FOLD_ROWS, FOLD_ROUNDS = 3, 3000, 8
+FOLDS, FOLD_ROWS = 3, 3000
+#: Descent ends when a round moves no multiplier by more than this share of the cost (of a fit, of a fold's fit), or after ROUNDS.
+STILL, FOLD_STILL, ROUNDS = 1e-3, 1e-2, 1000
 
 
-def features(texts: list[str], buckets: int = BUCKETS, orders: tuple[int, ...] = ORDERS) -> tuple[np.ndarray, np.ndarray]:
+def features(texts: list[str], buckets: int = BUCKETS, orders: tuple[int, ...] = ORDERS[1]) -> tuple[np.ndarray, np.ndarray]:
     """Distinct buckets of each text, laid end to end, and the n + 1 places where texts begin. Case is kept."""
     joined = " " + "  ".join(texts) + " "
     points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
@@ -98,13 +102,14 @@ class Model:
         return out
 
 
-def fit_rows(texts: list[str], labels: np.ndarray, buckets: int = BUCKETS, orders: tuple[int, ...] = ORDERS) -> Model:
+def fit_rows(texts: list[str], labels: np.ndarray, buckets: int = BUCKETS, orders: tuple[int, ...] = ORDERS[1]) -> Model:
     y = np.where(np.asarray(labels) == 1, 1.0, -1.0)
     if not len(y) or (y > 0).all() or (y < 0).all():
         share = (float((y > 0).mean()) if len(y) else 0.5) * 0.98 + 0.01
         return Model(np.zeros(buckets), 0.0, 1.0, float(np.log(share / (1 - share))), orders)
     parts = [features(texts[i:j], buckets, orders) for i, j in passes(texts)]
-    return fit_features(np.concatenate([f for f, _ in parts]), np.concatenate([np.diff(e) for _, e in parts]), y, buckets, orders)
+    flat, lens = np.concatenate([f for f, _ in parts]), np.concatenate([np.diff(e) for _, e in parts])
+    return fit_features(flat, lens, y, buckets, orders, chosen_cost(flat, np.concatenate([[0], np.cumsum(lens)]), y, buckets))
 
 
 def _ratios(flat: np.ndarray, own: np.ndarray, buckets: int) -> np.ndarray:
@@ -113,8 +118,8 @@ def _ratios(flat: np.ndarray, own: np.ndarray, buckets: int) -> np.ndarray:
     return np.log((p / p.sum()) / (q / q.sum()))
 
 
-def chosen_cost(flat: np.ndarray, ends: np.ndarray, y: np.ndarray, buckets: int, costs: tuple[float, ...] = COSTS) -> float:
-    """The cost whose fits judge most rows of the folds that they didn't see rightly, classes counting alike; of equals the least.
+def fold_hits(flat: np.ndarray, ends: np.ndarray, y: np.ndarray, buckets: int, costs: tuple[float, ...] = COSTS) -> np.ndarray:
+    """For each cost the share of the folds' unseen rows that its fits judge rightly, summed over classes and folds.
 
     Rows go to folds in turn, up to FOLD_ROWS of them, spread over all. Ratios are those of the rows fitted.
     """
@@ -133,19 +138,24 @@ def chosen_cost(flat: np.ndarray, ends: np.ndarray, y: np.ndarray, buckets: int,
         scale = np.repeat(1 / np.sqrt(np.maximum(size, 1)), size)
         unknown, at = part(asked), np.concatenate([[0], np.cumsum(lens[asked])])
         for c, cost in enumerate(costs):
-            w, offset = dual_descent(known, np.concatenate([[0], np.cumsum(size)]), own, ratio, scale, cost, FOLD_ROUNDS)
+            w, offset = dual_descent(known, np.concatenate([[0], np.cumsum(size)]), own, ratio, scale, cost, still=FOLD_STILL)
             run = np.concatenate([[0.0], np.cumsum((w * ratio)[unknown])])
             right = ((run[at[1:]] - run[at[:-1]]) / np.sqrt(np.maximum(lens[asked], 1)) + offset > 0) == (other > 0)
             hits[c] += right[other > 0].mean() + right[other < 0].mean()
-    return costs[int(hits.argmax())]
+    return hits
+
 
+def chosen_cost(flat: np.ndarray, ends: np.ndarray, y: np.ndarray, buckets: int, costs: tuple[float, ...] = COSTS) -> float:
+    """The cost with the most hits; of equals the least."""
+    return costs[int(fold_hits(flat, ends, y, buckets, costs).argmax())]
 
-def fit_features(flat: np.ndarray, lens: np.ndarray, y: np.ndarray, buckets: int, orders: tuple[int, ...]) -> Model:
+
+def fit_features(flat: np.ndarray, lens: np.ndarray, y: np.ndarray, buckets: int, orders: tuple[int, ...], cost: float) -> Model:
     ends = np.concatenate([[0], np.cumsum(lens)])
     ratio = _ratios(flat, np.repeat(y > 0, lens), buckets)
     # Rows have the length one before scaling, as long texts have more n-grams.
     scale = np.repeat(1 / np.sqrt(np.maximum(lens, 1)), lens)
-    w, offset = dual_descent(flat, ends, y, ratio, scale, chosen_cost(flat, ends, y, buckets))
+    w, offset = dual_descent(flat, ends, y, ratio, scale, cost)
     weights = w * ratio
     run = np.concatenate([[0.0], np.cumsum(weights[flat])])
     margins = (run[ends[1:]] - run[ends[:-1]]) / np.sqrt(np.maximum(lens, 1)) + offset
@@ -153,7 +163,7 @@ def fit_features(flat: np.ndarray, lens: np.ndarray, y: np.ndarray, buckets: int
     return Model(weights, offset, slope, shift, orders)
 
 
-def dual_descent(flat: np.ndarray, ends: np.ndarray, y: np.ndarray, ratio: np.ndarray, scale: np.ndarray, cost: float = 10.0, rounds: int = 20) -> tuple[np.ndarray, float]:
+def dual_descent(flat: np.ndarray, ends: np.ndarray, y: np.ndarray, ratio: np.ndarray, scale: np.ndarray, cost: float = 10.0, rounds: int = ROUNDS, still: float = STILL) -> tuple[np.ndarray, float]:
     """Weights and offset of the linear SVM with hinge loss; a row's values are ratio[bucket] * scale."""
     w, offset = np.zeros(len(ratio)), 0.0
     values = ratio[flat] * scale
@@ -173,18 +183,33 @@ def dual_descent(flat: np.ndarray, ends: np.ndarray, y: np.ndarray, ratio: np.nd
                 offset += step
                 moved = max(moved, abs(step))
                 alpha[i] = new
-        if moved < 1e-3 * cost:
+        if moved < still * cost:
             break
     return w, offset
 
 
-def train(docs: DataFrame, labels: DataFrame, learn: Column, sample: int = SAMPLE, buckets: int = BUCKETS, orders: tuple[int, ...] = ORDERS) -> Model:
-    """labels: doc_id and quality (rows with another value than 0 or 1 are left out); learn: a condition on doc_id."""
-    lean(docs.sparkSession)
+def train(docs: DataFrame, labels: DataFrame, learn: Column, sample: int = SAMPLE, buckets: int = BUCKETS, orders: tuple[tuple[int, ...], ...] = ORDERS) -> Model:
+    """labels: doc_id and quality (rows with another value than 0 or 1 are left out); learn: a condition on doc_id; orders: those to choose from."""
+    spark = lean(docs.sparkSession)
     known = labels.filter(F.col("quality").isin(0, 1)).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).filter(learn)
     known = known.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("quality").alias("quality"), F.min("quality").alias("least")).filter("quality = least").drop("least")
     chosen = known.withColumn("place", F.md5(F.col("doc_id").cast("string"))).orderBy("place", "doc_id").limit(sample).drop("place")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).join(F.broadcast(chosen), "doc_id")
+    with scratch(spark):
+        texts = written(texts.select("doc_id", "quality", "text"), "labelled")
+        best, model = -1.0, None
+        for some in orders:
+            y, flat, lens = _digested(texts, buckets, some)
+            if not len(y) or (y > 0).all() or (y < 0).all():
+                return fit_rows([""] * len(y), (y > 0).astype(int), buckets, some)
+            hits = fold_hits(flat, np.concatenate([[0], np.cumsum(lens)]), y, buckets)
+            if hits.max() > best:
+                best, model = hits.max(), (flat, lens, y, buckets, some, COSTS[int(hits.argmax())])
+        return fit_features(*model)
+
+
+def _digested(texts: DataFrame, buckets: int, orders: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the labelled texts: class (1 or -1), features laid end to end, numbers of them. Rows are in an order of their own contents."""
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, offsets, raw in slices(batches):
@@ -194,12 +219,12 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, sample: int = SAMPL
                 rows = [flat[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), pa.array(rows, pa.binary())], names=["doc_id", "quality", "buckets"])
 
-    held = texts.select("doc_id", "quality", "text").mapInArrow(digest, "doc_id long, quality int, buckets binary").toArrow().sort_by("doc_id")
-    y = np.where(held.column("quality").to_numpy() == 1, 1.0, -1.0)
-    if not len(y) or (y > 0).all() or (y < 0).all():
-        return fit_rows([], np.ones(0)) if not len(y) else fit_rows([""] * len(y), (y > 0).astype(int), buckets, orders)
-    rows = [np.frombuffer(b, np.int32) for b in held.column("buckets").to_pylist()]
-    return fit_features(np.concatenate(rows), np.array([len(r) for r in rows]), y, buckets, orders)
+    held = texts.mapInArrow(digest, "doc_id long, quality int, buckets binary").toArrow()
+    ids, found = held.column("doc_id").to_numpy(), held.column("buckets").to_pylist()
+    order = sorted(range(len(ids)), key=lambda i: (ids[i], found[i]))
+    rows = [np.frombuffer(found[i], np.int32) for i in order]
+    y = np.where(held.column("quality").to_numpy()[order] == 1, 1.0, -1.0) if rows else np.zeros(0)
+    return y, np.concatenate([np.zeros(0, np.int32), *rows]), np.array([len(r) for r in rows], np.int64)
 
 
 def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ()) -> DataFrame:

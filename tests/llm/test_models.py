@@ -94,3 +94,15 @@ def test_cost_is_chosen_without_the_held_out_rows(spark):
     y = np.where(np.arange(300) % 2 == 1, 1.0, -1.0)
     assert quality.chosen_cost(flat, ends, y, quality.BUCKETS) in quality.COSTS
     assert quality.chosen_cost(flat, ends, np.ones(300), quality.BUCKETS) == quality.COSTS[0]
+
+
+def test_orders_are_chosen_by_what_folds_tell(spark):
+    """The classes have the same letters, in another order."""
+    rng = random.Random(24)
+    words = lambda k: " ".join(rng.choice(["abc", "bca", "cab"] if k % 2 else ["cba", "acb", "bac"]) for _ in range(6))
+    docs = spark.createDataFrame([(i, words(i)) for i in range(120)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(120)], "doc_id long, quality int")
+    model = quality.train(docs, labels, F.lit(True), orders=((1,), (3,)))
+    assert model.orders == (3,)
+    again = quality.train(docs.repartition(5), labels, F.lit(True), orders=((1,), (3,)))
+    assert (again.weights == model.weights).all() and again.offset == model.offset
