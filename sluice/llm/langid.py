@@ -3,10 +3,13 @@
 Texts are lower-cased code point sequences; every n-gram of the given orders is hashed into
 `buckets`. Training sums counts by (language, bucket) over all training documents, each task
 sending one row per pair it has seen. The log-probability matrix has a fixed number of rows and a
-column per language, and is broadcast. Scoring gathers the matrix rows of a batch's n-grams and
+column per language, and is broadcast; train raises if there are so many languages that it would have
+more than MODEL_BYTES. Scoring gathers the matrix rows of a batch's n-grams and
 sums them by document.
 
-Results in special cases: a null text, or one without a letter, is `und` with score 0; a text of one
+Results in special cases: every row is judged, and counts in training, as often as it occurs, whatever
+its id; a null id stays null; texts of any length are taken whole; a null text, or one without a letter,
+is `und` with score 0; a text of one
 letter is judged by its padding n-grams; without any training document every text is `und`; ties go
 to the language that sorts first.
 """
@@ -26,6 +29,8 @@ from sluice.llm.shared import lean, slices
 BUCKETS = 1 << 15
 ORDERS = (2, 3)
 UNDETERMINED = "und"
+#: Bytes of a matrix at most.
+MODEL_BYTES = 256 << 20
 #: Code points of a numpy pass.
 PASS = 1 << 18
 _LETTER = regex.compile(r"\p{L}")
@@ -82,6 +87,9 @@ def train(docs: DataFrame, buckets: int = BUCKETS, orders: tuple[int, ...] = ORD
     """Languages and the (buckets, languages) matrix of log probabilities, from text and non-null lang of docs."""
     lean(docs.sparkSession)
     frame = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", F.col("text").cast("binary").alias("text"))
+    languages, most = frame.select("lang").distinct().count(), MODEL_BYTES // (4 * buckets)
+    if languages > most:
+        raise ValueError(f"{languages} languages in {buckets} buckets, at most {most}")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}

@@ -106,3 +106,12 @@ def test_orders_are_chosen_by_what_folds_tell(spark):
     assert model.orders == (3,)
     again = quality.train(docs.repartition(5), labels, F.lit(True), orders=((1,), (3,)))
     assert (again.weights == model.weights).all() and again.offset == model.offset
+
+
+def test_more_languages_than_a_model_holds(spark, monkeypatch):
+    docs = spark.createDataFrame([("a", "aa"), ("b", "bb"), ("c", None)], "text string, lang string")
+    monkeypatch.setattr(langid, "MODEL_BYTES", 4 * langid.BUCKETS * 2)
+    assert langid.train(docs)[0] == ["aa", "bb"]
+    monkeypatch.setattr(langid, "MODEL_BYTES", 4 * langid.BUCKETS)
+    with pytest.raises(ValueError, match="2 languages"):
+        langid.train(docs)
