@@ -39,9 +39,10 @@ def op3_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     vectors = topk.quantized(_table(spark, sf_dir, "embeddings"))
     index = topk.Index(vectors)
-    out = index.search(vectors.filter(F.col("vec_id") % 100 == 0))
-    index.drop()
-    return out
+    try:
+        return index.search(vectors.filter(F.col("vec_id") % 100 == 0))
+    finally:
+        index.drop()
 
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

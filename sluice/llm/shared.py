@@ -74,7 +74,7 @@ _FREE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 def scratch(spark: SparkSession) -> Iterator[None]:
     """Tables that are written inside go when it ends, however it ends; a result is written with keep_written.
 
-    Inside, Spark deletes a query's shuffle files when the query is done.
+    Inside, Spark deletes a query's shuffle files when the query is done. May be nested.
     """
     paths: list[str] = []
     ends: list[Callable[[], None]] = []
@@ -101,8 +101,10 @@ def at_end(f: Callable[[], None]) -> None:
 
 
 def keep_written(df: DataFrame, what: str) -> DataFrame:
-    """As written, for what outlives a scratch."""
+    """As written, for what outlives the scratch it is made in; it goes with the scratch around that, if there is one."""
     path = new_path(df.sparkSession, what)
+    for paths in _tracked[:-1]:
+        paths.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -18,13 +18,14 @@ Products are exact while they fit 64 bits.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sluice.llm.shared import remove, new_path
+from sluice.llm.shared import keep_written, new_path, remove, scratch, written
 
 SCALE = 1024
 PIVOTS = 32
@@ -160,11 +161,14 @@ class Index:
 
     def search(self, queries: DataFrame, k: int = 10) -> DataFrame:
         """queries: vec_id, vec. query_id, rank, vec_id, score."""
+        spark = queries.sparkSession
+        with scratch(spark):
+            return keep_written(self._found(queries.distinct(), k), "nearest")
+
+    def _found(self, queries: DataFrame, k: int) -> DataFrame:
         spark = queries.sparkSession
         size = max(1, BLOCK_BYTES // (8 * max(1, self.dim)))
         parts, last = [], None
-        queries = queries.distinct()
-        paths = []
         while True:
             rest = queries if last is None else queries.filter(F.col("vec_id") > last)
             block = rest.orderBy("vec_id", "vec").limit(size).collect()
@@ -178,14 +182,11 @@ class Index:
             for i, r in enumerate(block):
                 matrix[i, : len(r[1])] = r[1]
             floor = self._floors(ids, matrix, k)
-            path = new_path(spark, "found")
-            self._block(ids, matrix, floor, k).write.parquet(path)
-            paths.append(path)
-        if not paths:
+            parts.append(written(self._block(ids, matrix, floor, k), "found"))
+        if not parts:
             return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-        parts = spark.read.schema("q long, query_id long, vec_id long, score long").parquet(*paths)
         order = Window.partitionBy("query_id", "q").orderBy(F.desc("score"), "vec_id")
-        return parts.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+        return reduce(DataFrame.unionAll, parts).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
     def _floors(self, ids: np.ndarray, matrix: np.ndarray, k: int) -> np.ndarray:
         floor = np.full(len(ids), np.iinfo(np.int64).min)

@@ -104,6 +104,17 @@ def test_stages(spark):
         docs = out
 
 
+@pytest.mark.skipif(not DATA.exists(), reason="needs the driver's tables")
+def test_run_leaves_its_result_alone(spark, tmp_path, monkeypatch):
+    import corpus_pipeline as p
+    from sluice.llm import shared
+
+    monkeypatch.setattr(shared, "shared_dir", lambda spark: f"file://{tmp_path}")
+    out = p.run(spark, str(DATA))
+    assert out.columns[:3] == ["doc_id", "piece", "start"] and out.count() > 0
+    assert {f.name.split("-")[1] for f in tmp_path.iterdir()} == {"packing"}
+
+
 def test_registry(spark):
     import __spark_entry__ as entry
 
