@@ -1,7 +1,8 @@
 """A corpus made ready for training, in five stages.
 
 Each stage takes (spark, docs, sf_dir), works on all of docs, and returns documents again, the last
-one packed pieces. Stages are written as Parquet and read again before the next.
+one packed pieces. Stages are written as Parquet and read again before the next; what the last one
+wrote stays.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sluice.llm import jaccard, mixing, packing, quality, substring
-from sluice.llm.shared import written
+from sluice.llm.shared import new_path, remove, scratch
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -66,6 +67,14 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    held = None
     for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), name)
+        with scratch(spark):  # what a stage wrote for itself goes with it
+            out = stage(spark, docs, sf_dir)
+            path = new_path(spark, name)
+            out.write.parquet(path)
+        docs = spark.read.schema(out.schema).parquet(path)
+        if held:
+            remove(spark, held)
+        held = path
     return docs
