@@ -167,10 +167,10 @@ def dual_descent(flat: np.ndarray, ends: np.ndarray, y: np.ndarray, ratio: np.nd
     """Weights and offset of the linear SVM with hinge loss; a row's values are ratio[bucket] * scale."""
     w, offset = np.zeros(len(ratio)), 0.0
     values = ratio[flat] * scale
-    norms = np.add.reduceat(np.append(values**2, 0.0), ends[:-1]) * (np.diff(ends) > 0) + 1.0
+    bounds = ends.tolist()
+    norms = [1.0 + float(v @ v) for v in (values[i:j] for i, j in zip(bounds[:-1], bounds[1:], strict=True))]
     alpha = np.zeros(len(y))
     rng = np.random.Generator(np.random.PCG64(1))
-    bounds = ends.tolist()
     for _ in range(rounds):
         moved = 0.0
         for i in rng.permutation(len(y)).tolist():
@@ -193,19 +193,21 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, sample: int = SAMPL
     spark = lean(docs.sparkSession)
     known = labels.filter(F.col("quality").isin(0, 1)).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).filter(learn)
     known = known.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("quality").alias("quality"), F.min("quality").alias("least")).filter("quality = least").drop("least")
-    chosen = known.withColumn("place", F.md5(F.col("doc_id").cast("string"))).orderBy("place", "doc_id").limit(sample).drop("place")
+    chosen = known.withColumn("place", F.md5(F.col("doc_id").cast("string"))).orderBy("place", "doc_id").limit(sample)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).join(F.broadcast(chosen), "doc_id")
     with scratch(spark):
-        texts = written(texts.select("doc_id", "quality", "text"), "labelled")
-        best, model = -1.0, None
+        texts = written(texts.select("doc_id", "quality", "text", "place"), "labelled")
+        edge = texts.select("place").distinct().orderBy("place").limit(FOLD_ROWS).agg(F.max("place")).first()[0]
+        best, choice = -1.0, None
         for some in orders:
-            y, flat, lens = _digested(texts, buckets, some)
-            if not len(y) or (y > 0).all() or (y < 0).all():
-                return fit_rows([""] * len(y), (y > 0).astype(int), buckets, some)
+            y, flat, lens = _digested(texts.filter(F.col("place") <= F.lit(edge)), buckets, some)
             hits = fold_hits(flat, np.concatenate([[0], np.cumsum(lens)]), y, buckets)
             if hits.max() > best:
-                best, model = hits.max(), (flat, lens, y, buckets, some, COSTS[int(hits.argmax())])
-        return fit_features(*model)
+                best, choice = hits.max(), (some, COSTS[int(hits.argmax())])
+        y, flat, lens = _digested(texts, buckets, choice[0])
+        if not len(y) or (y > 0).all() or (y < 0).all():
+            return fit_rows([""] * len(y), (y > 0).astype(int), buckets, choice[0])
+        return fit_features(flat, lens, y, buckets, *choice)
 
 
 def _digested(texts: DataFrame, buckets: int, orders: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -219,7 +221,7 @@ def _digested(texts: DataFrame, buckets: int, orders: tuple[int, ...]) -> tuple[
                 rows = [flat[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), pa.array(rows, pa.binary())], names=["doc_id", "quality", "buckets"])
 
-    held = texts.mapInArrow(digest, "doc_id long, quality int, buckets binary").toArrow()
+    held = texts.select("doc_id", "quality", "text").mapInArrow(digest, "doc_id long, quality int, buckets binary").toArrow()
     ids, found = held.column("doc_id").to_numpy(), held.column("buckets").to_pylist()
     order = sorted(range(len(ids)), key=lambda i: (ids[i], found[i]))
     rows = [np.frombuffer(found[i], np.int32) for i in order]
