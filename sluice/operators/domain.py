@@ -11,13 +11,13 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import cached_property
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sluice import terms as T
 from sluice.errors import ContentError
 from sluice.functions import gml
-from sluice.functions.scalars import date_of, number, short_name
+from sluice.functions.scalars import number, short_name
 from sluice.operators import hierarchy as hierarchies
 from sluice.operators import network as networks
 from sluice.operators import restrictions as ontologies
@@ -29,127 +29,125 @@ ASPECT = "struct<kind:string,value:string,reference:string,provenance:struct<met
 
 
 class Reader:
-    """The views from which nodes and conduits are made; each is a lazy DataFrame."""
+    """The views from which nodes and conduits are made; each is a lazy DataFrame over the graph's property table."""
 
     def __init__(self, graph: Graph, hierarchy: Hierarchy | None = None):
         self.g, self.t = graph, graph.terms
         self.h = hierarchy
+        self.p = graph.properties
 
     @cached_property
     def types(self) -> DataFrame:
-        return self.g.types()
-
-    @cached_property
-    def values(self) -> DataFrame:
-        return self.g.value(self.t.has_value).select("s", F.col("o").alias("value"))
-
-    @cached_property
-    def references(self) -> DataFrame:
-        return self.g.value(self.t.has_reference).select("s", F.col("o").alias("reference"))
-
-    @cached_property
-    def aspects(self) -> DataFrame:
-        return self.g.aspects()
+        """(s, type, pos)."""
+        return self.p.subjects.select("s", F.explode("types").alias("t")).select("s", "t.type", "t.pos")
 
     @cached_property
     def parts(self) -> DataFrame:
-        return self.g.parts()
+        return self.p.parts.drop("types")
+
+    def _below(self, role: str) -> DataFrame:
+        return self.h.hint(self.h.below(role)) if self.h else F.broadcast(self.g.triples.sparkSession.createDataFrame([(self.t.iri(role),)], "class string"))
 
-    def _typed(self, *classes: str) -> DataFrame:
-        return self.g.of_types(*classes)
+    def _of_role(self, rows: DataFrame, role: str, *keys: str) -> DataFrame:
+        """rows (types, keys): the keys of those with a class below the role, with `at`, the first of such classes by name, then place."""
+        typed = rows.select(*keys, F.explode("types").alias("t")).select(*keys, F.col("t.type").alias("class"), "t.pos")
+        return typed.join(self._below(role), "class", "left_semi").groupBy(*keys).agg(F.min(F.struct("class", "pos")).alias("at"))
 
     def provenance(self) -> DataFrame:
-        """(s, provenance): of the first provenance aspect of s that says anything. Inside one, the last method and the last date count."""
-        holders = self.aspects.join(self._typed(T.PROVENANCE).withColumnRenamed("s", "member"), "member", "left_semi").select(F.col("holder").alias("s"), F.col("member").alias("inw"), F.col("ord").alias("at"))
-        inner = self.aspects.select(F.col("holder").alias("inw"), F.col("member").alias("part"), "ord").join(holders.select("inw").distinct(), "inw", "left_semi")
-        kind = self.types.filter(F.col("type").isin(self.t.iri(T.METHOD), self.t.iri(T.METHOD_DATE))).groupBy(F.col("s").alias("part")).agg(F.max(F.col("type") == self.t.iri(T.METHOD)).alias("is_method"))
-        inner = inner.join(kind, "part").join(self.references.withColumnRenamed("s", "part"), "part", "left").join(self.values.withColumnRenamed("s", "part"), "part", "left")
-        said = inner.groupBy("inw").agg(
-            F.max_by(F.struct(short_name(F.col("reference")).alias("x")), F.when(F.col("is_method"), F.col("ord")))["x"].alias("method"),
-            F.max_by(F.struct(date_of(F.col("value")).alias("x")), F.when(~F.col("is_method"), F.col("ord")))["x"].alias("date"),
-        )
-        full = said.filter("method is not null or date is not null").select("inw", F.struct("method", "date").alias("provenance"))
-        return holders.join(full, "inw").groupBy("s").agg(F.min_by("provenance", "at").alias("provenance"))
+        return self.p.provenance
+
+    def _first(self, name: str) -> Column:
+        """Of a holder's aspects the first of a class that has a value, as an aggregate: value and provenance."""
+        return F.min_by(F.struct("value", "provenance"), F.when(self.p.is_a(name) & F.col("value").isNotNull(), F.col("ord")))
 
     def of_class(self, name: str) -> DataFrame:
-        """(s, aspect, ord): the first aspect of a class that has a value, with its provenance."""
-        members = self.aspects.join(self._typed(name).withColumnRenamed("s", "member"), "member", "left_semi").join(self.values.withColumnRenamed("s", "member"), "member")
-        first = members.groupBy(F.col("holder").alias("s")).agg(F.min_by(F.struct("member", "value"), "ord").alias("f"))
-        out = first.select("s", F.col("f.member").alias("member"), F.col("f.value").alias("value")).join(self.provenance().withColumnRenamed("s", "member"), "member", "left")
-        return out.select("s", F.struct(F.lit(short_of(name)).alias("kind"), "value", F.lit(None).cast("string").alias("reference"), "provenance").alias("aspect"))
+        """(s, aspect): the first aspect of a class that has a value, with its provenance."""
+        return self._levels(name).select("s", "aspect")
+
+    def _levels(self, name: str) -> DataFrame:
+        """of_class, and point_provenance: that of the first point with a value beside it."""
+        first = self.p.held.filter(self.p.is_a(name, T.POINT)).groupBy(F.col("holder").alias("s")).agg(self._first(name).alias("f"), self._first(T.POINT).alias("point")).filter("f is not null")
+        aspect = F.struct(F.lit(short_of(name)).alias("kind"), F.col("f.value").alias("value"), F.lit(None).cast("string").alias("reference"), F.col("f.provenance").alias("provenance"))
+        return first.select("s", aspect.alias("aspect"), F.col("point.provenance").alias("point_provenance"))
 
     def attributes(self) -> DataFrame:
         """(s, aspects): every aspect with a value or a reference, once for each of its classes."""
-        a = self.aspects.select(F.col("holder").alias("s"), "member", "ord")
-        a = a.join(self.values.withColumnRenamed("s", "member"), "member", "left").join(self.references.withColumnRenamed("s", "member"), "member", "left").filter("value is not null or reference is not null")
-        a = a.join(self.types.select(F.col("s").alias("member"), "type", F.col("pos").alias("tpos")), "member").join(self.provenance().withColumnRenamed("s", "member"), "member", "left")
-        one = F.struct(short_name(F.col("type")).alias("kind"), "value", short_name(F.col("reference")).alias("reference"), "provenance")
-        rows = a.select("s", F.struct("ord", "tpos", one.alias("a")).alias("x"))
-        return rows.groupBy("s").agg(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["a"]).alias("aspects"))
+        a = self.p.held.filter("(value is not null or reference is not null) and size(types) > 0").withColumn("reference", short_name(F.col("reference")))
+        each = F.transform("types", lambda t: F.struct(short_name(t["type"]).alias("kind"), F.col("value"), F.col("reference"), F.col("provenance")))
+        rows = a.select(F.col("holder").alias("s"), F.struct("ord", each.alias("all")).alias("x"))
+        return rows.groupBy("s").agg(F.flatten(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["all"])).alias("aspects"))
 
     def geometry(self, name: str) -> DataFrame:
         """(o, geom, zs, error, multipart) of orientations o: the first aspect of the class that has a literal counts, readable or not."""
-        lit = self.aspects.join(self._typed(name).withColumnRenamed("s", "member"), "member", "left_semi").join(self.values.withColumnRenamed("s", "member"), "member")
+        lit = self.p.held.filter(self.p.is_a(name) & F.col("value").isNotNull())
         first = lit.groupBy(F.col("holder").alias("o")).agg(F.min_by("value", "ord").alias("literal"), ((F.count("*") > 1) | F.max(gml.is_multipart(F.col("value")))).alias("multipart"))
         first = first.withColumn("g", gml.parsed(F.col("literal")))
         return first.select("o", F.col("g.geom").alias("geom"), F.col("g.zs").alias("zs"), F.col("g.error").alias("error"), "multipart")
 
-    def _with_origin(self, found: DataFrame) -> DataFrame:
-        """found (s, aspect, beside): adds provenance: the aspect's own, else that of the point beside it."""
-        point = self.of_class(T.POINT).select(F.col("s").alias("beside"), F.col("aspect.provenance").alias("point_provenance"))
-        return found.join(point, "beside", "left").withColumn("provenance", F.coalesce("aspect.provenance", "point_provenance")).drop("beside", "point_provenance")
-
     def ground(self) -> DataFrame:
-        """(o, aspect, provenance): of the first ground orientation connected with o that has a level."""
-        level = self.of_class(T.GROUND_LEVEL).join(self._typed(T.GROUND_ROLE), "s", "left_semi")
-        near = self.g.connections().select(F.col("a").alias("o"), F.col("b").alias("s"), "ord").join(level, "s")
-        first = near.groupBy("o").agg(F.min_by(F.struct("aspect", F.col("s").alias("beside")), "ord").alias("f"))
-        return self._with_origin(first.select("o", "f.aspect", "f.beside"))
+        """(o, aspect, provenance): of the first ground orientation connected with o that has a level; its own provenance, else that of the point beside it."""
+        ground = self.p.subjects.filter(self.p.is_a(T.GROUND_ROLE)).select("s")
+        level = self._levels(T.GROUND_LEVEL).join(ground, "s", "left_semi")
+        # links hold both ways, so from the ground's side the other end's way of writing is the opposite one
+        near = level.join(self.p.links.select(F.col("a").alias("s"), F.col("b").alias("o"), F.struct((1 - F.col("ord.way")).alias("way"), "ord.pos").alias("ord")), "s")
+        first = near.groupBy("o").agg(F.min_by(F.struct("aspect", "point_provenance"), "ord").alias("f"))
+        return first.select("o", "f.aspect", F.coalesce("f.aspect.provenance", "f.point_provenance").alias("provenance"))
 
     def cover(self) -> DataFrame:
         """(s, aspect, provenance): the level on the object, else on a cover part's orientation, else on the part."""
-        level = self.of_class(T.COVER_LEVEL)
-        direct = level.select("s", F.struct(F.lit(0).alias("r"), F.lit(None).cast("struct<way:int,pos:bigint>").alias("a"), F.lit(0).alias("q"), F.lit(None).cast("struct<way:int,pos:bigint>").alias("b")).alias("ord"), "aspect", F.col("s").alias("beside"))
-        lids = self.types.withColumnRenamed("type", "class").join(self.h.hint(self.h.below(T.COVER)) if self.h else self.g.triples.sparkSession.createDataFrame([(self.t.iri(T.COVER),)], "class string"), "class", "left_semi").select(F.col("s").alias("member")).distinct()
-        parts = self.parts.join(lids, "member", "left_semi").select(F.col("holder").alias("s"), F.col("member").alias("lid"), F.col("ord").alias("a"))
-        over = parts.join(self.aspects.select(F.col("holder").alias("lid"), F.col("member").alias("beside"), F.col("ord").alias("b")), "lid").join(level.withColumnRenamed("s", "beside"), "beside")
-        over = over.select("s", F.struct(F.lit(1).alias("r"), "a", F.lit(0).alias("q"), "b").alias("ord"), "aspect", "beside")
-        on = parts.join(level.withColumnRenamed("s", "lid"), "lid").select("s", F.struct(F.lit(1).alias("r"), "a", F.lit(1).alias("q"), F.lit(None).cast("struct<way:int,pos:bigint>").alias("b")).alias("ord"), "aspect", F.col("lid").alias("beside"))
-        first = direct.unionAll(over).unionAll(on).groupBy("s").agg(F.min_by(F.struct("aspect", "beside"), "ord").alias("f"))
-        return self._with_origin(first.select("s", "f.aspect", "f.beside"))
+        level = self._levels(T.COVER_LEVEL)
+        found = ("aspect", "point_provenance")
+        place = lambda r, a, q, b: F.struct(F.lit(r).alias("r"), a.alias("a"), F.lit(q).alias("q"), b.alias("b")).alias("ord")
+        none = F.lit(None).cast("struct<way:int,pos:bigint>")
+        direct = level.select("s", place(0, none, 0, none), *found)
+        lids = self._of_role(self.p.parts, T.COVER, "holder", "member", "ord").select(F.col("holder").alias("s"), F.col("member").alias("lid"), F.col("ord").alias("a"))
+        over = lids.join(self.p.held.select(F.col("holder").alias("lid"), F.col("member").alias("beside"), F.col("ord").alias("b")), "lid").join(level.withColumnRenamed("s", "beside"), "beside")
+        on = lids.join(level.withColumnRenamed("s", "lid"), "lid")
+        every = direct.unionAll(over.select("s", place(1, F.col("a"), 0, F.col("b")), *found)).unionAll(on.select("s", place(1, F.col("a"), 1, none), *found))
+        first = every.groupBy("s").agg(F.min_by(F.struct(*found), "ord").alias("f"))
+        return first.select("s", "f.aspect", F.coalesce("f.aspect.provenance", "f.point_provenance").alias("provenance"))
 
     def labels(self) -> DataFrame:
-        return self.g.value(T.LABEL).select("s", F.col("o").alias("label"))
+        return self.p.subjects.filter("label is not null").select("s", "label")
 
     def type_sets(self) -> DataFrame:
-        return self.types.groupBy("s").agg(F.array_sort(F.collect_set("type")).alias("types"))
+        names = F.array_sort(F.array_distinct(F.transform("types", lambda t: t["type"])))
+        return self.p.subjects.filter("size(types) > 0").select("s", names.alias("types"))
+
+    def _described(self) -> DataFrame:
+        """(s, label, types) of every subject: labels and type_sets at once."""
+        return self.p.subjects.select("s", "label", F.array_sort(F.array_distinct(F.transform("types", lambda t: t["type"]))).alias("types"))
 
     def parents(self) -> DataFrame:
         own = self.parts.filter("not startswith(holder, '_:') and holder <> member")
         return own.groupBy(F.col("member").alias("s")).agg(F.array_sort(F.collect_set("holder")).alias("parents"))
 
     def orientations(self, role: str) -> DataFrame:
-        """(o, ord): orientations of classes below the role, by class name and then by place."""
-        hit = self.types.withColumnRenamed("type", "class").join(self.h.hint(self.h.below(role)), "class", "left_semi")
-        return hit.groupBy(F.col("s").alias("o")).agg(F.min(F.struct("class", "pos")).alias("at"))
+        """(o, at): orientations of classes below the role, by class name and then by place."""
+        return self._of_role(self.p.subjects.withColumnRenamed("s", "o"), role, "o")
 
     def structural_nodes(self) -> DataFrame:
-        points = self.types.filter(F.col("type") == self.t.iri(T.POINT)).select(F.col("s").alias("member"), "pos")
-        return self.aspects.join(points, "member").groupBy(F.col("holder").alias("o")).agg(F.min(F.struct("pos", "ord")).alias("at"))
+        points = F.get(F.filter("types", lambda t: t["type"] == self.t.iri(T.POINT)), F.lit(0))["pos"]
+        found = self.p.held.filter(self.p.is_a(T.POINT))
+        return found.groupBy(F.col("holder").alias("o")).agg(F.min(F.struct(points.alias("pos"), "ord")).alias("at"))
 
     def structural_conduits(self) -> DataFrame:
         names = [self.t.iri(n) for n in (*T.BEGIN_POINTS, *T.END_POINTS)]
-        rank = F.element_at(F.create_map(*[x for i, n in enumerate(names) for x in (F.lit(n), F.lit(i))]), F.col("type"))
-        ends = self.types.filter(F.col("type").isin(names)).select(F.col("s").alias("member"), rank.alias("r"), "pos")
-        return self.parts.join(ends, "member").groupBy(F.col("holder").alias("o")).agg(F.min(F.struct("r", "pos", "ord")).alias("at"))
+        rank = F.element_at(F.create_map(*[x for i, n in enumerate(names) for x in (F.lit(n), F.lit(i))]), F.col("t.type"))
+        ends = self.p.parts.select(F.col("holder").alias("o"), "ord", F.explode("types").alias("t")).filter(F.col("t.type").isin(names))
+        return ends.groupBy("o").agg(F.min(F.struct(rank.alias("r"), "t.pos", "ord")).alias("at"))
+
+    def _structural(self, role: str, structural: bool | None) -> bool:
+        return structural if structural is not None else self.h is None or not self.h.usable(role)
 
     def found(self, which: str, structural: bool | None = None) -> DataFrame:
         """(s, o, at): every holder of every orientation, in reading order. which: 'node' or 'conduit'."""
         role = T.NODE_ROLE if which == "node" else T.EDGE_ROLE
-        if structural is None:
-            structural = self.h is None or not self.h.usable(role)
-        o = (self.structural_nodes() if which == "node" else self.structural_conduits()) if structural else self.orientations(role)
-        held = o.join(self.aspects.select(F.col("holder").alias("s"), F.col("member").alias("o"), "ord"), "o")
+        if self._structural(role, structural):
+            o = self.structural_nodes() if which == "node" else self.structural_conduits()
+            held = o.join(self.p.held.select(F.col("holder").alias("s"), F.col("member").alias("o"), "ord"), "o")
+        else:
+            held = self._of_role(self.p.held, role, "holder", "member", "ord").withColumnsRenamed({"holder": "s", "member": "o"})
         return held.select("s", "o", F.struct("at", "ord").alias("at"))
 
     def first_held(self, found: DataFrame) -> DataFrame:
@@ -162,18 +160,18 @@ class Reader:
         name, role = (T.POINT, T.NODE_ROLE) if which == "node" else (T.LINE, T.EDGE_ROLE)
         bad = self.geometry(name).filter("error is not null").select("o", "error")
         held = self.found(which, structural).join(bad, "o").groupBy("s").agg(F.max_by("error", "at").alias("error"))
-        if structural is None:
-            structural = self.h is None or not self.h.usable(role)
-        all_o = ((self.structural_nodes() if which == "node" else self.structural_conduits()) if structural else self.orientations(role)).select("o")
-        loose = bad.join(all_o, "o", "left_semi").join(self.aspects.select(F.col("member").alias("o")), "o", "left_anti").select(F.col("o").alias("s"), "error")
+        if self._structural(role, structural):
+            all_o = (self.structural_nodes() if which == "node" else self.structural_conduits()).select("o")
+        else:
+            all_o = self.orientations(role).select("o")
+        loose = bad.join(all_o, "o", "left_semi").join(self.p.held.select(F.col("member").alias("o")), "o", "left_anti").select(F.col("o").alias("s"), "error")
         return held.unionAll(loose).select(text_of(F.col("s")).alias("uri"), "error")
 
     def nodes(self, structural: bool | None = None) -> DataFrame:
-        n = self.first_held(self.found("node", structural))
-        types = self.type_sets()
         empty = F.array().cast("array<string>")
-        n = n.join(self.geometry(T.POINT), "o", "left").join(self.labels(), "s", "left").join(types, "s", "left").join(types.toDF("o", "orientation_types"), "o", "left").join(self.parents(), "s", "left").join(self.attributes(), "s", "left")
-        n = n.join(self.ground().toDF("o", "ground_aspect", "ground_provenance"), "o", "left").join(self.cover().toDF("s", "cover_aspect", "cover_provenance"), "s", "left")
+        # What is known of orientations first, then what is known of the objects: two moves of the found pairs, none of the tables.
+        n = self.first_held(self.found("node", structural)).join(self.geometry(T.POINT), "o", "left").join(self.type_sets().toDF("o", "orientation_types"), "o", "left").join(self.ground().toDF("o", "ground_aspect", "ground_provenance"), "o", "left")
+        n = n.join(self._described(), "s", "left").join(self.attributes(), "s", "left").join(self.parents(), "s", "left").join(self.cover().toDF("s", "cover_aspect", "cover_provenance"), "s", "left")
         return n.select(
             text_of(F.col("s")).alias("uri"),
             F.coalesce("label", F.lit("")).alias("label"),
@@ -195,8 +193,9 @@ class Reader:
 
     def endpoints(self) -> DataFrame:
         """(o, begin, end): the first part of each kind."""
-        side = lambda names, name: self.parts.join(self._typed(*names).withColumnRenamed("s", "member"), "member", "left_semi").groupBy(F.col("holder").alias("o")).agg(F.min_by("member", "ord").alias(name))
-        return side(T.BEGIN_POINTS, "begin").join(side(T.END_POINTS, "end"), "o", "full")
+        first = lambda names: F.min_by("member", F.when(self.p.is_a(*names), F.col("ord")))
+        ends = self.p.parts.filter(self.p.is_a(*T.BEGIN_POINTS, *T.END_POINTS))
+        return ends.groupBy(F.col("holder").alias("o")).agg(first(T.BEGIN_POINTS).alias("begin"), first(T.END_POINTS).alias("end"))
 
     def bindings(self, nodes: DataFrame) -> DataFrame:
         """(point, node, repaired): the node that an end point connects with.
@@ -204,23 +203,21 @@ class Reader:
         The first connected orientation of a node decides; only if there is none, a name that ends
         in a known tail and is a fitting without it stands for that fitting.
         """
-        fitting = self.h.below(T.FITTING_ROLE) if self.h else self.g.triples.sparkSession.createDataFrame([(self.t.iri(T.FITTING_ROLE),)], "class string")
         by_o = nodes.groupBy(F.col("orientation").alias("target")).agg(F.max_by("uri", "ord").alias("node"))
-        fittings = nodes.select("uri", F.explode("orientation_types").alias("class")).join(F.broadcast(fitting), "class", "left_semi").select(F.col("uri").alias("stem"), F.col("uri").alias("fitting")).distinct()
-        ends = self._typed(*T.BEGIN_POINTS, *T.END_POINTS).withColumnRenamed("s", "a")
-        to = self.g.connections().join(ends, "a", "left_semi").select(F.col("a").alias("point"), text_of(F.col("b")).alias("target"), "ord")
+        fittings = nodes.select("uri", F.explode("orientation_types").alias("class")).join(self._below(T.FITTING_ROLE), "class", "left_semi").select(F.col("uri").alias("stem"), F.col("uri").alias("fitting")).distinct()
+        ends = self.p.subjects.filter(self.p.is_a(*T.BEGIN_POINTS, *T.END_POINTS)).select(F.col("s").alias("a"))
+        to = self.p.links.join(ends, "a", "left_semi").select(F.col("a").alias("point"), text_of(F.col("b")).alias("target"), "ord")
         to = to.withColumn("stem", F.when(F.col("target").endswith(T.PHANTOM_TAIL), F.expr(f"substring(target, 1, length(target) - {len(T.PHANTOM_TAIL)})")))
         to = to.join(by_o, "target", "left").join(fittings, "stem", "left")
         got = to.groupBy("point").agg(F.min_by("node", F.when(F.col("node").isNotNull(), F.col("ord"))).alias("node"), F.min_by("fitting", F.when(F.col("fitting").isNotNull(), F.col("ord"))).alias("fitting"))
         return got.select("point", F.coalesce("node", "fitting").alias("node"), (F.col("node").isNull() & F.col("fitting").isNotNull()).alias("repaired")).filter("node is not null")
 
     def conduits(self, nodes: DataFrame, structural: bool | None = None) -> DataFrame:
-        c = self.first_held(self.found("conduit", structural)).join(self.endpoints(), "o", "left")
+        c = self.first_held(self.found("conduit", structural)).join(self.endpoints(), "o", "left").join(self.geometry(T.LINE), "o", "left")
         bind = self.bindings(nodes)
-        invert = lambda name, point, out: self.of_class(name).toDF(point, out)
-        c = c.join(bind.toDF("begin", "start_node", "start_repaired"), "begin", "left").join(bind.toDF("end", "end_node", "end_repaired"), "end", "left")
-        c = c.join(invert(T.BEGIN_INVERT, "begin", "bob_start_aspect"), "begin", "left").join(invert(T.END_INVERT, "end", "bob_end_aspect"), "end", "left")
-        c = c.join(self.geometry(T.LINE), "o", "left").join(self.labels(), "s", "left").join(self.type_sets(), "s", "left").join(self.attributes(), "s", "left")
+        for point, out, name in (("begin", "start", T.BEGIN_INVERT), ("end", "end", T.END_INVERT)):
+            c = c.join(bind.toDF(point, f"{out}_node", f"{out}_repaired"), point, "left").join(self.of_class(name).toDF(point, f"bob_{out}_aspect"), point, "left")
+        c = c.join(self._described(), "s", "left").join(self.attributes(), "s", "left")
         return c.select(
             text_of(F.col("s")).alias("uri"),
             F.coalesce("label", F.lit("")).alias("label"),
@@ -321,6 +318,7 @@ class Dataset:
     def load(cls, graph: Graph, ontology: Graph | None = None) -> Dataset:
         """Class knowledge comes from the ontology where there is one, else from the graph. Written once; an empty network is an error."""
         graph = graph.stored()
+        graph.properties = graph.properties.stored()
         if ontology is not None and ontology.triples.isEmpty():
             ontology = None
         hierarchy = Hierarchy.of(ontology or graph)

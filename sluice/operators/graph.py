@@ -7,6 +7,8 @@ the source comes first in results: `ord` columns carry that order.
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -46,6 +48,13 @@ class Graph:
         self.triples.hint("rebalance", F.col("p")).write.partitionBy("p").parquet(path)
         return Graph(spark.read.schema(self.triples.schema).parquet(path).select(*COLUMNS, "pos"), self.terms, distinct=True)
 
+    @cached_property
+    def properties(self):
+        """The property table (sluice.operators.properties), lazily."""
+        from sluice.operators.properties import Properties
+
+        return Properties(self)
+
     def count(self) -> DataFrame:
         return self.triples.agg(F.count("*").alias("n_triples"))
 
