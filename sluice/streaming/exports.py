@@ -6,7 +6,6 @@ bounds the state of the windowed counts.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -21,15 +20,17 @@ _OUT = pa.schema([("file", pa.string()), ("changed", pa.timestamp("us", tz="UTC"
 
 
 def read_stream(spark: SparkSession, folder: str, fallback: str | None = None, files_per_batch: int = 16) -> DataFrame:
-    """(file, changed, s, p, o, ...) of every file that appears; blank nodes carry a hash of their file's path, and its name."""
+    """(file, changed, s, p, o, ...) of every file that appears; blank nodes carry their file's path below the folder."""
     files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("maxFilesPerTrigger", files_per_batch).load(folder)
 
+    below = folder.rstrip("/") + "/"
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
                 text, _ = decoded(row["content"], fallback)
-                # equal names in two folders are two files
-                mark = f"{hashlib.sha256(row['path'].encode()).hexdigest()[:16]}/{row['path'].rsplit('/', 1)[-1]}"
+                # by its place below the folder: equal names in two folders are two files
+                mark = row["path"].rpartition(below)[2]
                 own = lambda x, mark=mark: f"_:{mark}/{x[2:]}" if x.startswith("_:") else x
                 rows = [(row["path"], row["modificationTime"], own(s), p, own(o) if k == "B" else o, k, lang, dt, i) for i, (s, p, o, k, lang, dt) in enumerate(Parser(text))]
                 if rows:
