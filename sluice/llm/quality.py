@@ -5,14 +5,15 @@ counts in the two classes, and a linear hinge-loss model is fitted to the scaled
 coordinate descent. The model is one weight per bucket (ratio times hinge weight), an offset, and
 the slope and offset of a logistic curve that turns margins into probabilities; it is broadcast.
 
-The fit takes at most `sample` labelled rows, those with the least md5 of their id: the sample is
-bounded so that the features fit in the driver's memory, and doesn't depend on partitioning. The orders of
-the n-grams and the cost of the hinge loss are chosen among ORDERS and COSTS by cross-validation inside
-those rows. Descent goes on until no row's multiplier moves any more, within a tolerance.
+The fit takes at most `sample` labelled documents, those with the least md5 of their id, and no further
+ones once their texts reach SAMPLE_BYTES: the sample is bounded so that the features fit in the driver's
+memory, whatever ids and texts are like, and doesn't depend on partitioning. The orders of the n-grams and
+the cost of the hinge loss are chosen among ORDERS and COSTS by cross-validation inside those rows, each
+fold's fit being a Spark task. Descent goes on until no row's multiplier moves any more, within a tolerance.
 
 Results in special cases: a null text counts as empty, an empty text is scored by the offset alone;
 without labels of both classes every score is the share of label 1 (0.5 without labels). Labels without
-an id and ids with both labels teach nothing; an id that several documents have teaches each of them.
+an id and ids with both labels teach nothing; an id that several documents have teaches each of them, equal ones among them once.
 Texts of any length are taken whole; a document without an id is scored, and learnt from never.
 """
 
@@ -22,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sluice.llm.langid import decoded, passes
@@ -30,12 +31,12 @@ from sluice.llm.shared import lean, scratch, slices, trim, written
 
 BUCKETS = 1 << 17
 #: Orders of n-grams to choose from.
-ORDERS = ((1, 2), (2, 3), (3, 4))
-#: Labelled rows that a fit takes at most.
-SAMPLE = 8000
+ORDERS = ((1, 2), (2, 3), (3, 4), (4, 5))
+#: Labelled rows that a fit takes at most, and bytes of their texts after which no further row is taken.
+SAMPLE, SAMPLE_BYTES = 8000, 64 << 20
 ACCEPT = 0.7
 #: Costs of the hinge loss to choose from, and the cross-validation: folds, rows at most.
-COSTS = (0.1, 1.0, 10.0)
+COSTS = (0.01, 0.1, 1.0, 10.0)
 FOLDS, FOLD_ROWS = 3, 3000
 #: Descent ends when a round moves no multiplier by more than this share of the cost (of a fit, of a fold's fit), or after ROUNDS.
 STILL, FOLD_STILL, ROUNDS = 1e-3, 1e-2, 1000
@@ -123,25 +124,47 @@ def fold_hits(flat: np.ndarray, ends: np.ndarray, y: np.ndarray, buckets: int, c
 
     Rows go to folds in turn, up to FOLD_ROWS of them, spread over all. Ratios are those of the rows fitted.
     """
+    return np.array([sum(fold_hit(flat, ends, y, buckets, k, cost) for k in range(FOLDS)) for cost in costs])
+
+
+def fold_hit(flat: np.ndarray, ends: np.ndarray, y: np.ndarray, buckets: int, k: int, cost: float) -> float:
+    """fold_hits' part of one fold and one cost."""
     rows = np.unique(np.linspace(0, len(y) - 1, min(len(y), FOLD_ROWS)).astype(np.int64))
     fold = np.arange(len(rows)) % FOLDS
     lens = np.diff(ends)
-    hits = np.zeros(len(costs))
-    for k in range(FOLDS):
-        seen, asked = rows[fold != k], rows[fold == k]
-        part = lambda some: np.concatenate([flat[ends[i] : ends[i + 1]] for i in some]) if len(some) else flat[:0]
-        own, other = y[seen], y[asked]
-        if min((own > 0).sum(), (own < 0).sum(), (other > 0).sum(), (other < 0).sum()) == 0:
-            continue
-        known, size = part(seen), lens[seen]
-        ratio = _ratios(known, np.repeat(own > 0, size), buckets)
-        scale = np.repeat(1 / np.sqrt(np.maximum(size, 1)), size)
-        unknown, at = part(asked), np.concatenate([[0], np.cumsum(lens[asked])])
-        for c, cost in enumerate(costs):
-            w, offset = dual_descent(known, np.concatenate([[0], np.cumsum(size)]), own, ratio, scale, cost, still=FOLD_STILL)
-            run = np.concatenate([[0.0], np.cumsum((w * ratio)[unknown])])
-            right = ((run[at[1:]] - run[at[:-1]]) / np.sqrt(np.maximum(lens[asked], 1)) + offset > 0) == (other > 0)
-            hits[c] += right[other > 0].mean() + right[other < 0].mean()
+    seen, asked = rows[fold != k], rows[fold == k]
+    part = lambda some: np.concatenate([flat[ends[i] : ends[i + 1]] for i in some]) if len(some) else flat[:0]
+    own, other = y[seen], y[asked]
+    if min((own > 0).sum(), (own < 0).sum(), (other > 0).sum(), (other < 0).sum()) == 0:
+        return 0.0
+    known, size = part(seen), lens[seen]
+    ratio = _ratios(known, np.repeat(own > 0, size), buckets)
+    scale = np.repeat(1 / np.sqrt(np.maximum(size, 1)), size)
+    unknown, at = part(asked), np.concatenate([[0], np.cumsum(lens[asked])])
+    w, offset = dual_descent(known, np.concatenate([[0], np.cumsum(size)]), own, ratio, scale, cost, still=FOLD_STILL)
+    run = np.concatenate([[0.0], np.cumsum((w * ratio)[unknown])])
+    right = ((run[at[1:]] - run[at[:-1]]) / np.sqrt(np.maximum(lens[asked], 1)) + offset > 0) == (other > 0)
+    return float(right[other > 0].mean() + right[other < 0].mean())
+
+
+def cross_validated(spark: SparkSession, digests: list[tuple], buckets: int, costs: tuple[float, ...] = COSTS) -> np.ndarray:
+    """fold_hits of each of several digests (classes, features, numbers of them), one Spark task for each digest, cost and fold."""
+    shared = spark.sparkContext.broadcast(digests)
+    jobs = [(d, c, k) for d in range(len(digests)) for c in range(len(costs)) for k in range(FOLDS)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for job in batch.column(0).to_pylist():
+                d, c, k = jobs[job]
+                y, flat, lens = shared.value[d]
+                hit = fold_hit(flat, np.concatenate([[0], np.cumsum(lens)]), y, buckets, k, costs[c])
+                yield pa.RecordBatch.from_arrays([pa.array([job]), pa.array([hit])], names=["job", "hit"])
+        trim()
+
+    hits = np.zeros((len(digests), len(costs)))
+    for job, hit in sorted(spark.range(0, len(jobs), 1, len(jobs)).mapInArrow(run, "job long, hit double").collect()):
+        hits[jobs[job][0], jobs[job][1]] += hit
+    shared.unpersist()
     return hits
 
 
@@ -194,16 +217,21 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, sample: int = SAMPL
     known = labels.filter(F.col("quality").isin(0, 1)).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).filter(learn)
     known = known.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("quality").alias("quality"), F.min("quality").alias("least")).filter("quality = least").drop("least")
     chosen = known.withColumn("place", F.md5(F.col("doc_id").cast("string"))).orderBy("place", "doc_id").limit(sample)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).join(F.broadcast(chosen), "doc_id")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).join(F.broadcast(chosen), "doc_id").withColumn("own", F.sha2(F.coalesce("text", F.lit(b"")), 256))
+    place = F.struct("place", "doc_id", "own")
+    # An id may be that of very many documents, so documents are counted off, too: first without their texts.
+    first = texts.groupBy("place", "doc_id", "own").agg(F.max(F.coalesce(F.octet_length("text"), F.lit(0))).alias("size")).orderBy("place", "doc_id", "own").limit(sample)
+    reached = F.sum("size").over(Window.orderBy("place", "doc_id", "own"))
+    end = first.withColumn("before", reached - F.col("size")).filter(F.col("before") < SAMPLE_BYTES).agg(F.max(place).alias("end")).first()["end"]
+    texts = texts.filter(place <= F.struct(F.lit(end["place"]).alias("place"), F.lit(end["doc_id"]).cast("long").alias("doc_id"), F.lit(end["own"]).alias("own"))) if end else texts.limit(0)
     with scratch(spark):
-        texts = written(texts.select("doc_id", "quality", "text", "place"), "labelled")
+        texts = written(texts.dropDuplicates(["doc_id", "own"]).select("doc_id", "quality", "text", "place"), "labelled")
         edge = texts.select("place").distinct().orderBy("place").limit(FOLD_ROWS).agg(F.max("place")).first()[0]
-        best, choice = -1.0, None
-        for some in orders:
-            y, flat, lens = _digested(texts.filter(F.col("place") <= F.lit(edge)), buckets, some)
-            hits = fold_hits(flat, np.concatenate([[0], np.cumsum(lens)]), y, buckets)
-            if hits.max() > best:
-                best, choice = hits.max(), (some, COSTS[int(hits.argmax())])
+        digests = [_digested(texts.filter(F.col("place") <= F.lit(edge)), buckets, some) for some in orders]
+        hits = cross_validated(spark, digests, buckets)
+        d, c = np.unravel_index(int(hits.argmax()), hits.shape)
+        choice = orders[d], COSTS[c]
+        del digests
         y, flat, lens = _digested(texts, buckets, choice[0])
         if not len(y) or (y > 0).all() or (y < 0).all():
             return fit_rows([""] * len(y), (y > 0).astype(int), buckets, choice[0])

@@ -163,26 +163,23 @@ class Index:
         """queries: vec_id, vec. query_id, rank, vec_id, score."""
         spark = queries.sparkSession
         with scratch(spark):
-            return keep_written(self._found(queries.distinct(), k), "nearest")
+            return keep_written(self._found(written(queries.distinct(), "queries"), k), "nearest")
 
     def _found(self, queries: DataFrame, k: int) -> DataFrame:
+        """queries: a written table of distinct (vec_id, vec), taken in blocks in their order; an id may have more vectors than a block."""
         spark = queries.sparkSession
         size = max(1, BLOCK_BYTES // (8 * max(1, self.dim)))
-        parts, last = [], None
-        while True:
-            rest = queries if last is None else queries.filter(F.col("vec_id") > last)
-            block = rest.orderBy("vec_id", "vec").limit(size).collect()
-            if not block:
-                break
-            if len(block) == size and block[0][0] != block[-1][0]:
-                block = [r for r in block if r[0] != block[-1][0]]  # rows of one id stay together
-            last = block[-1][0]
+        parts, rest, done = [], queries, 0
+        while block := rest.orderBy("vec_id", "vec").limit(size).collect():
+            last_id, last = F.lit(block[-1][0]), F.array(*(F.lit(x).cast("long") for x in block[-1][1]))
+            rest = queries.filter((F.col("vec_id") > last_id) | (F.col("vec_id") == last_id) & (F.col("vec") > last))
             ids = np.array([r[0] for r in block], np.int64)
             matrix = np.zeros((len(block), self.dim), np.int64)
             for i, r in enumerate(block):
                 matrix[i, : len(r[1])] = r[1]
             floor = self._floors(ids, matrix, k)
-            parts.append(written(self._block(ids, matrix, floor, k), "found"))
+            parts.append(written(self._block(ids, matrix, floor, k, done), "found"))
+            done += len(block)
         if not parts:
             return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
         order = Window.partitionBy("query_id", "q").orderBy(F.desc("score"), "vec_id")
@@ -197,7 +194,8 @@ class Index:
                 floor[i : i + 1024] = np.partition(s, len(self.sample) - k, axis=1)[:, len(self.sample) - k]
         return floor
 
-    def _block(self, ids: np.ndarray, matrix: np.ndarray, floor: np.ndarray, k: int) -> DataFrame:
+    def _block(self, ids: np.ndarray, matrix: np.ndarray, floor: np.ndarray, k: int, before: int) -> DataFrame:
+        """Candidates of a block of queries, which are numbered after those of the blocks before."""
         spark = self.cells.sparkSession
         dim, most = self.dim, self.most
         shared = spark.sparkContext.broadcast((ids, matrix, floor, self.pivots))
@@ -225,7 +223,7 @@ class Index:
                             best.offer(some, products(matrix[some], vecs[at[a] : at[a] + ANNULUS]), own[at[a] : at[a] + ANNULUS])
             best.settle()
             if len(best.q):
-                yield pa.RecordBatch.from_arrays([pa.array(best.q), pa.array(ids[best.q]), pa.array(best.id), pa.array(best.score)], names=["q", "query_id", "vec_id", "score"])
+                yield pa.RecordBatch.from_arrays([pa.array(best.q + before), pa.array(ids[best.q]), pa.array(best.id), pa.array(best.score)], names=["q", "query_id", "vec_id", "score"])
 
         return self.cells.mapInArrow(visit, "q long, query_id long, vec_id long, score long")
 

@@ -115,3 +115,19 @@ def test_more_languages_than_a_model_holds(spark, monkeypatch):
     monkeypatch.setattr(langid, "MODEL_BYTES", 4 * langid.BUCKETS)
     with pytest.raises(ValueError, match="2 languages"):
         langid.train(docs)
+
+
+def test_sample_bounds_documents_and_bytes(spark, monkeypatch):
+    """One id on very many documents, and long texts, don't grow what a fit takes."""
+    taken = []
+    before = quality.fit_features
+    monkeypatch.setattr(quality, "fit_features", lambda flat, lens, *a: (taken.append(len(lens)), before(flat, lens, *a))[1])
+    rows = [(1, f"good text {i}") for i in range(3000)] + [(2, f"bad words {i}") for i in range(10)] + [(1, "good text 1")] * 50
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int")
+    quality.train(docs, labels, F.lit(True), sample=20, orders=((1, 2),))
+    quality.train(docs, labels, F.lit(True), sample=5000, orders=((1, 2),))
+    monkeypatch.setattr(quality, "SAMPLE_BYTES", 100)
+    quality.train(docs, labels, F.lit(True), sample=5000, orders=((1, 2),))
+    # the first bound may leave one class only, of which nothing is fitted
+    assert 3010 in taken and all(t in (3010, 20) or t < 15 for t in taken)

@@ -513,3 +513,17 @@ def test_chunk_rows_keep_other_columns(spark):
     rows = [Chunk(r.asDict()) for r in table.frame().collect()]
     assert sorted(x for c in rows for x in c.rest().column(0).to_pylist() if x) == ["en"]
     table.drop()
+
+
+def test_topk_of_an_id_with_more_vectors_than_a_block(spark, monkeypatch):
+    monkeypatch.setattr(topk, "BLOCK_BYTES", 8 * 2 * 3)
+    rows = [(0, [i, 7 - i]) for i in range(8)] + [(100, [3, -2]), (100, [5, 5])] + [(200 + i, [i, i % 3]) for i in range(1, 40)]
+    vectors = spark.createDataFrame(rows, "vec_id long, vec array<long>")
+    index = topk.Index(vectors)
+    got = sorted(tuple(r) for r in index.search(vectors.filter("vec_id in (0, 100)")).collect())
+    index.drop()
+    want = []
+    for q, v in rows[:10]:
+        best = sorted((-sum(a * b for a, b in zip(v, w, strict=True)), i) for i, w in rows if i != q)[:10]
+        want += [(q, r + 1, i, -s) for r, (s, i) in enumerate(best)]
+    assert got == sorted(want)
