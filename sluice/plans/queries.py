@@ -18,6 +18,7 @@ from sluice.operators import clip, domain, hierarchy, network, restrictions
 from sluice.operators.domain import Reader
 from sluice.operators.fixpoint import kept, shared_folder
 from sluice.operators.graph import Graph
+from sluice.operators.grid import Grid
 from sluice.operators.hierarchy import Hierarchy
 from sluice.sources import encoding, sink, tables, turtle
 from sluice.sources.tables import NET, TERMS
@@ -683,6 +684,15 @@ def points_among_many_polygons(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("s", F.explode(clip.Sets(97).members(F.col("mask"))).alias("part"))
 
 
+@query("""SELECT '{net}c' || k || '_p' AS s, ((k % 97) * 100 + k % 89)::INT AS part FROM (SELECT c_custkey AS k FROM customer) WHERE k % 50 <> 0 AND k % 53 <> 1 UNION ALL SELECT '{net}c' || c_custkey || '_mp', 0 FROM customer WHERE c_custkey % 3 = 2""")
+def points_in_a_layer_of_ten_thousand(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every point of the network in a layer of 100 by 100 boxes, by a join with its grid."""
+    box = lambda x, y: [[(x - 500, y - 500), (x + 499, y - 500), (x + 499, y + 499), (x - 500, y + 499), (x - 500, y - 500)]]
+    layer = [Polygon(f"b{i}", f"b{i}", [box(1000 * (i // 100), 1000 * (i % 100))]) for i in range(10_000)]
+    spots = _geometries(spark, sf_dir, ".").withColumn("g", gml.parsed(F.col("literal"))).filter("g.geom.kind = 'Point'").select("s", F.get("g.geom.xs", F.lit(0)).alias("x"), F.get("g.geom.ys", F.lit(0)).alias("y"))
+    return Grid(spark, layer).home(spots, "x", "y").select("s", F.col("home").alias("part"))
+
+
 @query("""WITH """ + _DRAWN + """ SELECT '{net}o' || k || '_l' AS s, '<gml:LineString srsDimension="2"><gml:posList>' || x0 || ' ' || y0 || ' ' || x1 || ' ' || y1 || '</gml:posList></gml:LineString>' AS literal FROM drawn""")
 def lines_cut_and_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every line to the letter after cutting and merging."""
