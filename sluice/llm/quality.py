@@ -140,31 +140,32 @@ def fold_hit(flat: np.ndarray, ends: np.ndarray, y: np.ndarray, buckets: int, k:
     known, size = part(seen), lens[seen]
     ratio = _ratios(known, np.repeat(own > 0, size), buckets)
     scale = np.repeat(1 / np.sqrt(np.maximum(size, 1)), size)
-    unknown, at = part(asked), np.concatenate([[0], np.cumsum(lens[asked])])
     w, offset = dual_descent(known, np.concatenate([[0], np.cumsum(size)]), own, ratio, scale, cost, still=FOLD_STILL)
+    del known, scale
+    unknown, at = part(asked), np.concatenate([[0], np.cumsum(lens[asked])])
     run = np.concatenate([[0.0], np.cumsum((w * ratio)[unknown])])
     right = ((run[at[1:]] - run[at[:-1]]) / np.sqrt(np.maximum(lens[asked], 1)) + offset > 0) == (other > 0)
     return float(right[other > 0].mean() + right[other < 0].mean())
 
 
-def cross_validated(spark: SparkSession, digests: list[tuple], buckets: int, costs: tuple[float, ...] = COSTS) -> np.ndarray:
-    """fold_hits of each of several digests (classes, features, numbers of them), one Spark task for each digest, cost and fold."""
-    shared = spark.sparkContext.broadcast(digests)
-    jobs = [(d, c, k) for d in range(len(digests)) for c in range(len(costs)) for k in range(FOLDS)]
+def cross_validated(spark: SparkSession, digest: tuple, buckets: int, costs: tuple[float, ...] = COSTS) -> np.ndarray:
+    """fold_hits of a digest (classes, features, numbers of them), one Spark task for each cost and fold."""
+    shared = spark.sparkContext.broadcast(digest)
+    jobs = [(c, k) for c in range(len(costs)) for k in range(FOLDS)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for job in batch.column(0).to_pylist():
-                d, c, k = jobs[job]
-                y, flat, lens = shared.value[d]
+                c, k = jobs[job]
+                y, flat, lens = shared.value
                 hit = fold_hit(flat, np.concatenate([[0], np.cumsum(lens)]), y, buckets, k, costs[c])
                 yield pa.RecordBatch.from_arrays([pa.array([job]), pa.array([hit])], names=["job", "hit"])
         trim()
 
-    hits = np.zeros((len(digests), len(costs)))
+    hits = np.zeros(len(costs))
     for job, hit in sorted(spark.range(0, len(jobs), 1, len(jobs)).mapInArrow(run, "job long, hit double").collect()):
-        hits[jobs[job][0], jobs[job][1]] += hit
-    shared.unpersist()
+        hits[jobs[job][0]] += hit
+    shared.destroy()
     return hits
 
 
@@ -189,7 +190,8 @@ def fit_features(flat: np.ndarray, lens: np.ndarray, y: np.ndarray, buckets: int
 def dual_descent(flat: np.ndarray, ends: np.ndarray, y: np.ndarray, ratio: np.ndarray, scale: np.ndarray, cost: float = 10.0, rounds: int = ROUNDS, still: float = STILL) -> tuple[np.ndarray, float]:
     """Weights and offset of the linear SVM with hinge loss; a row's values are ratio[bucket] * scale."""
     w, offset = np.zeros(len(ratio)), 0.0
-    values = ratio[flat] * scale
+    values = ratio[flat]
+    values *= scale
     bounds = ends.tolist()
     norms = [1.0 + float(v @ v) for v in (values[i:j] for i, j in zip(bounds[:-1], bounds[1:], strict=True))]
     alpha = np.zeros(len(y))
@@ -227,11 +229,11 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, sample: int = SAMPL
     with scratch(spark):
         texts = written(texts.dropDuplicates(["doc_id", "own"]).select("doc_id", "quality", "text", "place"), "labelled")
         edge = texts.select("place").distinct().orderBy("place").limit(FOLD_ROWS).agg(F.max("place")).first()[0]
-        digests = [_digested(texts.filter(F.col("place") <= F.lit(edge)), buckets, some) for some in orders]
-        hits = cross_validated(spark, digests, buckets)
+        few = texts.filter(F.col("place") <= F.lit(edge))
+        # One choice of orders after the other, so that neither the driver nor a task holds the features of more than one.
+        hits = np.stack([cross_validated(spark, _digested(few, buckets, some), buckets) for some in orders])
         d, c = np.unravel_index(int(hits.argmax()), hits.shape)
         choice = orders[d], COSTS[c]
-        del digests
         y, flat, lens = _digested(texts, buckets, choice[0])
         if not len(y) or (y > 0).all() or (y < 0).all():
             return fit_rows([""] * len(y), (y > 0).astype(int), buckets, choice[0])
