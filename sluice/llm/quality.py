@@ -9,7 +9,7 @@ The fit takes at most `sample` labelled documents, those with the least md5 of t
 ones once their texts reach SAMPLE_BYTES: the sample is bounded so that the features fit in the driver's
 memory, whatever ids and texts are like, and doesn't depend on partitioning. The orders of the n-grams and
 the cost of the hinge loss are chosen among ORDERS and COSTS by cross-validation inside those rows, each
-fold's fit being a Spark task. Descent goes on until no row's multiplier moves any more, within a tolerance.
+fold being a Spark task. Descent goes on until no row's multiplier moves any more, within a tolerance.
 
 Results in special cases: a null text counts as empty, an empty text is scored by the offset alone;
 without labels of both classes every score is the share of label 1 (0.5 without labels). Labels without
@@ -149,22 +149,21 @@ def fold_hit(flat: np.ndarray, ends: np.ndarray, y: np.ndarray, buckets: int, k:
 
 
 def cross_validated(spark: SparkSession, digest: tuple, buckets: int, costs: tuple[float, ...] = COSTS) -> np.ndarray:
-    """fold_hits of a digest (classes, features, numbers of them), one Spark task for each cost and fold."""
+    """fold_hits of a digest (classes, features, numbers of them), one Spark task for each fold: a task's arrays are some times the features, and there is one set of them an executor rather than one a core."""
     shared = spark.sparkContext.broadcast(digest)
-    jobs = [(c, k) for c in range(len(costs)) for k in range(FOLDS)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for job in batch.column(0).to_pylist():
-                c, k = jobs[job]
+            for k in batch.column(0).to_pylist():
                 y, flat, lens = shared.value
-                hit = fold_hit(flat, np.concatenate([[0], np.cumsum(lens)]), y, buckets, k, costs[c])
-                yield pa.RecordBatch.from_arrays([pa.array([job]), pa.array([hit])], names=["job", "hit"])
+                ends = np.concatenate([[0], np.cumsum(lens)])
+                found = [fold_hit(flat, ends, y, buckets, k, cost) for cost in costs]
+                yield pa.RecordBatch.from_arrays([pa.array([k] * len(costs)), pa.array(range(len(costs)), pa.int64()), pa.array(found)], names=["fold", "cost", "hit"])
         trim()
 
     hits = np.zeros(len(costs))
-    for job, hit in sorted(spark.range(0, len(jobs), 1, len(jobs)).mapInArrow(run, "job long, hit double").collect()):
-        hits[jobs[job][0]] += hit
+    for _, c, hit in sorted(spark.range(0, FOLDS, 1, FOLDS).mapInArrow(run, "fold long, cost long, hit double").collect()):
+        hits[c] += hit
     shared.destroy()
     return hits
 
