@@ -19,6 +19,7 @@ Texts of any length are taken whole; a document without an id is scored, and lea
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -113,12 +114,21 @@ def fit_rows(texts: list[str], labels: np.ndarray, buckets: int = BUCKETS, order
     return fit_features(flat, lens, y, buckets, orders, chosen_cost(flat, np.concatenate([[0], np.cumsum(lens)]), y, buckets))
 
 
-def _ratios(flat: np.ndarray, own: np.ndarray, buckets: int) -> np.ndarray:
-    """The log ratio of each bucket's smoothed shares in the two classes; own: whether a feature is of a row with label 1."""
-    p, q = 1.0 + np.bincount(flat[own], minlength=buckets), 1.0 + np.bincount(flat[~own], minlength=buckets)
+def _ratios(flat: np.ndarray, starts: np.ndarray, ends: np.ndarray, y: np.ndarray, buckets: int) -> np.ndarray:
+    """The log ratio of each bucket's smoothed shares in the two classes, over rows from starts to ends; a row has a bucket once."""
+    counts = {True: np.ones(buckets), False: np.ones(buckets)}
+    for i, j, own in zip(starts.tolist(), ends.tolist(), (y > 0).tolist(), strict=True):
+        counts[own][flat[i:j]] += 1.0
+    p, q = counts[True], counts[False]
     return np.log((p / p.sum()) / (q / q.sum()))
 
 
+def _margins(weights: np.ndarray, offset: float, flat: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Of each row the sum of its buckets' weights over the root of their number, and the offset."""
+    sums = np.fromiter((weights[flat[i:j]].sum() for i, j in zip(starts.tolist(), ends.tolist(), strict=True)), np.float64, len(starts))
+    return sums / np.sqrt(np.maximum(ends - starts, 1)) + offset
+
+
 def fold_hits(flat: np.ndarray, ends: np.ndarray, y: np.ndarray, buckets: int, costs: tuple[float, ...] = COSTS) -> np.ndarray:
     """For each cost the share of the folds' unseen rows that its fits judge rightly, summed over classes and folds.
 
@@ -131,25 +141,19 @@ def fold_hit(flat: np.ndarray, ends: np.ndarray, y: np.ndarray, buckets: int, k:
     """fold_hits' part of one fold and one cost."""
     rows = np.unique(np.linspace(0, len(y) - 1, min(len(y), FOLD_ROWS)).astype(np.int64))
     fold = np.arange(len(rows)) % FOLDS
-    lens = np.diff(ends)
     seen, asked = rows[fold != k], rows[fold == k]
-    part = lambda some: np.concatenate([flat[ends[i] : ends[i + 1]] for i in some]) if len(some) else flat[:0]
     own, other = y[seen], y[asked]
     if min((own > 0).sum(), (own < 0).sum(), (other > 0).sum(), (other < 0).sum()) == 0:
         return 0.0
-    known, size = part(seen), lens[seen]
-    ratio = _ratios(known, np.repeat(own > 0, size), buckets)
-    scale = np.repeat(1 / np.sqrt(np.maximum(size, 1)), size)
-    w, offset = dual_descent(known, np.concatenate([[0], np.cumsum(size)]), own, ratio, scale, cost, still=FOLD_STILL)
-    del known, scale
-    unknown, at = part(asked), np.concatenate([[0], np.cumsum(lens[asked])])
-    run = np.concatenate([[0.0], np.cumsum((w * ratio)[unknown])])
-    right = ((run[at[1:]] - run[at[:-1]]) / np.sqrt(np.maximum(lens[asked], 1)) + offset > 0) == (other > 0)
+    begin, end = ends[:-1], ends[1:]
+    ratio = _ratios(flat, begin[seen], end[seen], own, buckets)
+    weights, offset = dual_descent(flat, begin[seen], end[seen], own, ratio, cost, still=FOLD_STILL)
+    right = (_margins(weights, offset, flat, begin[asked], end[asked]) > 0) == (other > 0)
     return float(right[other > 0].mean() + right[other < 0].mean())
 
 
 def cross_validated(spark: SparkSession, digest: tuple, buckets: int, costs: tuple[float, ...] = COSTS) -> np.ndarray:
-    """fold_hits of a digest (classes, features, numbers of them), one Spark task for each fold: a task's arrays are some times the features, and there is one set of them an executor rather than one a core."""
+    """fold_hits of a digest (classes, features, numbers of them), one Spark task for each fold; a task holds the features once."""
     shared = spark.sparkContext.broadcast(digest)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,41 +179,41 @@ def chosen_cost(flat: np.ndarray, ends: np.ndarray, y: np.ndarray, buckets: int,
 
 def fit_features(flat: np.ndarray, lens: np.ndarray, y: np.ndarray, buckets: int, orders: tuple[int, ...], cost: float) -> Model:
     ends = np.concatenate([[0], np.cumsum(lens)])
-    ratio = _ratios(flat, np.repeat(y > 0, lens), buckets)
-    # Rows have the length one before scaling, as long texts have more n-grams.
-    scale = np.repeat(1 / np.sqrt(np.maximum(lens, 1)), lens)
-    w, offset = dual_descent(flat, ends, y, ratio, scale, cost)
-    weights = w * ratio
-    run = np.concatenate([[0.0], np.cumsum(weights[flat])])
-    margins = (run[ends[1:]] - run[ends[:-1]]) / np.sqrt(np.maximum(lens, 1)) + offset
-    slope, shift = logistic(margins, y)
+    rows = flat, ends[:-1], ends[1:]
+    weights, offset = dual_descent(*rows, y, _ratios(*rows, y, buckets), cost)
+    slope, shift = logistic(_margins(weights, offset, *rows), y)
     return Model(weights, offset, slope, shift, orders)
 
 
-def dual_descent(flat: np.ndarray, ends: np.ndarray, y: np.ndarray, ratio: np.ndarray, scale: np.ndarray, cost: float = 10.0, rounds: int = ROUNDS, still: float = STILL) -> tuple[np.ndarray, float]:
-    """Weights and offset of the linear SVM with hinge loss; a row's values are ratio[bucket] * scale."""
-    w, offset = np.zeros(len(ratio)), 0.0
-    values = ratio[flat]
-    values *= scale
-    bounds = ends.tolist()
-    norms = [1.0 + float(v @ v) for v in (values[i:j] for i, j in zip(bounds[:-1], bounds[1:], strict=True))]
+def dual_descent(flat: np.ndarray, starts: np.ndarray, ends: np.ndarray, y: np.ndarray, ratio: np.ndarray, cost: float = 10.0, rounds: int = ROUNDS, still: float = STILL) -> tuple[np.ndarray, float]:
+    """ratio times the weights, and the offset, of the linear SVM with hinge loss over rows from starts to ends.
+
+    A row's value at each of its buckets is ratio[bucket] over the root of their number, so that rows have
+    the length one before scaling, as long texts have more n-grams. As the weights are carried multiplied by
+    the ratio, no value is stored for any feature.
+    """
+    weights, offset, square = np.zeros(len(ratio)), 0.0, ratio * ratio
+    bounds = list(zip(starts.tolist(), ends.tolist(), strict=True))
+    scale = (1 / np.sqrt(np.maximum(ends - starts, 1))).tolist()
+    norms = [1.0 + float(square[flat[i:j]].sum()) * s * s for (i, j), s in zip(bounds, scale, strict=True)]
     alpha = np.zeros(len(y))
     rng = np.random.Generator(np.random.PCG64(1))
     for _ in range(rounds):
         moved = 0.0
-        for i in rng.permutation(len(y)).tolist():
-            at, v = flat[bounds[i] : bounds[i + 1]], values[bounds[i] : bounds[i + 1]]
-            slope = y[i] * (float(w[at] @ v) + offset) - 1.0
-            new = min(max(alpha[i] - slope / norms[i], 0.0), cost)
-            step = (new - alpha[i]) * y[i]
+        for r in rng.permutation(len(y)).tolist():
+            i, j = bounds[r]
+            at = flat[i:j]
+            slope = y[r] * (float(weights[at].sum()) * scale[r] + offset) - 1.0
+            new = min(max(alpha[r] - slope / norms[r], 0.0), cost)
+            step = (new - alpha[r]) * y[r]
             if step:
-                w[at] += step * v
+                weights[at] += (step * scale[r]) * square[at]
                 offset += step
                 moved = max(moved, abs(step))
-                alpha[i] = new
+                alpha[r] = new
         if moved < still * cost:
             break
-    return w, offset
+    return weights, offset
 
 
 def train(docs: DataFrame, labels: DataFrame, learn: Column, sample: int = SAMPLE, buckets: int = BUCKETS, orders: tuple[tuple[int, ...], ...] = ORDERS) -> Model:
@@ -251,11 +255,12 @@ def _digested(texts: DataFrame, buckets: int, orders: tuple[int, ...]) -> tuple[
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), pa.array(rows, pa.binary())], names=["doc_id", "quality", "buckets"])
 
     held = texts.select("doc_id", "quality", "text").mapInArrow(digest, "doc_id long, quality int, buckets binary").toArrow()
-    ids, found = held.column("doc_id").to_numpy(), held.column("buckets").to_pylist()
-    order = sorted(range(len(ids)), key=lambda i: (ids[i], found[i]))
-    rows = [np.frombuffer(found[i], np.int32) for i in order]
-    y = np.where(held.column("quality").to_numpy()[order] == 1, 1.0, -1.0) if rows else np.zeros(0)
-    return y, np.concatenate([np.zeros(0, np.int32), *rows]), np.array([len(r) for r in rows], np.int64)
+    ids, labels = held.column("doc_id").to_numpy(), held.column("quality").to_numpy()
+    rows = [np.frombuffer(b, np.int32) if (b := one.as_buffer()).size else np.zeros(0, np.int32) for chunk in held.column("buckets").chunks for one in chunk]
+    same = Counter(ids.tolist())
+    order = sorted(range(len(ids)), key=lambda i: (ids[i], rows[i].tobytes() if same[ids[i]] > 1 else b""))
+    y = np.where(labels[order] == 1, 1.0, -1.0) if rows else np.zeros(0)
+    return y, np.concatenate([np.zeros(0, np.int32), *(rows[i] for i in order)]), np.array([len(rows[i]) for i in order], np.int64)
 
 
 def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ()) -> DataFrame:

@@ -71,10 +71,10 @@ def test_dual_descent_finds_the_least_hinge_loss():
     flat = np.concatenate([np.flatnonzero(r) for r in dense]).astype(np.int32)
     lens = dense.sum(axis=1).astype(int)
     ends = np.concatenate([[0], np.cumsum(lens)])
-    scale = np.repeat(1 / np.sqrt(np.maximum(lens, 1)), lens)
     x = dense * ratio / np.sqrt(np.maximum(lens, 1))[:, None]
     for cost in (0.1, 1.0, 10.0):
-        w, offset = quality.dual_descent(flat, ends, y, ratio, scale, cost=cost, rounds=3000)
+        weighed, offset = quality.dual_descent(flat, ends[:-1], ends[1:], y, ratio, cost=cost, rounds=3000)
+        w = weighed / ratio
         loss = lambda w, b, cost=cost: 0.5 * (w @ w + b * b) + cost * np.maximum(0, 1 - y * (x @ w + b)).sum()
         least = loss(w, offset)
         for step in (1e-1, 1e-2, 1e-3):
