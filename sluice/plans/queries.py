@@ -600,6 +600,21 @@ def non_ascii_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoding.non_ascii_report(tables.read(spark, sf_dir, "documents"), "doc_id", "text").select("doc_id", "non_ascii")
 
 
+@query(r"""
+WITH lines AS (
+  SELECT unnest(string_split(regexp_replace(text, '[^\x{0}-\x{FF}]', '?', 'g'), chr(10))) AS line FROM documents WHERE text IS NOT NULL
+)
+SELECT line, count(*) AS n FROM lines WHERE regexp_matches(line, '[^\x00-\x7F]') GROUP BY line
+""")
+def lines_recoded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines beyond ASCII of all texts, written in files of an encoding of single bytes and read with it as the fallback."""
+    folder = f"{shared_folder(spark)}/sluice-latin-{uuid.uuid4().hex}"
+    single = F.encode(F.regexp_replace("text", r"[^\x{0}-\x{FF}]", "?"), "ISO-8859-1").cast("string")
+    tables.read(spark, sf_dir, "documents").filter("text is not null").select(single.alias("value")).write.text(folder)
+    lines = encoding.recoded(spark, folder, "latin-1").filter(F.col("line").rlike(r"[^\x00-\x7F]"))
+    return lines.groupBy("line").agg(F.count("*").alias("n"))
+
+
 def _through_a_folder(triples: DataFrame) -> Graph:
     """The triples after writing them as Turtle into a folder and reading that."""
     folder = f"{shared_folder(triples.sparkSession)}/sluice-turtle-{uuid.uuid4().hex}"
