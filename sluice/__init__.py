@@ -25,6 +25,7 @@ _PUBLIC = {
     "rewrite_folder": "sluice.sources.sink",
     "write_file": "sluice.sources.sink",
     "write_folder": "sluice.sources.sink",
+    "write_parts": "sluice.sources.sink",
 }
 _RENAMED = {"load_graph": "load"}
 __all__ = sorted(_PUBLIC)

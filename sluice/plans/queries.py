@@ -635,6 +635,25 @@ def turtle_roundtrip_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.groupBy("customer").agg(F.array_join(F.transform(types, lambda t: scalars.short_name(t["o"])), ",").alias("types"), F.max(F.when(itself & (F.col("p") == T.LABEL), F.col("o"))).alias("label"), F.count("*").alias("n_triples"))
 
 
+@query("WITH c AS (" + SQL["turtle_roundtrip_diff"] + """)
+SELECT 'N' || c_nationkey AS part, count(*) AS customers, count(label) AS labels, sum(n_triples)::BIGINT AS statements, sum(n_triples)::BIGINT AS lines FROM c JOIN customer ON customer = '{net}c' || c_custkey GROUP BY c_nationkey
+UNION ALL SELECT 'N' || n_nationkey, 0, 0, 0, 0 FROM nation WHERE n_nationkey NOT IN (SELECT c_nationkey FROM customer)""")
+def parts_written_by_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers' triples in a Turtle file for each nation, split into ranges, all written by one job: what is read of each nation's customers, and how many lines its file has."""
+    triples = Graph(tables.customer_triples(spark, sf_dir), TERMS).triples
+    nation = tables.read(spark, sf_dir, "customer").select(F.concat(F.lit(NET + "c"), F.col("c_custkey").cast("string")).alias("customer"), F.concat(F.lit("N"), F.col("c_nationkey").cast("string")).alias("part"))
+    names = [f"N{r[0]}.ttl" for r in tables.read(spark, sf_dir, "nation").select("n_nationkey").collect()]
+    of = lambda df: df.filter(F.col("s").startswith(NET + "c")).withColumn("customer", F.regexp_extract("s", f"^({NET}c[0-9]+)", 1)).join(nation, "customer")
+    folder = f"{shared_folder(spark)}/sluice-turtle-{uuid.uuid4().hex}"
+    sink.write_parts(of(triples).withColumn("file", F.concat("part", F.lit(".ttl"))), folder, files=names, split=True)
+    text = spark.read.text(f"{folder}/*.ttl").withColumn("part", F.regexp_extract(F.input_file_name(), r"/(N\d+)\.ttl/[^/]*$", 1))
+    lines = text.groupBy("part").agg(F.count_if(~F.col("value").rlike("^[#@]")).alias("lines"))
+    label = (F.col("s") == F.col("customer")) & (F.col("p") == T.LABEL)
+    read = of(turtle.read(spark, f"{folder}/*.ttl")).groupBy("part", "customer").agg(F.count("*").alias("n"), F.max(label).cast("long").alias("label"))
+    read = read.groupBy("part").agg(F.count("*").alias("customers"), F.sum("label").alias("labels"), F.sum("n").alias("statements"))
+    return lines.join(read, "part", "left").select("part", *[F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("customers", "labels", "statements")], "lines")
+
+
 @query("""SELECT '{base}Dt_' || p_partkey AS datatype, CASE WHEN p_partkey % 2 = 0 THEN 'integer' ELSE 'decimal' END AS base, (p_partkey % 50)::VARCHAR AS low, CASE WHEN p_partkey % 5 <> 0 THEN (p_size + 50)::VARCHAR END AS high, (SELECT 6 * count(*) + count(*) FILTER (p_partkey % 4 = 0) FROM part) AS n_blank FROM part""")
 def turtle_folder_restrictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An ontology of blank nodes and lists, written into a folder's parts and read back: every list still has its own cells, and there are as many blank nodes as before."""

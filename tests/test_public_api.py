@@ -6,7 +6,7 @@ import sluice
 
 SIGNATURES = {
     "clip": ["graph", "layer"],
-    "clip_file": ["spark", "source", "boundaries", "folder", "key", "fallback", "check_range", "progress"],
+    "clip_file": ["spark", "source", "boundaries", "folder", "key", "fallback", "check_range", "progress", "split"],
     "load_dataset": ["spark", "path", "folder", "ontologies", "fallback"],
     "load_graph": ["spark", "paths", "fallback"],
     "merge_files": ["spark", "parts", "target", "progress"],
@@ -18,6 +18,7 @@ SIGNATURES = {
     "rewrite_folder": ["spark", "source", "folder", "fallback"],
     "write_file": ["statements", "target", "prefixes", "renumber"],
     "write_folder": ["statements", "folder", "prefixes"],
+    "write_parts": ["statements", "folder", "prefixes", "files", "split", "mode"],
 }
 CLASSES = {"Dataset", "Graph", "Hierarchy", "Store", "Terms"}
 
