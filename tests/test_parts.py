@@ -117,3 +117,57 @@ def test_a_cut_in_ranges_merges_back(spark, tmp_path):
     clip.merge_files(spark, files, str(tmp_path / "back.ttl"))
     sign = lambda p: sink.isomorphic_fingerprint(turtle.load(spark, str(tmp_path / p)).triples).first()
     assert sign("back.ttl") == sign("net.ttl")
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_sets_of_blocks_go_up_and_down(spark, seed):
+    """Both loops against plain rounds over the whole state, on holders with rings, several holders and members without statements."""
+    import random
+
+    deal = random.Random(seed)
+    names = [f"n{i}" for i in range(40)]
+    edges = {(deal.choice(names[: i + 1] if deal.random() < 0.9 else names), n) for i, n in enumerate(names) for _ in range(deal.randint(0, 2))}
+    edges = sorted(e for e in edges if e[0] != e[1])
+    pairs = {(deal.choice(names), deal.choice(names)) for _ in range(30)}
+    pairs = sorted({p for a, b in pairs if a != b for p in ((a, b), (b, a))})
+    seeds = {n: deal.randint(1, 2**5 - 1) for n in names if deal.random() < 0.15}
+    subjects = [n for n in names if deal.random() < 0.9]
+
+    plan = object.__new__(clip.Plan)
+    plan.sets, plan.own = clip.Sets(5), spark.createDataFrame([], "b string, owner string")
+    plan.graph = type("G", (), {"triples": spark.createDataFrame([(n,) for n in subjects], "s string")})
+    frame = lambda rows, c: spark.createDataFrame(rows, ", ".join(f"{x} string" for x in c))
+    masks = spark.createDataFrame([(n, [m]) for n, m in seeds.items()], "block string, mask array<long>")
+    held, joined = frame(edges, ("holder", "member")), frame(pairs, ("x", "y"))
+
+    up = dict(seeds)
+    while True:
+        more = {h: up.get(h, 0) | up[m] for h, m in edges if m in up}
+        for h, m in edges:
+            if m in up:
+                more[h] |= up[m]
+        if all(up.get(h) == v for h, v in more.items()):
+            break
+        up |= more
+    down = dict(up)
+    while True:
+        got = {}
+        for n in subjects:
+            mine = 0
+            for h, m in edges:
+                if m == n and h in down:
+                    mine |= down[h]
+            if n not in down and mine:
+                near = 0
+                for x, y in pairs:
+                    if x == n and y in down:
+                        near |= down[y]
+                got[n] = mine & near if mine.bit_count() > 1 and mine & near else mine
+        if not got:
+            break
+        down |= got
+    down |= {n: 2**5 - 1 for n in subjects if n not in down}
+    read = lambda df: sorted((r["block"], r["mask"][0]) for r in df.collect())
+    above = plan._up(masks, held, 100)
+    assert read(above) == sorted(up.items())
+    assert read(plan._down(above, held, joined, 100)) == sorted(down.items())
