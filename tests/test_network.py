@@ -206,6 +206,18 @@ def test_random_lines_come_back_and_lie_where_they_should():
                 assert (layer.home(np.array(asked)) == p.part)[held.sum(axis=1) == 1].all()
 
 
+@pytest.mark.parametrize("ends", [((61000, 41000), (63000, 44000)), ((61000, 41000), (64000, 48000)), ((61000, 41000), (65000, 50000))])
+def test_own_point_of_a_line_of_two(ends):
+    """Both ends are equally near to the middle, whatever its rounding says."""
+    xy = np.array(ends, float)
+    assert (plane.point_on_line(xy) == xy[0]).all() and (plane.point_on_line(xy[::-1]) == xy[1]).all()
+
+
+def test_own_point_of_equally_near_vertices():
+    a, b = (61000, 41000), (63000, 44000)
+    assert (plane.point_on_line(np.array([a, a, b, b], float)) == a).all()
+
+
 def test_polygons():
     ring = plane.Polygon("r", "r", [[[(0, 0), (10, 0), (10, 10), (0, 10)], [(4, 4), (6, 4), (6, 6), (4, 6)]]])
     at = lambda *xy: np.array(xy, float)
