@@ -10,9 +10,9 @@ States are trained by Baum-Welch from a seeded random model over the corpus's cl
 rounds over all training documents: their classes are written once, every task sums expected counts
 over its chunks, and Spark adds the tasks' sums in two levels. Training and scoring take whole texts:
 one start for each, every move counted, scaled recursions from its first token to its last. A text of
-more than SEGMENT tokens is cut for speed alone: the cuts' transfer matrices are made side by side,
+more than SEGMENT tokens is cut for speed alone: the inner cuts' transfer matrices are made side by side,
 multiplied along the text forwards and backwards, and give every cut the vectors that the recursions
-would have brought there.
+would have brought there; of a first or last cut one vector is enough.
 
 Results in special cases: null and empty texts are the end token alone; without training documents
 all classes are as likely, and words' shares are those of an unknown word; repeated rows count as
@@ -42,6 +42,8 @@ FREQUENT, REST_BITS = 4096, 10
 ROUNDS = 6
 #: Tokens of a cut of a long text, and tokens that go through a recursion side by side.
 SEGMENT, TOKENS = 1024, 1 << 17
+#: Bytes of classes, of several chunks, that a training round takes at a time.
+TOGETHER = 2 << 20
 #: Groups in which tasks' sums are added first.
 GROUPS = 64
 NO_ID = -(1 << 63)
@@ -156,34 +158,56 @@ class Hmm:
 
     def _carry(self, tokens, cut, begin, length, nth, text, entry, leave, left, right) -> None:
         """Fills in, for the cuts of long texts: entry (the state distribution before its first token is seen), leave (what comes after its last one says of the state there), and left, right (of the move into it)."""
-        states = len(self.start)
-        by_size = cut[np.argsort(-length[cut], kind="stable")]
-        through = np.empty((len(by_size), states, states))
-        for i in range(0, len(by_size), 4096):
-            some = by_size[i : i + 4096]
-            m = np.broadcast_to(np.eye(states), (len(some), states, states)) * self.emit[tokens[begin[some]]][:, None, :]
-            live = np.searchsorted(-length[some], -np.arange(int(length[some[0]])), "left").tolist()
-            for t in range(1, len(live)):
-                k = live[t]
-                m[:k] = (m[:k].reshape(-1, states) @ self.move).reshape(k, states, states) * self.emit[tokens[begin[some[:k]] + t]][:, None, :]
-                if t % 8 == 0:
-                    m[:k] /= m[:k].max(axis=(1, 2), keepdims=True)
-            through[i : i + 4096] = m / m.max(axis=(1, 2), keepdims=True)
+        turned, emit = np.ascontiguousarray(self.move.T), np.ascontiguousarray(self.emit.T)
+        last = np.append(nth[1:] == 0, True)
+        opens, ends, inner = cut[nth[cut] == 0], cut[last[cut]], cut[(nth[cut] > 0) & ~last[cut]]
+        # What a text's first and last cut do is asked of one vector each; the cuts between need their matrices.
+        after = self._through(tokens, begin[opens], length[opens], 1, turned, emit, self.start[:, None])[:, 0]
+        before = self._through(tokens, begin[ends] + length[ends] - 1, length[ends], -1, self.move, emit, np.ones((len(self.start), 1)))[:, 0]
+        through = self._through(tokens, begin[inner], length[inner], 1, turned, emit, np.eye(len(self.start)))
         place = np.empty(len(length), np.int64)
-        place[by_size] = np.arange(len(by_size))
+        for some in (opens, ends, inner):
+            place[some] = np.arange(len(some))
         for i in cut.tolist():  # in the order of the texts
             if nth[i]:
-                left[i] = entry[i - 1] @ through[place[i - 1]]
+                left[i] = entry[i - 1] @ through[place[i - 1]] if nth[i - 1] else after[place[i - 1]]
                 left[i] /= left[i].sum()
                 entry[i] = left[i] @ self.move
         for i in cut[::-1].tolist():
             if nth[i]:
-                seen = through[place[i]] @ leave[i]
+                seen = before[place[i]] if last[i] else through[place[i]] @ leave[i]
                 ahead = self.move @ seen
                 scale = 1 / float(left[i] @ ahead)  # so that a state's share is left * leave
                 leave[i - 1], right[i] = ahead * scale, seen * scale
             # The last cut's own vector is one everywhere: its shares add up to one as they are.
 
+    @staticmethod
+    def _through(tokens, at, length, way: int, move, emit, first) -> np.ndarray:
+        """What each cut makes of `first` (states x vectors) from its token at `at` on, forwards or backwards, up to a factor: cuts x vectors x states."""
+        states = len(first)
+        out = np.empty((len(at), *first.shape[::-1]))
+        order = np.argsort(-length, kind="stable")
+        for i in range(0, len(order), 4096):
+            some = order[i : i + 4096]
+            spot, k = at[some], len(some)
+            # Cuts lie side by side, so that every step runs along them.
+            now = first[:, :, None] * emit.take(tokens[spot], axis=1)[:, None, :]
+            room = np.empty_like(now)
+            live = np.searchsorted(-length[some], -np.arange(int(length[some[0]])), "left").tolist()
+            for t in range(1, len(live)):
+                if live[t] < k:
+                    out[some[live[t] : k]] = now[:, :, live[t] :].transpose(2, 1, 0)
+                    k = live[t]
+                    now = np.ascontiguousarray(now[:, :, :k])
+                    room = np.empty_like(now)
+                np.matmul(move, now.reshape(states, -1), out=room.reshape(states, -1))
+                np.multiply(room, emit.take(tokens[spot[:k] + way * t], axis=1)[:, None, :], out=room)
+                now, room = room, now
+                if t % 8 == 0:
+                    now /= now.max(axis=(0, 1))
+            out[some[:k]] = now.transpose(2, 1, 0)
+        return out / out.max(axis=(1, 2), keepdims=True)
+
     def updated(self, start: np.ndarray, move: np.ndarray, emit: np.ndarray, prior: np.ndarray) -> Hmm:
         """The model of expected counts, each smoothed by a little of what it would be without any."""
         states = len(start)
@@ -297,6 +321,18 @@ def _kind(classes: int) -> type:
     return np.uint16 if classes <= 1 << 16 else np.int32
 
 
+def _together(rows: Iterator[tuple[bytes, bytes]]) -> Iterator[tuple[bytes, bytes]]:
+    """Rows of _learnt, some chunks' as one: a step of the recursions costs nearly as much for few texts as for many."""
+    some: list[tuple[bytes, bytes]] = []
+    for row in rows:
+        some.append(row)
+        if sum(len(tokens) for tokens, _ in some) >= TOGETHER:
+            yield b"".join(t for t, _ in some), b"".join(n for _, n in some)
+            some = []
+    if some:
+        yield b"".join(t for t, _ in some), b"".join(n for _, n in some)
+
+
 def _counts_round(learnt: DataFrame, model: Hmm, vocabulary: Vocabulary) -> Hmm:
     """One Baum-Welch round over the training documents of all chunks."""
     spark = learnt.sparkSession
@@ -307,11 +343,10 @@ def _counts_round(learnt: DataFrame, model: Hmm, vocabulary: Vocabulary) -> Hmm:
     def expect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         total = None
-        for batch in batches:
-            for tokens, lens in zip(*(batch.column(k).to_pylist() for k in range(2)), strict=True):
-                first = np.concatenate([[0], np.cumsum(np.frombuffer(lens, np.int64))])
-                got = _packed(model.expected(np.frombuffer(tokens, kind).astype(np.int32), first))
-                total = got if total is None else total + got
+        for tokens, lens in _together(row for batch in batches for row in zip(*(batch.column(k).to_pylist() for k in range(2)), strict=True)):
+            first = np.concatenate([[0], np.cumsum(np.frombuffer(lens, np.int64))])
+            got = _packed(model.expected(np.frombuffer(tokens, kind).astype(np.int32), first))
+            total = got if total is None else total + got
         if total is not None:
             parts = [total[i : i + width].tobytes() for i in range(0, len(total), width)]
             group = TaskContext.get().partitionId() % GROUPS

@@ -56,3 +56,22 @@ def test_counts_of_texts_in_several_cuts(segment):
     for a, b in zip(got, want, strict=False):
         assert np.allclose(a, b, rtol=1e-10)
     assert model.log10(np.concatenate(texts), first, segment).sum() == pytest.approx(want[3], rel=1e-12)
+
+
+def test_only_inner_cuts_need_matrices(monkeypatch):
+    """A text's first and last cut take one vector each: matrices of all cuts cost as much as the recursions."""
+    rng = np.random.default_rng(17)
+    model = hmm.Hmm.first(3, np.full(5, 0.2))
+    asked = []
+    through = hmm.Hmm._through
+    monkeypatch.setattr(hmm.Hmm, "_through", staticmethod(lambda *a: asked.append((len(a[1]), a[-1].shape[1])) or through(*a)))
+    sizes = [40, 7, 20, 8, 17]
+    model.expected(rng.integers(0, 5, sum(sizes)), np.concatenate([[0], np.cumsum(sizes)]), segment=10)
+    assert sorted(asked) == [(2, 3), (3, 1), (3, 1)]
+
+
+def test_rounds_take_several_chunks_at_a_time_and_lose_none(monkeypatch):
+    monkeypatch.setattr(hmm, "TOGETHER", 5)
+    rows = [(bytes([i] * n), bytes([n])) for i, n in enumerate([2, 3, 9, 1, 1])]
+    assert list(hmm._together(iter(rows))) == [(b"\0\0\1\1\1", b"\2\3"), (b"\2" * 9, b"\11"), (b"\3\4", b"\1\1")]
+    assert list(hmm._together(iter([]))) == []
