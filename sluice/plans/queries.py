@@ -51,6 +51,11 @@ def _nodes(r: Reader) -> DataFrame:
     return kept(r.nodes())
 
 
+def _ends(r: Reader) -> DataFrame:
+    """Of nodes what binding the ends of conduits asks."""
+    return kept(r.nodes().select("uri", "orientation", "orientation_types", "ord"))
+
+
 # SQL of the projection: every node, with its class and its places.
 _NODE = """node AS (
   SELECT '{net}c' || c_custkey AS uri, c_custkey AS k, 'Seg_' || c_mktsegment AS cls, 'c' AS kind FROM customer
@@ -247,7 +252,7 @@ def nodes_table(spark: SparkSession, sf_dir: str) -> DataFrame:
   2::INT AS n_points, (k % 11 = 0 AND end_node IS NOT NULL) AS end_repaired FROM ends JOIN orders o ON o.o_orderkey = k""")
 def conduits_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = _reader(spark, sf_dir)
-    c = r.conduits(_nodes(r))
+    c = r.conduits(_ends(r))
     return c.select("uri", F.array_join(hierarchy.short_types(F.col("types")), ",").alias("types"), "start_node", "end_node", F.col("bob_start_aspect.value").alias("invert_start"), F.col("bob_end_aspect.value").alias("invert_end"), F.size("line.xs").alias("n_points"), "end_repaired")
 
 
