@@ -204,9 +204,9 @@ def graph_is_a_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("WITH " + _NODE + " SELECT uri, cls AS object_type FROM node")
 def most_specific_type(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = _reader(spark, sf_dir)
-    n = r.first_held(r.found("node"))
-    own = n.select(F.col("s").alias("uri"), "s").join(r.types.select("s", "type"), "s").select("uri", "type")
-    orientation = n.select(F.col("s").alias("uri"), F.col("o").alias("s")).join(r.types.select("s", "type"), "s").select("uri", "type")
+    n, types = r.first_held(r.found("node")), r.types_around(T.NODE_ROLE)
+    own = n.select(F.col("s").alias("uri"), "s").join(types.select("s", "type"), "s").select("uri", "type")
+    orientation = n.select(F.col("s").alias("uri"), F.col("o").alias("s")).join(types.select("s", "type"), "s").select("uri", "type")
     return hierarchy.object_type(own, orientation, r.h)
 
 

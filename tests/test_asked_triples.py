@@ -7,6 +7,7 @@ import pytest
 from sluice import terms as T
 from sluice.operators.domain import Reader
 from sluice.operators.hierarchy import Hierarchy
+from sluice.plans import queries as plans
 from sluice.sources import tables
 
 DATA = Path("/root/testdata/sf0.001")
@@ -50,3 +51,7 @@ def test_what_is_left_out_is_about_other_classes(spark):
 def test_who_may_be_typed_in_another_table_is_never_left_out(spark):
     t = tables._item_rows()
     assert t.near([tables.TERMS.iri("Flag_A")]) is None and t.near([tables.TERMS.iri("Put")]) == set()
+
+
+def test_most_specific_types_of_nodes_read_no_order(spark):
+    assert "o_orderpriority" not in _plan(plans.QUERIES["most_specific_type"](spark, str(DATA)))
