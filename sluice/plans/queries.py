@@ -353,8 +353,8 @@ def climb_to_node(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _slim_nodes(r: Reader) -> DataFrame:
     """Only what climbing and directions need of nodes."""
-    empty = F.array().cast("array<string>")
-    n = r.first_held(r.found("node")).join(r.type_sets(), "s", "left").join(r.type_sets().toDF("o", "orientation_types"), "o", "left").join(r.parents(), "s", "left").join(r.geometry(T.POINT), "o", "left")
+    empty, near = F.array().cast("array<string>"), r.around(T.NODE_ROLE)
+    n = r.first_held(r.found("node")).join(r.type_sets(near), "s", "left").join(r.type_sets(near).toDF("o", "orientation_types"), "o", "left").join(r.parents(), "s", "left").join(r.geometry(T.POINT), "o", "left")
     return kept(n.select(F.col("s").alias("uri"), F.col("o").alias("orientation"), F.coalesce("types", empty).alias("types"), F.coalesce("orientation_types", empty).alias("orientation_types"), F.coalesce("parents", empty).alias("parents"), F.col("geom").alias("point"), "ord"))
 
 
